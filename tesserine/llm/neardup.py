@@ -180,12 +180,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[new]), pa.array(grp[doc[new]].view(np.int64)), pa.array(size[doc[new]].astype(np.int32)),
-                    pa.array(np.add.reduceat(is_short.astype(np.int32), new).astype(np.int32)),
-                    pa.array([sketch[d].tobytes() for d in doc[new]], pa.binary()),
-                    pa.array([h[a:b].tobytes() for a, b in zip(new, [*new[1:], len(h)])], pa.binary()),
+                    pa.array(bucket[new]), pa.array(grp[doc[new]].view(np.int64)),
+                    pa.array(_pack(size[doc[new]], np.add.reduceat(is_short.astype(np.int64), new), sketch[doc[new]], h, new), pa.binary()),
                 ],
-                ["bucket", "grp", "n", "n_short", "sketch", "tokens"],
+                ["bucket", "grp", "body"],
             )
 
     def join(batches):
@@ -194,7 +192,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             return
         yield from _join_bucket(table, similarity, sketch_words)
 
-    rows = source.select("part", "text").mapInArrow(features, "bucket int, grp long, n int, n_short int, sketch binary, tokens binary")
+    rows = source.select("part", "text").mapInArrow(features, "bucket int, grp long, body binary")
     candidates = rows.repartition(tasks, "bucket").mapInArrow(join, "grp_a long, grp_b long")
     candidates = stored(candidates.distinct(), "candidates")
 
@@ -230,17 +228,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     return NearDuplicates(everyone.select("part", "id", "grp").distinct(), links)
 
 
+#: Bytes of a prefix shingle's hash in the shuffle; equal ones of different shingles only cost a comparison.
+TOKEN_BYTES = 5
+
+
+def _pack(n: np.ndarray, n_short: np.ndarray, sketch: np.ndarray, h: np.ndarray, new: np.ndarray) -> list[bytes]:
+    """One compact value per row: size, number of short-prefix shingles, sketch, shingles."""
+    heads = np.concatenate([np.stack([n, n_short], axis=1).astype("<u4").view(np.uint8).reshape(len(n), 8), sketch], axis=1)
+    tails = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+    return [a.tobytes() + tails[i:j].tobytes() for a, i, j in zip(heads, new, [*new[1:], len(h)])]
+
+
 def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Iterator[pa.RecordBatch]:
     """Pairs of groups that share a prefix shingle of this bucket and pass the size and sketch filters."""
     grp = table.column("grp").to_numpy()
     grp, at = np.unique(grp, return_index=True)
     table = table.take(pa.array(at))
-    n = table.column("n").to_numpy().astype(np.int64)
-    n_short = table.column("n_short").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(n), sketch_words)
-    blobs = table.column("tokens").to_pylist()
-    per = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
-    token = np.frombuffer(b"".join(blobs), np.uint64)
+    head = 8 + 8 * sketch_words
+    bodies = table.column("body").to_pylist()
+    heads = np.frombuffer(b"".join(b[:head] for b in bodies), np.uint8).reshape(len(grp), head)
+    n, n_short = heads[:, :8].copy().view("<u4").astype(np.int64).T
+    sketch = heads[:, 8:].copy().view(np.uint64)
+    tails = [b[head:] for b in bodies]
+    per = np.fromiter((len(t) // TOKEN_BYTES for t in tails), np.int64, len(tails))
+    token = np.zeros((int(per.sum()), 8), np.uint8)
+    token[:, :TOKEN_BYTES] = np.frombuffer(b"".join(tails), np.uint8).reshape(-1, TOKEN_BYTES)
+    token = token.view("<u8").ravel()
     doc = np.repeat(np.arange(len(n)), per)
     short = np.arange(len(token)) - np.repeat(np.cumsum(per) - per, per) < np.repeat(n_short, per)
     order = np.lexsort((n[doc], token))
