@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, mix
+from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches
 from tesserine.runtime import stored
 
 #: Counters of the corpus-wide shingle counts; the counts take 8 bytes each and are broadcast (2 MB).
@@ -136,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     total = int(counts.sum())
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK))
     mean = total / max(1, source.count())
-    sketch_words = int(min(16, max(2, 2 ** math.ceil(math.log2(max(1.0, mean) * 2.5 / 64)))))
+    sketch_words = sketch_width(mean)
     known = spark.sparkContext.broadcast(counts)
     buckets = spark.sparkContext.broadcast(np.array(_spread(spark, tasks), np.int32))
 
@@ -160,9 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             doc, h = doc[keep], h[keep]
             if not len(doc):
                 continue
-            sketch = np.zeros((len(texts), sketch_words * 64), np.uint8)
-            np.bitwise_xor.at(sketch, (doc, ((h >> np.uint64(20)) % np.uint64(sketch_words * 64)).astype(np.int64)), 1)
-            sketch = np.packbits(sketch, axis=1)
+            sketch = sketches(doc, h, len(texts), sketch_words).view(np.uint8)
             count = known.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
             h = _salted(h, [parts[d] for d in doc]) if len(set(parts)) > 1 else h ^ _salted(np.zeros(1, np.uint64), parts[:1])
             order = np.lexsort((h, count, doc))

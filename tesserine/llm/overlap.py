@@ -3,14 +3,14 @@
 The evaluation texts are normalised and written in blocks of bounded size. For
 each block, an Aho-Corasick automaton of its passages - the rarest word shingles
 of every evaluation text - scans all training texts. A training text that
-matches enough passages of an evaluation text is compared with it in full; the
-matched intervals are merged into the part of the evaluation text they cover.
+matches a passage of an evaluation text, and whose sketch does not rule the
+similarity out, is compared with it in full; the matched intervals are merged into the part of the evaluation text they cover.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,81 +19,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import COUNTERS, _texts, shingle_counts
-from tesserine.llm.shingles import hash_words, jaccard_pairs, words
-from tesserine.runtime import shared_dir, stored
+from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, words
+from tesserine.runtime import stored, stored_path
 
 #: Evaluation texts in the automaton of one task.
-BLOCK = 16_384
-#: Passages beyond the fewest that a pair must share; a pair shares at least as many.
-SLACK = 8
-#: Training texts whose matches are counted at a time.
+BLOCK = 49_152
+#: Passages beyond those that a similar text may lack.
+SLACK = 1
+#: Training texts whose matches are expanded at a time.
 SCAN = 256
+#: Training texts, normalised, that a task holds while it takes one block after the other.
+HELD = 65_536
+
+
+def compile_block(grps: np.ndarray, texts: list[str], counts: np.ndarray, similarity: float, width: int, sketch_words: int) -> dict:
+    """The passages of a block of evaluation texts, ready for ``Passages``."""
+    hashed = hash_words(texts)
+    doc, h = hashed.all_shingles(width)
+    runs = np.maximum(hashed.n_words - width + 1, 0)
+    at = np.arange(len(doc)) - (np.cumsum(runs) - runs)[doc]
+    count = np.minimum(counts[(h % np.uint64(COUNTERS)).astype(np.int64)], (1 << 24) - 1)
+    # any passages would do; the rarest cost least
+    order = np.argsort((doc << 38) | (count << 14) | (h >> np.uint64(50)).astype(np.int64))
+    doc, h, at = doc[order], h[order], at[order]
+    unique = _first_of_each(doc, h)
+    doc, h, at = doc[unique], h[unique], at[unique]
+    size = np.bincount(doc, minlength=len(texts))
+    sketch = sketches(doc, h, len(texts), sketch_words)
+    rank = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+    least = np.ceil(similarity * size - 1e-9).astype(np.int64)
+    keep = rank < (size - least + SLACK)[doc]
+    doc, h, at = doc[keep], h[keep], at[keep]
+    _, one, passage = np.unique(h, return_index=True, return_inverse=True)
+    by_text = np.argsort(doc[one], kind="stable")
+    place = np.empty_like(by_text)
+    place[by_text] = np.arange(len(by_text))
+    passage = place[passage]
+    phrases, current, split = [], -1, []
+    for d, k in zip(doc[one][by_text].tolist(), at[one][by_text].tolist()):
+        if current != d:
+            current, split = d, texts[d].split()
+        phrases.append(" ".join(split[k : k + width]))
+    return {
+        "grps": grps.astype("<i8").tobytes(), "texts": "\n".join(texts), "phrases": "\n".join(phrases), "size": size.astype("<i8").tobytes(),
+        "sketch": sketch.tobytes(), "holder": doc[np.argsort(passage, kind="stable")].astype("<i4").tobytes(),
+        "holders": np.bincount(passage, minlength=len(one)).astype("<i8").tobytes(),
+    }
+
+
+#: What a compiled block is stored as: one row.
+BLOCK_SCHEMA = "block int, grps binary, texts string, phrases string, size binary, sketch binary, holder binary, holders binary"
 
 
 class Passages:
-    """The automaton of a block: passages, the evaluation texts that hold each, and how many a text must match."""
+    """The automaton of a compiled block: its passages and the evaluation texts that hold each."""
 
-    def __init__(self, grps: np.ndarray, texts: list[str], counts: np.ndarray, similarity: float, width: int):
+    def __init__(self, block: dict, similarity: float):
         import ahocorasick
 
-        self.grps, self.texts = grps, texts
-        hashed = hash_words(texts)
-        doc, h = hashed.all_shingles(width)
-        n_words = hashed.n_words
-        first = np.cumsum(np.maximum(n_words - width + 1, 0)) - np.maximum(n_words - width + 1, 0)
-        at = np.arange(len(doc)) - first[doc]
-        order = np.lexsort((at, h, doc))
-        doc, h, at = doc[order], h[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        doc, h, at = doc[new], h[new], at[new]
-        count = counts[(h % np.uint64(COUNTERS)).astype(np.int64)]
-        order = np.lexsort((h, count, doc))
-        doc, h, at = doc[order], h[order], at[order]
-        size = np.bincount(doc, minlength=len(texts))
-        rank = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
-        least = np.ceil(similarity * size - 1e-9).astype(np.int64)
-        self.need = np.maximum(np.minimum(SLACK, least), 1)
-        keep = rank < (size - least + self.need)[doc]
-        doc, h, at = doc[keep], h[keep], at[keep]
-        _, one, passage = np.unique(h, return_index=True, return_inverse=True)
+        self.similarity = similarity
+        self.grps, self.size, self.holders = (np.frombuffer(block[k], "<i8") for k in ("grps", "size", "holders"))
+        self.holder = np.frombuffer(block["holder"], "<i4").astype(np.int64)
+        self.sketch = np.frombuffer(block["sketch"], np.uint64).reshape(len(self.size), -1)
+        self.texts = block["texts"].split("\n")
+        self.first = np.cumsum(self.holders) - self.holders
         self.automaton = ahocorasick.Automaton()
-        split: tuple[int, list[str]] = (-1, [])
-        for p, (d, k) in enumerate(zip(doc[one].tolist(), at[one].tolist())):
-            if split[0] != d:
-                split = (d, texts[d].split())
-            self.automaton.add_word(f" {' '.join(split[1][k : k + width])} ", p)
-        if len(one):
+        if len(self.holders):
+            for p, phrase in enumerate(block["phrases"].split("\n")):
+                self.automaton.add_word(f" {phrase} ", p)
             self.automaton.make_automaton()
-        order = np.argsort(passage, kind="stable")
-        self.holder = doc[order].astype(np.int64)
-        self.holders = np.bincount(passage, minlength=len(one))
-        self.first = np.cumsum(self.holders) - self.holders
 
-    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j): training text i matches as many passages of evaluation text j as that needs."""
-        if not len(self.holders):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+    def scan(self, texts: list[str], size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): training text i matches a passage of evaluation text j, and neither sizes nor sketches rule the similarity out."""
         out = []
-        for at in range(0, len(texts), SCAN):
+        for at in range(0, len(texts) if len(self.holders) else 0, SCAN):
             some = texts[at : at + SCAN]
             ends = np.cumsum([len(t) + 1 for t in some])
             # a passage starts and ends with a space: neighbouring ones share it, texts share none
-            found = list(self.automaton.iter("\n".join(some)))
-            if not found:
-                continue
-            found = np.array(found, np.int64)
+            found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter("\n".join(some))), np.int64).reshape(-1, 2)
             hit = np.unique((np.searchsorted(ends, found[:, 0], side="right") << 32) | found[:, 1])
-            text, passage = hit >> 32, hit & 0xFFFFFFFF
+            text, passage = (hit >> 32) + at, hit & 0xFFFFFFFF
             w = self.holders[passage]
-            j = self.holder[np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(self.first[passage], w)]
-            n = len(self.need)
-            matched = np.bincount(np.repeat(text, w) * n + j, minlength=len(some) * n).reshape(len(some), n)
-            i, j = np.nonzero(matched >= self.need)
-            out.append((i + at, j))
+            i = np.repeat(text, w)
+            j = self.holder[np.arange(len(i)) + np.repeat(self.first[passage] - (np.cumsum(w) - w), w)]
+            bound = size[i] + self.size[j]
+            bound = bound - 2 * least_overlap(size[i], self.size[j], self.similarity)
+            differ = np.zeros(len(i), np.int64)
+            for k in range(sketch.shape[1]):
+                differ += np.bitwise_count(sketch[i, k] ^ self.sketch[j, k])
+            ok = np.unique((i[differ <= bound] << 32) | j[differ <= bound])
+            out.append((ok >> 32, ok & 0xFFFFFFFF))
         return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
 
 
+def _first_of_each(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the first occurrence of each shingle in each text, in order."""
+    order = np.lexsort((np.arange(len(h)), h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    return np.sort(order[new])
+
+
 def coverage(evaluation: str, training: str, width: int) -> float:
     """The share of the evaluation text's words that lie in runs also found in the training text; the runs' intervals are merged."""
     e, t = evaluation.split(), training.split()
@@ -106,6 +132,16 @@ def coverage(evaluation: str, training: str, width: int) -> float:
     return covered / len(e) if e else 0.0
 
 
+def _read_block(uri: str, block: int) -> dict | None:
+    """A compiled block from the shared folder; None if no text fell into it."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    rows = ds.dataset(path, filesystem=where, format="parquet").to_table(filter=ds.field("block") == block).to_pylist()
+    return rows[0] if rows else None
+
+
 def _normalised(source: DataFrame) -> DataFrame:
     """(id, grp, words) of all rows, copies included."""
 
@@ -124,63 +160,73 @@ def split_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str, text_co
     texts shorter than a shingle, match nothing; repeated rows count once; texts
     of equal words are scanned once a task and expanded at the end. Exact: an
     evaluation text's passages outnumber the shingles that a similar text may
-    lack. Cost: training texts times blocks of BLOCK evaluation texts; no data
-    besides the block being scanned is held by a task.
+    lack. Cost: training texts times blocks of BLOCK evaluation texts; a task
+    holds one block and HELD training texts at a time.
     """
     spark = train.sparkSession
     rows = {k: d.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL") for k, d in (("t", train), ("e", evaluation))}
-    counts = spark.sparkContext.broadcast(shingle_counts(rows["t"].unionByName(rows["e"]), "text", width))
+    everyone = rows["t"].unionByName(rows["e"])
+    counts = shingle_counts(everyone, "text", width)
+    sketch_words = sketch_width(int(counts.sum()) / max(1, everyone.count()))
+    counts = spark.sparkContext.broadcast(counts)
     ids = {}
     normal = _normalised(rows["e"])
     ids["e"] = normal.select("id", "grp").distinct()
     classes = normal.groupBy("grp").agg(F.min("words").alias("words"))
     classes = stored(classes, "evaluation")
     blocks = max(1, math.ceil(classes.count() / BLOCK))
-    root = f"{shared_dir(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
-    classes.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int")).repartition(blocks, "block").write.mode("overwrite").partitionBy("block").parquet(root)
-
-    def scanner(block: int):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pyarrow.dataset as ds
-
-            passages, seen = None, set()
-            for (texts,) in _texts(batches, ("text",)):
-                if passages is None:
-                    from pyarrow import fs
-
-                    uri = f"{root}/block={block}"
-                    where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-                    if where.get_file_info(path).type == fs.FileType.NotFound:
-                        return
-                    t = ds.dataset(path, filesystem=where, format="parquet").to_table(columns=["grp", "words"])
-                    passages = Passages(t.column("grp").to_numpy(), t.column("words").to_pylist(), counts.value, similarity, width)
-                grp = hash_words(texts).text_hash().view(np.int64)
-                fresh = []
-                for k, g in enumerate(grp.tolist()):
-                    if g not in seen:
-                        if len(seen) > 1 << 20:
-                            seen.clear()
-                        seen.add(g)
-                        fresh.append(k)
-                some = [words(texts[k]) for k in fresh]
-                i, j = passages.scan(some)
-                left, right = [some[k] for k in i], [passages.texts[k] for k in j]
+
+    def compile_one(t: pa.Table) -> pa.Table:
+        made = compile_block(t.column("grp").to_numpy(), t.column("words").to_pylist(), counts.value, similarity, width, sketch_words)
+        return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: [v] for k, v in made.items()}})
+
+    numbered = classes.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int"))
+    root = stored_path(numbered.groupBy("block").applyInArrow(compile_one, BLOCK_SCHEMA), "blocks")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple] = []
+        for (texts,) in _texts(batches, ("text",)):
+            hashed = hash_words(texts)
+            grp = hashed.text_hash().view(np.int64)
+            fresh = []
+            for k, g in enumerate(grp.tolist()):
+                if g not in seen:
+                    if len(seen) > 1 << 20:
+                        seen.clear()
+                    seen.add(g)
+                    fresh.append(k)
+            doc, h = hashed.shingles(width)
+            size, sketch = np.bincount(doc, minlength=len(texts)), sketches(doc, h, len(texts), sketch_words)
+            held.append(([words(texts[k]) for k in fresh], grp[fresh], size[fresh], sketch[fresh]))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield from against_blocks(held)
+                held = []
+        if held:
+            yield from against_blocks(held)
+
+    def against_blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        some = [t for x in held for t in x[0]]
+        grp, size, sketch = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        for block in range(blocks):
+            compiled = _read_block(root, block)
+            if compiled is None:
+                continue
+            passages = Passages(compiled, similarity)
+            i, j = passages.scan(some, size, sketch)
+            for at in range(0, len(i), 8192):
+                left, right = [some[k] for k in i[at : at + 8192]], [passages.texts[k] for k in j[at : at + 8192]]
                 _, value = jaccard_pairs(left, right, width)
-                at = np.flatnonzero(value >= similarity - 1e-9)
+                ok = np.flatnonzero(value >= similarity - 1e-9)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grp[np.array(fresh, np.int64)[i[at]]], pa.int64()), pa.array(passages.grps[j[at]], pa.int64()), pa.array(value[at], pa.float64()),
-                        pa.array([coverage(right[k], left[k], width) for k in at], pa.float64()),
+                        pa.array(grp[i[at + ok]], pa.int64()), pa.array(passages.grps[j[at + ok]], pa.int64()), pa.array(value[ok], pa.float64()),
+                        pa.array([coverage(right[k], left[k], width) for k in ok], pa.float64()),
                     ],
                     ["train_grp", "eval_grp", "similarity", "coverage"],
                 )
 
-        return scan
-
-    found = None
-    for block in range(blocks):
-        one = rows["t"].select("text").mapInArrow(scanner(block), "train_grp long, eval_grp long, similarity double, coverage double")
-        found = one if found is None else found.unionByName(one)
+    found = rows["t"].select("text").mapInArrow(scan, "train_grp long, eval_grp long, similarity double, coverage double")
     found = stored(found.distinct(), "overlaps")
 
     def keys(batches):

@@ -133,3 +133,19 @@ def jaccard_pairs(left: list[str], right: list[str], width: int = 3) -> tuple[np
     common = np.bincount(pair[1:][both], minlength=n)
     union = size[:n] + size[n:] - common
     return common, np.divide(common, union, out=np.zeros(n), where=union > 0)
+
+
+def sketch_width(mean_shingles: float) -> int:
+    """64-bit words of a sketch that still separates unrelated sets of twice the mean size."""
+    return int(min(16, max(2, 2 ** np.ceil(np.log2(max(1.0, mean_shingles) * 2.5 / 64)))))
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int) -> np.ndarray:
+    """One parity sketch per text, as ``width`` 64-bit words.
+
+    Each shingle flips one bit, so the bits in which two sketches differ are never
+    more than the shingles that only one of the two sets holds.
+    """
+    bits = width * 64
+    flips = np.bincount(doc * bits + ((h >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n_docs * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n_docs, bits), axis=1).view(np.uint64)
