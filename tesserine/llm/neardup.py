@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches
+from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches, within
 from tesserine.runtime import stored
 
 #: Counters of the corpus-wide shingle counts; the counts take 8 bytes each and are broadcast (2 MB).
@@ -271,10 +271,7 @@ def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Itera
         j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + i + 1
         a, b = doc[i], doc[j]
         bound = n[a] + n[b] - 2 * least_overlap(n[a], n[b], similarity)
-        differ = np.zeros(len(a), np.int64)
-        for k in range(sketch_words):
-            differ += np.bitwise_count(sketch[a, k] ^ sketch[b, k])
-        ok = differ <= bound
+        ok = within(sketch, sketch, a, b, bound)
         pair = np.unique(np.minimum(a[ok], b[ok]) * len(n) + np.maximum(a[ok], b[ok]))
         yield pa.RecordBatch.from_arrays([pa.array(grp[pair // len(n)]), pa.array(grp[pair % len(n)])], ["grp_a", "grp_b"])
         at = stop

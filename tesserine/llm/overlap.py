@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import COUNTERS, _texts, shingle_counts
-from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, words
+from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, within, words
 from tesserine.runtime import stored, stored_path
 
 #: Evaluation texts in the automaton of one task.
@@ -102,12 +102,9 @@ class Passages:
             w = self.holders[passage]
             i = np.repeat(text, w)
             j = self.holder[np.arange(len(i)) + np.repeat(self.first[passage] - (np.cumsum(w) - w), w)]
-            bound = size[i] + self.size[j]
-            bound = bound - 2 * least_overlap(size[i], self.size[j], self.similarity)
-            differ = np.zeros(len(i), np.int64)
-            for k in range(sketch.shape[1]):
-                differ += np.bitwise_count(sketch[i, k] ^ self.sketch[j, k])
-            ok = np.unique((i[differ <= bound] << 32) | j[differ <= bound])
+            total = size[i] + self.size[j]
+            ok = within(sketch, self.sketch, i, j, total - 2 * least_overlap(size[i], self.size[j], self.similarity))
+            ok = np.unique((i[ok] << 32) | j[ok])
             out.append((ok >> 32, ok & 0xFFFFFFFF))
         return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
 

@@ -149,3 +149,15 @@ def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int) -> np.ndar
     bits = width * 64
     flips = np.bincount(doc * bits + ((h >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n_docs * bits)
     return np.packbits((flips & 1).astype(np.uint8).reshape(n_docs, bits), axis=1).view(np.uint64)
+
+
+def within(sketch_a: np.ndarray, sketch_b: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Positions k at which the sketches of i[k] and j[k] differ in at most bound[k] bits; most fall out before the last words are read."""
+    at = np.arange(len(i))
+    differ = np.zeros(len(i), np.int64)
+    for k in range(0, sketch_a.shape[1], 2):
+        for c in range(k, min(k + 2, sketch_a.shape[1])):
+            differ += np.bitwise_count(sketch_a[i, c] ^ sketch_b[j, c])
+        ok = differ <= bound
+        at, i, j, differ, bound = at[ok], i[ok], j[ok], differ[ok], bound[ok]
+    return at
