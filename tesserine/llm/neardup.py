@@ -21,23 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches, within
+from tesserine.llm.shingles import columns, hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches, within
 from tesserine.runtime import stored
 
 #: Counters of the corpus-wide shingle counts; the counts take 8 bytes each and are broadcast (2 MB).
 COUNTERS = 1 << 18
 #: Prefix shingles that one task of the join is meant to hold.
 ROWS_PER_TASK = 600_000
-#: Pairs of groups that a task compares at a time.
-PAIRS_AT_A_TIME = 1 << 21
+#: Pairs of groups that a task compares at a time; so few that the arrays stay in the processor's cache.
+PAIRS_AT_A_TIME = 1 << 16
 #: Group hashes a task remembers in order to emit a group once; beyond it repeats reach the join, which drops them.
 SEEN = 1 << 20
 #: Texts hashed at a time.
-TEXTS = 2048
+DOC_BITS = 11
+TEXTS = 1 << DOC_BITS
+#: Bits of a shingle's hash in the join; equal ones of different shingles only cost a comparison.
+TOKEN_BITS = 64 - DOC_BITS - 8
+_TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
+#: Buckets at most; a bucket's number has 16 bits.
+BUCKETS = 1 << 16
+
+
+def _salt(part: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little"))
 
 
 def _salted(h: np.ndarray, parts: list[str]) -> np.ndarray:
-    salt = {p: np.uint64(int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "little")) for p in set(parts)}
+    salt = {p: _salt(p) for p in set(parts)}
     return mix(h ^ mix(np.array([salt[p] for p in parts], np.uint64)))
 
 
@@ -134,7 +144,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     source = df.select(part.alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     counts = shingle_counts(source, "text", width)
     total = int(counts.sum())
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK))
+    tasks = min(BUCKETS, max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK)))
     mean = total / max(1, source.count())
     sketch_words = sketch_width(mean)
     known = spark.sparkContext.broadcast(counts)
@@ -142,9 +152,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
 
     def features(batches):
         seen: set[int] = set()
+        salts: dict[str, np.uint64] = {}
         for parts, texts in _texts(batches, ("part", "text")):
             hashed = hash_words(texts)
             grp = _salted(hashed.text_hash(), parts)
+            salts |= {p: _salt(p) for p in set(parts) - salts.keys()}
             doc, h = hashed.shingles(width)
             size = np.bincount(doc, minlength=len(texts))
             use = (hashed.n_words >= min_words) & (size > 0)
@@ -161,21 +173,26 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             if not len(doc):
                 continue
             sketch = sketches(doc, h, len(texts), sketch_words).view(np.uint8)
-            count = known.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
-            h = _salted(h, [parts[d] for d in doc]) if len(set(parts)) > 1 else h ^ _salted(np.zeros(1, np.uint64), parts[:1])
-            order = np.lexsort((h, count, doc))
-            doc, h = doc[order], h[order]
-            first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]])
-            rank = np.arange(len(doc)) - first[doc]
+            # one sortable key: text, rarity on a logarithmic scale, hash; the order of shingles is the same for every text
+            rarity = np.log2(known.value[(h % np.uint64(COUNTERS)).astype(np.int64)] + 1.0) * 8
+            key = (doc.astype(np.uint64) << np.uint64(64 - DOC_BITS)) | (np.minimum(rarity, 255).astype(np.uint64) << np.uint64(TOKEN_BITS)) | (h & _TOKEN)
+            key.sort()
+            first = np.cumsum(size * use) - size * use
+            rank = np.arange(len(key)) - first[doc]
             n = size[doc]
             full = n - np.ceil(similarity * n - 1e-9) + 1
-            short = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
             keep = rank < full
-            doc, h, is_short = doc[keep], h[keep], (rank < short)[keep]
-            bucket = buckets.value[((h >> np.uint64(32)) % np.uint64(len(buckets.value))).astype(np.int64)]
-            order = np.lexsort((~is_short, bucket, doc))
-            doc, h, is_short, bucket = doc[order], h[order], is_short[order], bucket[order]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]))
+            doc, key, rank, n = doc[keep], key[keep], rank[keep], n[keep]
+            late = rank >= n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+            salt = np.array([salts[p] for p in parts], np.uint64)
+            h = (key ^ salt[doc]) & _TOKEN
+            place = (h >> np.uint64(TOKEN_BITS - 16)) * np.uint64(len(buckets.value)) >> np.uint64(16)
+            row = (doc.astype(np.uint64) << np.uint64(16)) | place
+            order = np.argsort((row << np.uint64(1)) | late, kind="stable")
+            row, h, late = row[order], h[order], late[order]
+            new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            doc, bucket = (row >> np.uint64(16)).astype(np.int64), buckets.value[(row & np.uint64(0xFFFF)).astype(np.int64)]
+            is_short = ~late
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket[new]), pa.array(grp[doc[new]].view(np.int64)),
@@ -185,10 +202,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             )
 
     def join(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        yield from _join_bucket(table, similarity, sketch_words)
+        yield from _join_bucket(pa.Table.from_batches(held), similarity, sketch_words)
 
     rows = source.select("part", "text").mapInArrow(features, "bucket int, grp long, body binary")
     candidates = rows.repartition(tasks, "bucket").mapInArrow(join, "grp_a long, grp_b long")
@@ -246,7 +263,7 @@ def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Itera
     bodies = table.column("body").to_pylist()
     heads = np.frombuffer(b"".join(b[:head] for b in bodies), np.uint8).reshape(len(grp), head)
     n, n_short = heads[:, :8].copy().view("<u4").astype(np.int64).T
-    sketch = heads[:, 8:].copy().view(np.uint64)
+    sketch = columns(heads[:, 8:].copy().view(np.uint64))
     tails = [b[head:] for b in bodies]
     per = np.fromiter((len(t) // TOKEN_BYTES for t in tails), np.int64, len(tails))
     token = np.zeros((int(per.sum()), 8), np.uint8)
@@ -254,7 +271,7 @@ def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Itera
     token = token.view("<u8").ravel()
     doc = np.repeat(np.arange(len(n)), per)
     short = np.arange(len(token)) - np.repeat(np.cumsum(per) - per, per) < np.repeat(n_short, per)
-    order = np.lexsort((n[doc], token))
+    order = np.argsort((token << np.uint64(24)) | np.minimum(n[doc], (1 << 24) - 1).astype(np.uint64))
     token, doc, short = token[order], doc[order], short[order]
     run = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
     key = (run << 32) | n[doc]
@@ -270,7 +287,8 @@ def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Itera
         i = np.repeat(lefts[at:stop], w)
         j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + i + 1
         a, b = doc[i], doc[j]
-        bound = n[a] + n[b] - 2 * least_overlap(n[a], n[b], similarity)
+        total = n.take(a) + n.take(b)
+        bound = total - 2 * least_overlap(total, 0, similarity).astype(np.int64)
         ok = within(sketch, sketch, a, b, bound)
         pair = np.unique(np.minimum(a[ok], b[ok]) * len(n) + np.maximum(a[ok], b[ok]))
         yield pa.RecordBatch.from_arrays([pa.array(grp[pair // len(n)]), pa.array(grp[pair % len(n)])], ["grp_a", "grp_b"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import COUNTERS, _texts, shingle_counts
-from tesserine.llm.shingles import hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, within, words
+from tesserine.llm.shingles import HASH_BITS, columns, hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, within, words
 from tesserine.runtime import stored, stored_path
 
 #: Evaluation texts in the automaton of one task.
@@ -27,7 +27,7 @@ BLOCK = 49_152
 #: Passages beyond those that a similar text may lack.
 SLACK = 1
 #: Training texts whose matches are expanded at a time.
-SCAN = 256
+SCAN = 64
 #: Training texts, normalised, that a task holds while it takes one block after the other.
 HELD = 65_536
 
@@ -40,7 +40,7 @@ def compile_block(grps: np.ndarray, texts: list[str], counts: np.ndarray, simila
     at = np.arange(len(doc)) - (np.cumsum(runs) - runs)[doc]
     count = np.minimum(counts[(h % np.uint64(COUNTERS)).astype(np.int64)], (1 << 24) - 1)
     # any passages would do; the rarest cost least
-    order = np.argsort((doc << 38) | (count << 14) | (h >> np.uint64(50)).astype(np.int64))
+    order = np.argsort((doc << 38) | (count << 14) | (h >> np.uint64(HASH_BITS - 14)).astype(np.int64))
     doc, h, at = doc[order], h[order], at[order]
     unique = _first_of_each(doc, h)
     doc, h, at = doc[unique], h[unique], at[unique]
@@ -80,7 +80,7 @@ class Passages:
         self.similarity = similarity
         self.grps, self.size, self.holders = (np.frombuffer(block[k], "<i8") for k in ("grps", "size", "holders"))
         self.holder = np.frombuffer(block["holder"], "<i4").astype(np.int64)
-        self.sketch = np.frombuffer(block["sketch"], np.uint64).reshape(len(self.size), -1)
+        self.sketch = columns(np.frombuffer(block["sketch"], np.uint64).reshape(len(self.size), -1))
         self.texts = block["texts"].split("\n")
         self.first = np.cumsum(self.holders) - self.holders
         self.automaton = ahocorasick.Automaton()
@@ -91,7 +91,7 @@ class Passages:
 
     def scan(self, texts: list[str], size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, j): training text i matches a passage of evaluation text j, and neither sizes nor sketches rule the similarity out."""
-        out = []
+        out, words_of = [], columns(sketch)
         for at in range(0, len(texts) if len(self.holders) else 0, SCAN):
             some = texts[at : at + SCAN]
             ends = np.cumsum([len(t) + 1 for t in some])
@@ -102,8 +102,8 @@ class Passages:
             w = self.holders[passage]
             i = np.repeat(text, w)
             j = self.holder[np.arange(len(i)) + np.repeat(self.first[passage] - (np.cumsum(w) - w), w)]
-            total = size[i] + self.size[j]
-            ok = within(sketch, self.sketch, i, j, total - 2 * least_overlap(size[i], self.size[j], self.similarity))
+            total = size.take(i) + self.size.take(j)
+            ok = within(words_of, self.sketch, i, j, total - 2 * least_overlap(total, 0, self.similarity).astype(np.int64))
             ok = np.unique((i[ok] << 32) | j[ok])
             out.append((ok >> 32, ok & 0xFFFFFFFF))
         return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))

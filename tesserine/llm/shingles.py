@@ -15,8 +15,11 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
-#: Characters that are hashed at once; bounds the memory of a call.
-CHUNK_CHARS = 1 << 20
+#: Bits of a shingle's hash; with the number of its text it fills one sortable 64-bit key.
+HASH_BITS = 46
+_HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
+#: Characters that are hashed at once; so few that the arrays stay in the processor's cache.
+CHUNK_CHARS = 1 << 15
 
 
 @functools.cache
@@ -77,16 +80,17 @@ class Hashed:
         for k in range(1, width):
             h = mix(h * _K2 + w[k : k + n] * _K3)
         keep = self.doc[:n] == self.doc[width - 1 :]
-        return self.doc[:n][keep], h[keep]
+        return self.doc[:n][keep], h[keep] & _HASH_MASK
 
     def shingles(self, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, hash) of the distinct runs of ``width`` words of each text, sorted by both."""
+        """(doc, hash) of the distinct runs of ``width`` words of each text, sorted by both; hashes have HASH_BITS bits."""
         doc, h = self.all_shingles(width)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        return doc[new], h[new]
+        key = (doc.astype(np.uint64) << np.uint64(HASH_BITS)) | h
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & _HASH_MASK
 
 
 def hash_words(texts: list[str | None]) -> Hashed:
@@ -105,7 +109,7 @@ def hash_words(texts: list[str | None]) -> Hashed:
 def _hash_chunk(texts: list[str | None], first: int) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower() if t else "" for t in texts]
     joined = "\n".join(["", *lowered, ""])
-    a = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    a = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     edge = np.diff(_alnum()[a].view(np.int8))
     start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     up, down = _powers(max(CHUNK_CHARS.bit_length(), len(a).bit_length()))
@@ -126,10 +130,10 @@ def jaccard_pairs(left: list[str], right: list[str], width: int = 3) -> tuple[np
     n = len(left)
     doc, h = hash_words([*left, *right]).shingles(width)
     size = np.bincount(doc, minlength=2 * n)
-    pair = doc % max(n, 1)
-    order = np.lexsort((h, pair))
-    pair, h = pair[order], h[order]
-    both = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
+    key = ((doc % max(n, 1)).astype(np.uint64) << np.uint64(HASH_BITS)) | h
+    key.sort()
+    pair = (key >> np.uint64(HASH_BITS)).astype(np.int64)
+    both = key[1:] == key[:-1]
     common = np.bincount(pair[1:][both], minlength=n)
     union = size[:n] + size[n:] - common
     return common, np.divide(common, union, out=np.zeros(n), where=union > 0)
@@ -151,13 +155,21 @@ def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int) -> np.ndar
     return np.packbits((flips & 1).astype(np.uint8).reshape(n_docs, bits), axis=1).view(np.uint64)
 
 
-def within(sketch_a: np.ndarray, sketch_b: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Positions k at which the sketches of i[k] and j[k] differ in at most bound[k] bits; most fall out before the last words are read."""
-    at = np.arange(len(i))
-    differ = np.zeros(len(i), np.int64)
-    for k in range(0, sketch_a.shape[1], 2):
-        for c in range(k, min(k + 2, sketch_a.shape[1])):
-            differ += np.bitwise_count(sketch_a[i, c] ^ sketch_b[j, c])
-        ok = differ <= bound
-        at, i, j, differ, bound = at[ok], i[ok], j[ok], differ[ok], bound[ok]
+def within(columns_a: list[np.ndarray], columns_b: list[np.ndarray], i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Positions k at which the sketches of i[k] and j[k] differ in at most bound[k] bits; most fall out before the last words are read.
+
+    The sketches are given by their 64-bit words, one array each.
+    """
+    at, differ = None, np.zeros(len(i), np.int16)
+    for k in range(0, len(columns_a), 2):
+        for a, b in zip(columns_a[k : k + 2], columns_b[k : k + 2]):
+            differ += np.bitwise_count(a.take(i) ^ b.take(j))
+        ok = np.flatnonzero(differ <= bound)
+        at = ok if at is None else at[ok]
+        i, j, differ, bound = i[ok], j[ok], differ[ok], bound[ok]
     return at
+
+
+def columns(sketch: np.ndarray) -> list[np.ndarray]:
+    """The words of sketches as one array each."""
+    return [np.ascontiguousarray(sketch[:, k]) for k in range(sketch.shape[1])]
