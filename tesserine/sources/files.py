@@ -79,8 +79,8 @@ def conversations(spark: SparkSession, path: str, field: str = "text") -> DataFr
     """(line, human, bot): turns of JSON lines with ``<human>:`` and ``<bot>:`` marks; unreadable lines are left out but counted in ``line``."""
     lines = with_positions(spark.read.text(path), "line")
     t = F.try_variant_get(F.try_parse_json("value"), f"$.{field}", "string")
-    human = F.trim(F.split(F.split(t, "<human>:", 2)[1], "<bot>:", 2)[0])
-    return lines.select("line", human.alias("human"), F.trim(F.split(t, "<bot>:", 2)[1]).alias("bot")).where("human IS NOT NULL")
+    human = F.trim(F.get(F.split(F.get(F.split(t, "<human>:", 2), 1), "<bot>:", 2), 0))
+    return lines.select("line", human.alias("human"), F.trim(F.get(F.split(t, "<bot>:", 2), 1)).alias("bot")).where("human IS NOT NULL")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

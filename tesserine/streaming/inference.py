@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tesserine.functions.modeljson import prediction
@@ -28,7 +29,7 @@ def called(df: DataFrame, prompt: str, call: Callable[[str], str], out: str = "r
                     errors.append(str(e))
             yield pdf.assign(**{out: answers, "call_error": errors})
 
-    return df.mapInPandas(run, df.schema.add(out, "string").add("call_error", "string"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("call_error", T.StringType())]))
 
 
 def parsed(df: DataFrame, raw: str = "raw_response") -> DataFrame:
