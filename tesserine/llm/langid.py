@@ -22,6 +22,8 @@ from tesserine.llm.visual import plain_look
 LANGUAGES = ("en", "fr", "ar", "es", "de")
 #: Hashed n-gram features.
 DIMENSIONS = 1 << 16
+#: Texts whose n-grams are held at a time.
+TEXTS = 256
 #: Longest character n-gram.
 LONGEST = 4
 #: Labelled texts per language that the model is fitted on, at most.
@@ -77,6 +79,9 @@ class LanguageModel:
         self.idf, self.weights, self.temperature = idf.astype(np.float32), weights.astype(np.float32), temperature
 
     def logits(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([self._logits(texts[i : i + TEXTS]) for i in range(0, len(texts), TEXTS)] or [np.empty((0, len(LANGUAGES)))])
+
+    def _logits(self, texts: list[str]) -> np.ndarray:
         text, feature = features(texts)
         w = self.idf[feature]
         norm = np.sqrt(np.bincount(text, w * w, len(texts)))
