@@ -119,3 +119,20 @@ def require_columns(df: DataFrame, expected: list[str], exact: bool = True) -> D
     if missing or exact and df.columns != expected:
         raise ValueError(f"columns {df.columns} are not {expected}")
     return df
+
+
+def distinct_ratio(df: DataFrame, column: str) -> DataFrame:
+    """(ratio): distinct values among the non-NULL ones; 0 without any."""
+    return df.agg(F.coalesce(F.try_divide(F.count_distinct(column).cast("double"), F.count(column)), F.lit(0.0)).alias("ratio"))
+
+
+def totals_or_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the sum of each column, NULL if any row lacks a value."""
+    return df.agg(*[F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c) for c in columns])
+
+
+def word_signal(c: Column, words: tuple[str, ...]) -> Column:
+    """The share of a text's words that are in a list; NULL for texts of fewer than three words."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}']+)"), F.lit(1))
+    known = F.array(*[F.lit(x) for x in words])
+    return F.when(F.size(w) >= 3, F.size(F.filter(w, lambda x: F.array_contains(known, x))) / F.size(w))

@@ -410,3 +410,49 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     """(category, sections): sections of pages made from the documents."""
     page = F.concat(F.lit("<html><body><nav>menu</nav><main><h2>"), F.coalesce("category", F.lit("none")), F.lit("</h2><p>"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></main></body></html>"))
     return H.page_sections(table(spark, d, "documents").select("doc_id", page.alias("page")), "doc_id", "page").groupBy("heading").agg(F.count("*").alias("sections"))
+
+
+@query("SELECT round(count(DISTINCT Question) / count(Question), 6) AS ratio FROM filtered")
+def distinct_question_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return quality.distinct_ratio(table(spark, d, "filtered"), "Question").select(F.round("ratio", 6).alias("ratio"))
+
+
+@query("SELECT CASE WHEN count(n_chars) = count(*) THEN sum(n_chars) END AS n_chars, sum(doc_id) AS doc_id FROM documents")
+def totals_or_null(spark: SparkSession, d: str) -> DataFrame:
+    return quality.totals_or_null(table(spark, d, "documents"), ["n_chars", "doc_id"])
+
+
+_FRENCH = ("le", "la", "les", "de", "des", "et", "un", "une", "vous", "est", "pour", "dans")
+
+
+@query(rf"""WITH w AS (SELECT regexp_extract_all(lower(coalesce(Answer_translated, '')), '[\p{{L}}'']+') AS w FROM translation_handoff)
+SELECT count(*) AS cells, round(avg(len(list_filter(w, lambda x: list_contains({list(_FRENCH)}, x))) / len(w)), 6) AS signal FROM w WHERE len(w) >= 3""")
+def french_signal(spark: SparkSession, d: str) -> DataFrame:
+    """The mean share of common French words in translated answers of three words or more."""
+    s = table(spark, d, "translation_handoff").select(quality.word_signal(F.col("Answer_translated"), _FRENCH).alias("s")).where("s IS NOT NULL")
+    return s.agg(F.count("*").alias("cells"), F.round(F.avg("s"), 6).alias("signal"))
+
+
+@query(r"""SELECT text_kind, count(*) AS n FROM (SELECT CASE WHEN length(trim(coalesce(style_text, ''))) < 40 OR regexp_matches(coalesce(style_text, ''), '(?i)\b(?:something|somehow|maybe|not sure|weird|strange|what should i do|is this normal)\b')
+ OR (contains(style_text, '?') AND length(trim(style_text)) < 70) THEN 'ask' ELSE 'answer' END AS text_kind FROM gold_seeds) GROUP BY 1""".replace("\\\\", "\\"))
+def needs_clarification(spark: SparkSession, d: str) -> DataFrame:
+    ask = quality.needs_clarification(F.col("style_text"))
+    return table(spark, d, "gold_seeds").groupBy(F.when(ask, "ask").otherwise("answer").alias("text_kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT pred_id, item_id FROM predictions), s AS (SELECT item_id, count(*) AS tries, min(pred_id) AS first_id, max(pred_id) AS last_id FROM r GROUP BY 1) SELECT item_id, tries, first_id, last_id FROM s""")
+def distinct_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Items as jobs: how often each was run, its first and its last run."""
+    rows = table(spark, d, "predictions").select("pred_id", "item_id").distinct()
+    return rows.groupBy("item_id").agg(F.count("*").alias("tries"), F.min("pred_id").alias("first_id"), F.max("pred_id").alias("last_id"))
+
+
+@query("""SELECT item_id, pred_id FROM (SELECT item_id, pred_id, row_number() OVER (PARTITION BY item_id ORDER BY pred_id DESC) AS n FROM (SELECT DISTINCT item_id, pred_id FROM predictions)) WHERE n = 1""")
+def last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_per_key(table(spark, d, "predictions").select("item_id", "pred_id").distinct(), ["item_id"], [F.desc("pred_id")])
+
+
+@query("""SELECT tier, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'emergency') OR contains(lower(text), 'at once') THEN 'high' WHEN contains(lower(text), 'ask your doctor') THEN 'moderate' ELSE 'low' END AS tier FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
+def marker_tiers(spark: SparkSession, d: str) -> DataFrame:
+    tier = X.first_tier(F.col("text"), [("high", ("emergency", "at once")), ("moderate", ("ask your doctor",))], "low")
+    return table(spark, d, "documents").where("text IS NOT NULL").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
