@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the greeting that a deduplication key leaves out.
+GREETING = r"^(hi|hello|dear|hey)\b[\s,]*(doctor|dr)?[\s,]*"
+
+
 def clean(c: Column) -> Column:
     """No-break spaces and carriage returns plain, runs of blanks one, at most one empty line, trimmed; NULL becomes the empty string."""
     t = F.translate(F.coalesce(c, F.lit("")), " ", " ")
@@ -24,7 +28,7 @@ def squeeze(c: Column) -> Column:
 def dedup_key(c: Column, chars: int = 800) -> Column:
     """Lower case, ASCII letters and digits only, single spaces, without a leading greeting, cut to ``chars``."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    return F.substring(F.regexp_replace(t, r"^(hi|hello|dear|hey)\b[\s,]*(doctor|dr)?[\s,]*", ""), 1, chars)
+    return F.substring(F.regexp_replace(t, GREETING, ""), 1, chars)
 
 
 def fingerprint(c: Column) -> Column:

@@ -142,9 +142,9 @@ def data_mixture(spark: SparkSession, d: str) -> DataFrame:
     return sample.mixture([("cdc", a, None), ("filtered", b, 20)], "Topic", "k", 3).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT item_key, 'gss-' || lpad((dense_rank() OVER (ORDER BY gold_answer) - 1)::VARCHAR, 3, '0') AS group_id FROM gold_seeds""")
+@query("""SELECT item_key, 'item-' || lpad((dense_rank() OVER (ORDER BY gold_answer) - 1)::VARCHAR, 3, '0') AS group_id FROM gold_seeds""")
 def group_ids(spark: SparkSession, d: str) -> DataFrame:
-    return keyed.group_ids(table(spark, d, "gold_seeds"), "gold_answer", "gss-").select("item_key", "group_id")
+    return keyed.group_ids(table(spark, d, "gold_seeds"), "gold_answer", "item-").select("item_key", "group_id")
 
 
 @query("""WITH p AS (SELECT DISTINCT seed_id FROM predictions), g AS (SELECT DISTINCT seed_id FROM gold_seeds)
