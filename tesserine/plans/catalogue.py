@@ -392,9 +392,9 @@ def arrival_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_dup_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """(qa_id, cluster, keep): fuzzy clusters of answers that start or end alike, and which to keep."""
+    """(qa_id, cluster, keep): fuzzy clusters of answers that start alike or are about as long, and which to keep."""
     rows = table(spark, d, "cdc_reproductive_health_qa").select("qa_id", X.dedup_key(F.col("Answer")).alias("t"), F.length("Answer").alias("n")).where("t <> ''").distinct()
-    pairs = dedup.blocked_pairs(rows, "qa_id", "t", [F.concat(F.lit("p"), F.substring("t", 1, 60)), F.concat(F.lit("s"), F.substring("t", -60, 60))])
+    pairs = dedup.blocked_links(rows, "qa_id", "t", [F.concat(F.lit("p"), F.substring("t", 1, 20)), F.concat(F.lit("len"), F.floor(F.length("t") / 20))])
     return dedup.fuzzy_clusters(rows, "qa_id", "t", pairs, ["n", "qa_id"]).select("qa_id", "cluster", "keep")
 
 

@@ -145,6 +145,42 @@ def test_fuzzy_clusters(spark, rows):
     assert got == [(1, 1, True), (2, 1, False), (3, 1, False), (4, None, True), (5, None, True)]
 
 
+def test_blocked_links_connect_what_brute_force_connects(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dedup, "SLICE", 8)
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdkm" for b in "aeo" for c in ("rt", "ling", "s")]
+    texts = ["", "dart", "bos"]
+    for _ in range(25):
+        t = [r.choice(words) for _ in range(r.randrange(4, 30))]
+        texts += [" ".join(t), " ".join(["thank", "you", *t[:-1], "now"]), " ".join(w[:-1] + "x" if r.random() < 0.3 else w for w in t)]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").where("t <> ''")
+    blocks = [F.concat(F.lit("p"), F.substring("t", 1, 5)), F.concat(F.lit("len"), F.floor(F.length("t") / 20))]
+    links = dedup.blocked_links(df, "k", "t", blocks).collect()
+
+    def parts(pairs):
+        top = list(range(len(texts)))
+        for a, b in pairs:
+            top = [top[a] if x == top[b] else x for x in top]
+        return sorted(sorted(i for i, x in enumerate(top) if x == y) for y in set(top))
+
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if texts[a] and texts[b] and (texts[a][:5] == texts[b][:5] or len(texts[a]) // 20 == len(texts[b]) // 20) and X.token_set_ratio(texts[a], texts[b]) >= 88}
+    assert all((max(x.a, x.b), min(x.a, x.b)) in near for x in links)
+    assert parts((x.a, x.b) for x in links) == parts(near) and any(len(p) > 1 for p in parts(near))
+
+
+def test_near_dup_clusters_with_edits_near_both_ends(spark, tmp_path):
+    from tesserine.plans.catalogue import QUERIES
+
+    body = "regular light exercise may ease the cramps of the first days and a warm pad on the belly helps many women too"
+    rows = [(1, f"See {body} at home."), (2, f"So {body} at work."), (3, "Ask the clinic.")]
+    spark.createDataFrame(rows, "qa_id int, Answer string").write.parquet(str(tmp_path / "cdc_reproductive_health_qa.parquet"))
+    got = QUERIES["near_dup_clusters"](spark, str(tmp_path)).orderBy("qa_id").collect()
+    assert [(r.cluster, r.keep) for r in got] == [(1, False), (1, True), (None, True)]
+
+
 def test_metrics(spark, rows):
     def rec(i, cat="pcos", risk="low", gold_c="pcos", gold_r="routine", want="no", raw=None):
         return (i, "m", "s", "st", "en", gold_c, gold_r, want, raw if raw is not None else json.dumps(good(predicted_category=cat, predicted_risk=risk)))
