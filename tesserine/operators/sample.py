@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,35 +67,44 @@ def mixture(parts: list[tuple[str, DataFrame, int | None]], by: str, key: str, s
     return out
 
 
-def diverse_selection(df: DataFrame, by: str, key: str, tokens: str, bucket: str, order: list[str], shares: dict[str, float], target: int, most_similar: float = 0.5, shortlist: int = 50) -> DataFrame:
+def diverse_selection(df: DataFrame, by: str, key: str, tokens: str, bucket: str, order: list[str], shares: dict[str, float], target: int, most_similar: float = 0.5) -> DataFrame:
     """(by, key, place): up to ``target`` rows of each group, by bucket quotas, no two as similar as ``most_similar``.
 
-    A ranking in Spark first keeps ``shortlist`` times the target of each group
-    and bucket; the greedy choice, which depends on what was chosen before, then
-    runs on these few rows of a group. Rest places fill up from any bucket.
+    The greedy choice walks the whole pool: Spark sorts the rows of each group,
+    first those of each bucket with a quota, then once more all for the places
+    left; a task streams through them and holds only the chosen rows.
     """
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(by, bucket).orderBy(*order, key))).where(F.col("_r") <= shortlist * target)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, key])
-        chosen: list[tuple] = []
+    names = list(shares)
+    quotas = [round(share * target) for share in shares.values()]
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
+    own = [F.when(F.col("b") == b, F.lit(i)) for i, b in enumerate(names)]
+    rows = df.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(tokens).alias("t"), F.col(bucket).alias("b"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).repartition("g")
+    rows = rows.withColumn("phase", F.explode(F.array_compact(F.array(*own, F.lit(len(names))))))
+    rows = rows.sortWithinPartitions("g", "phase", *(F.asc_nulls_last(f"o{i}") for i in range(len(order))), "k").select("g", "k", "t", "phase")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = phase = None
+        chosen: list = []
         sets: list[set] = []
-
-        def fill(rows, room: int) -> None:
-            for k, t in rows:
+        room = 0
+        for batch in batches:
+            out = []
+            groups, keys, phases, lists = (batch.column(c) for c in ("g", "k", "phase", "t"))
+            for i, (g, p) in enumerate(zip(groups.to_pylist(), phases.to_pylist())):
+                if phase is None or g != group:
+                    group, phase, chosen, sets = g, -1, [], []
+                if p != phase:
+                    phase, room = p, quotas[p] if p < len(quotas) else target - len(chosen)
                 if room <= 0:
-                    return
-                s = set(t)
-                if any(k == c for c in chosen) or any(len(s & o) >= most_similar * max(len(s | o), 1) for o in sets):
+                    continue
+                k, s = keys[i].as_py(), set(lists[i].as_py())
+                if k in chosen or any(len(s & o) >= most_similar * max(len(s | o), 1) for o in sets):
                     continue
                 chosen.append(k)
                 sets.append(s)
                 room -= 1
+                out.append((g, k, len(chosen)))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], groups.type), pa.array(columns[1], keys.type), pa.array(columns[2], pa.int32())], [by, key, "place"])
 
-        for b, share in shares.items():
-            fill(zip(pdf.loc[pdf[bucket] == b, key], pdf.loc[pdf[bucket] == b, tokens]), round(share * target))
-        fill(zip(pdf[key], pdf[tokens]), target - len(chosen))
-        return pd.DataFrame({by: pdf[by].iloc[0], key: chosen, "place": range(1, len(chosen) + 1)})
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
-    return ranked.select(*dict.fromkeys([by, key, tokens, bucket, *order])).groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, {key} {kinds[key]}, place int")
+    return rows.mapInArrow(choose, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, place int")

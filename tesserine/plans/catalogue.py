@@ -401,7 +401,7 @@ def near_dup_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
     """(Topic, row_id, place): ten questions of each topic, unlike each other, by source quotas."""
-    rows = table(spark, d, "filtered").where("Topic IS NOT NULL AND Question IS NOT NULL").select("row_id", "Topic", "source_dataset", X.tokens(F.col("Question")).alias("tokens"), F.length("Question").alias("n")).distinct()
+    rows = table(spark, d, "filtered").where("Topic IS NOT NULL AND Question IS NOT NULL").select("row_id", "Topic", "source_dataset", X.tokens(F.col("Question")).alias("tokens"), F.length("Question").alias("n"))
     return sample.diverse_selection(rows, "Topic", "row_id", "tokens", "source_dataset", ["n"], {"AskWard-100k": 0.4, "CYCLE_train": 0.3}, 10)
 
 

@@ -114,6 +114,14 @@ def test_sampling(spark, rows):
     assert rows(sample.diverse_selection(d, "t", "k", "tokens", "b", ["o"], {"x": 1.0}, 3, 0.9).select("k")) == [(0,), (2,), (4,)]
 
 
+def test_diverse_selection_walks_the_whole_pool(spark, rows):
+    copies = [("t", i, ["same", "short"], "x", 1) for i in range(700)]
+    others = [("t", 1000 + i, [f"a{i}", f"b{i}"], "xy"[i % 2], 2 + i) for i in range(12)]
+    d = spark.createDataFrame(copies + others + [("u", 5, ["same"], None, None)], "t string, k int, tokens array<string>, b string, o int")
+    got = rows(sample.diverse_selection(d, "t", "k", "tokens", "b", ["o"], {"x": 0.5}, 10).select("t", "place", "k"))
+    assert got == sorted([("t", 1 + i, k) for i, k in enumerate([0, 1000, 1002, 1004, 1006, 1001, 1003, 1005, 1007, 1008])] + [("u", 1, 5)], key=repr)
+
+
 def test_keys(spark, rows):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v int")
     b = spark.createDataFrame([("x", 1), ("z", 2)], "k string, v int")
