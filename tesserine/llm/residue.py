@@ -10,6 +10,7 @@ names, blanks and the wording of messages count by themselves.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ HINT = re.compile(
     r"[\[(<](?:insert|enter|add|put|your|fill|type|choose|select|image:|caption|todo|platzhalter|hier|texte?|ins[ée]rer|à compléter|votre|su |introduzca|nombre de|nom de|name der|اسم|أدخل|ضع)[^\[\]()<>\n]{0,60}[\])>]",
     re.I,
 )
-CHUNK = re.compile(r"\[[^\[\]\n\d]{3,60}\]|<[a-zA-Z][^<>\n:]{2,60}>(?!:)")
+CHUNK = re.compile(r"\[(?=[^\[\]\n]*[^\W\d_])[^\[\]\n]{3,}\]|<[a-zA-Z][^<>\n:]{2,}>(?!:)")
 # The words of the classical filler text.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
@@ -73,12 +74,13 @@ ERROR = re.compile(
 )
 #: Words of page messages; a line with one of them is watched for recurrence.
 PAGE_WORDS = re.compile(r"\b(?:page|browser|server|website|site|link|url|cookies?|login|reload|refresh|error|navigateur|serveur|lien|erreur|seite|fehler|navegador|servidor|enlace|página|صفحة|خادم|متصفح)\b", re.I)
-#: Documents that must share a line before it counts as a page template.
+#: Distinct texts that must share a line before it counts as a page template.
 RECURS = 3
-#: Wordings with the same beginning from which on they are sentences of one template.
+#: A line that is no more than the 1/VARIED part of the distinct texts with lines of its beginning is a sentence of a template with filled slots.
 VARIED = 6
-#: Contexts from which on a chunk is a slot's default.
+#: Contexts from which on a chunk is a slot's default, if no context has more than ONE_PLACE of its distinct texts.
 CONTEXTS = 4
+ONE_PLACE = 0.5
 
 
 # Strings of which a text must hold one, in lower case, before the pattern is tried.
@@ -123,28 +125,29 @@ def _place(text: str, m: re.Match) -> str:
 
 
 def _evidence(source: DataFrame) -> DataFrame:
-    """(doc, kind, key, context): sure findings, and the chunks and lines that only the corpus can judge."""
+    """(doc, source, kind, key, context): sure findings, and the chunks and lines of all documents, which only the corpus can judge; ``source`` tells distinct texts apart."""
     kind = source.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, what, key, context = [], [], [], []
+            doc, source, what, key, context = [], [], [], [], []
             for d, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 found = [(r, "", "") for r in reasons(t)]
-                if not found:
-                    found = [("chunk", m.group(), _place(t, m)) for m in CHUNK.finditer(t)]
-                    for line in t.split("\n"):
-                        if len(line) < 160 and PAGE_WORDS.search(line):
-                            masked = re.sub(r"\d+", "#", line.strip().lower())
-                            found.append(("line", masked, " ".join(masked.split()[:3])))
+                found += [("chunk", m.group(), _place(t, m)) for m in CHUNK.finditer(t)]
+                for line in t.split("\n"):
+                    if PAGE_WORDS.search(line):
+                        masked = re.sub(r"\d+", "#", line.strip().lower())
+                        found.append(("line", masked, " ".join(masked.split()[:3])))
+                same = hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() if found else ""
                 for r, k, c in found:
                     doc.append(d)
+                    source.append(same)
                     what.append(r)
                     key.append(k)
                     context.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc").type), pa.array(what, pa.string()), pa.array(key, pa.string()), pa.array(context, pa.string())], ["doc", "kind", "key", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc").type), pa.array(source, pa.string()), pa.array(what, pa.string()), pa.array(key, pa.string()), pa.array(context, pa.string())], ["doc", "source", "kind", "key", "context"])
 
-    schema = source.select("doc").schema.add("kind", "string").add("key", "string").add("context", "string")
+    schema = source.select("doc").schema.add("source", "string").add("kind", "string").add("key", "string").add("context", "string")
     assert schema["doc"].dataType == kind
     return source.mapInArrow(run, schema)
 
@@ -161,11 +164,12 @@ def find_residue(df: DataFrame, key: str, text: str) -> DataFrame:
     found = stored(_evidence(source), "residue")
     sure = found.where("kind NOT IN ('chunk', 'line')").select("doc", "kind")
     chunks = found.where("kind = 'chunk'")
-    defaults = chunks.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("context").alias("places")).where((F.col("places") >= CONTEXTS) & (F.col("places") >= 0.5 * F.col("n")))
+    places = chunks.groupBy("key", "context").agg(F.count_distinct("source").alias("texts"))
+    defaults = places.groupBy("key").agg(F.count("*").alias("places"), F.max("texts").alias("most"), F.sum("texts").alias("texts")).where((F.col("places") >= CONTEXTS) & (F.col("most") <= ONE_PLACE * F.col("texts")))
     slots = chunks.join(defaults.select("key"), "key").select("doc", F.lit("slot_default").alias("kind"))
     lines = found.where("kind = 'line'")
-    recurring = lines.groupBy("key", "context").agg(F.approx_count_distinct("doc").alias("docs"))
-    wordings = lines.groupBy("context").agg(F.approx_count_distinct("key").alias("wordings")).where(F.col("wordings") < VARIED).select("context")
-    templates = recurring.where(F.col("docs") >= RECURS).join(wordings, "context", "left_semi").select("key")
+    recurring = lines.groupBy("key", "context").agg(F.count_distinct("source").alias("texts")).where(F.col("texts") >= RECURS)
+    alike = lines.groupBy("context").agg(F.count_distinct("source").alias("all"))
+    templates = recurring.join(alike, "context").where(F.col("texts") * VARIED > F.col("all")).select("key")
     pages = lines.join(templates, "key").select("doc", F.lit("page_template").alias("kind"))
     return sure.unionByName(slots).unionByName(pages).distinct()

@@ -359,3 +359,11 @@ def test_residue_of_the_corpus(spark, rows):
     got = rows(residue.find_residue(df, "doc_id", "text"))
     assert sorted(got) == [(i, "slot_default") for i in range(6)] + [(20 + i, "page_template") for i in range(4)]
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_residue_of_the_corpus_holds_at_any_size(spark, rows):
+    docs = [(i, f"Text {i} at{i % 5} [clinic motto, 2 lines that {'go on ' * 12}end] word. {i}") for i in range(60)]
+    docs += [(100 + i, f"{i} words.\nThis portal page is shut. {'It is long. ' * 20}") for i in range(30)] + [(200 + i, f"{i} words.\nThis portal page{' x' * i} opens") for i in range(9)]
+    docs += [(300 + i, "One text.\nThe linked link is old.") for i in range(5)]
+    got = rows(residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    assert sorted(got) == [(i, "slot_default") for i in range(60)] + [(100 + i, "page_template") for i in range(30)]
