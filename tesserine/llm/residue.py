@@ -87,17 +87,20 @@ ONE_PLACE = 0.5
 _MAY = {
     "variable": ("{", "%", "<", "[", "(", "@@", "__", "_me", "_this", "_in", "todo", "tbd", "fixme", "xxxx"),
     "lorem": ("ipsum", "dolor", "adipiscing", "eiusmod", "tempor", "ullamco", "consectetur", "aliqu"),
-    "filler": ("goes here", "dummy", "to edit", "text text", "text, text", "blah", "asdf", "qwer", "replace this", "sentences here", "final copy", "texte", "faux", "steht", "blindtext", "beispieltext", "texto", "aquí va", "نص", "النص", "coming soon", "heading", "sample text"),
+    "filler": ("goes here", "dummy", "to edit", "text", "blah", "asdf", "qwer", "replace this", "sentences here", "final copy", "texte", "faux", "steht", "blindtext", "beispieltext", "texto", "aquí va", "نص", "النص", "coming soon", "heading", "sample text"),
     "error": (
         "error", "erreur", "fehler", "خطأ", "not found", "denied", "forbidden", "gateway", "login required", "blocked", "missing", "interrupted", "exceeded", "is gone", "went wrong", "whoops", "requests", "page you", "- the page",
-        "unavailable", "server", "host did", "sqlstate", "database", "exception", "permission", "session", "are human", "verifying", "handler", "address you", "moved or", "withdrawn or", "maintenance", "signed-in", "nothing here", "webmaster", "the cache", "retry after",
+        "unavailable", "server", "host did", "sqlstate", "database", "exception", "permission", "session", "are human", "verifying", "handler", "address you", "moved or", "withdrawn or", "maintenance", "signed-in", "nothing here", "webmaster", "the cache", "retry after", "sent too many",
         "introuvable", "absente", "rompu", "adresse", "serveur", "momentan", "accès refusé", "pas les droits", "gefunden", "veraltet", "zugriff", "no encontrada", "enlace", "dirección", "servidor", "acceso", "الصفحة", "العنوان", "الخادم", "رفض",
-        "404", "403", "401", "400", "500", "502", "503", "504",
     ),
-    "notice": ("script", "js", "جافا", "النصية", "السكربت", "skript", "checking your", "your browser", "turn them on"),
+    "notice": ("script", "js", "جافا", "النصية", "السكربت", "skript", "checking your", "your browser", "turn them on", "only runs with"),
 }
 
 
+#: The codes that an error page may begin with, for the same purpose.
+_CODE = re.compile(r"[45]\d\d")
+
+
 def reasons(text: str) -> list[str]:
     """The kinds of residue that the wording alone shows."""
     low = text.lower()
@@ -111,7 +114,7 @@ def reasons(text: str) -> list[str]:
         best = max(best, run)
     if best >= 5 or "filler" in may and FILLER.search(text):
         out.append("filler")
-    if "error" in may and ERROR.search(text):
+    if ("error" in may or _CODE.search(text)) and ERROR.search(text):
         out.append("error_page")
     if "notice" in may and NOTICE.search(text):
         out.append("script_notice")

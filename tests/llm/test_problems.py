@@ -367,3 +367,8 @@ def test_residue_of_the_corpus_holds_at_any_size(spark, rows):
     docs += [(300 + i, "One text.\nThe linked link is old.") for i in range(5)]
     got = rows(residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
     assert sorted(got) == [(i, "slot_default") for i in range(60)] + [(100 + i, "page_template") for i in range(30)]
+
+
+@pytest.mark.parametrize("text,kind", [("410: The page was removed.", "error_page"), ("429 - Access is limited.", "error_page"), ("text,text,text,text", "filler"), ("text\ntext\ntext\ntext", "filler"), ("This site only runs with it.", None), ("Site only runs with it.", "script_notice")])
+def test_residue_prefilter_is_implied_by_the_patterns(text, kind):
+    assert residue.reasons(text) == ([kind] if kind else [])
