@@ -3,10 +3,11 @@
 Every text is the set of its word shingles, ordered rarest first by counts over
 the whole corpus. Two sets reach a Jaccard similarity only if they share a
 shingle of their prefixes, so documents are joined on the shingles of their
-prefixes. Copies, whose prefix and size are identical, form one group that
-stands in the join once; pairs of groups are filtered by size and by a lower
-bound of their symmetric difference; members come back only at the end and the
-texts of every remaining pair are compared exactly.
+prefixes. Documents of identical prefix and size collapse into one group, which
+stands in the join once. Pairs of groups are filtered by size and shingle, then
+expanded to their members, which a lower bound of the symmetric difference
+filters; members of one group are held against each other in the same way. The
+texts of every pair that is left are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,16 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.shingles import columns, hash_words, jaccard_pairs, least_overlap, mix, sketch_width, sketches, within
+from tesserine.llm.shingles import PAIRS_AT_A_TIME, Side, close, hash_words, jaccard_pairs, mix, sketch_width, sketches, sweep, table_pairs
 from tesserine.runtime import stored
 
-#: Counters of the corpus-wide shingle counts; the counts take 8 bytes each and are broadcast (2 MB).
+#: Counters of the corpus-wide shingle counts; as rarities, of one byte each, they are broadcast (256 KB).
 COUNTERS = 1 << 18
 #: Prefix shingles that one task of the join is meant to hold.
-ROWS_PER_TASK = 600_000
-#: Pairs of groups that a task compares at a time; so few that the arrays stay in the processor's cache.
-PAIRS_AT_A_TIME = 1 << 16
-#: Group hashes a task remembers in order to emit a group once; beyond it repeats reach the join, which drops them.
+ROWS_PER_TASK = 2_000_000
+#: Text hashes a task remembers in order to emit a text once; beyond it repeats reach the join, which drops them.
 SEEN = 1 << 20
 #: Texts hashed at a time.
 DOC_BITS = 11
@@ -38,19 +37,18 @@ TEXTS = 1 << DOC_BITS
 #: Bits of a shingle's hash in the join; equal ones of different shingles only cost a comparison.
 TOKEN_BITS = 64 - DOC_BITS - 8
 _TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
-#: Buckets at most; a bucket's number has 16 bits.
-BUCKETS = 1 << 16
+#: Bits of the bucket's number among the high ones of a shingle's hash, and of the rest within a bucket.
+PLACE_BITS, REST_BITS = 22, 30
+#: A shingle counted so often, and so many times the mean, is hot: in its place stand the pairs it makes with other hot ones.
+HOT, HOT_TIMES = 1 << 18, 64
+#: Prefix shingles that a task gathers before it sends them off.
+FLUSH = 4_000_000
 
 
 def _salt(part: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little"))
 
 
-def _salted(h: np.ndarray, parts: list[str]) -> np.ndarray:
-    salt = {p: _salt(p) for p in set(parts)}
-    return mix(h ^ mix(np.array([salt[p] for p in parts], np.uint64)))
-
-
 def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
@@ -100,32 +98,51 @@ def _spread(spark, n: int) -> list[int]:
 class NearDuplicates:
     """What the join found; every table is distributed.
 
-    members: (part, id, grp) of every id whose text has enough words.
-    links: (part, grp_a, grp_b, similarity) of different groups that reach the similarity.
+    source: (part, id, key, text) of every row; ``key`` is a digest of part and text.
+    links: (part, key_a, key_b, similarity) of different texts that reach the similarity.
     """
 
-    members: DataFrame
+    source: DataFrame
     links: DataFrame
+    min_words: int
+    width: int
+
+    def members(self, rows: DataFrame | None = None) -> DataFrame:
+        """(part, id, key) of the rows whose text has enough words."""
+
+        least = max(self.min_words, self.width)
+
+        def enough(batches):
+            for parts, ids, keys, texts in _texts(batches, ("part", "id", "key", "text")):
+                at = np.flatnonzero(hash_words(texts).n_words >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in at], kind) for c, kind in ((parts, pa.string()), (ids, pa.string()), (keys, pa.binary()))], ["part", "id", "key"])
+
+        rows = (self.source if rows is None else rows).select("part", "id", "key", "text")
+        return rows.mapInArrow(enough, "part string, id string, key binary").distinct()
 
     def pairs(self) -> DataFrame:
         """(part, id_a, id_b) of all linked ids, smaller id first, copies included."""
-        m = self.members
-        a, b = (m.select(F.col("grp").alias(f"grp_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-        across = self.links.join(a, "grp_a").join(b, "grp_b").select("part", "id_a", "id_b")
-        within = m.select("part", "grp", F.col("id").alias("id_a")).join(m.select("grp", F.col("id").alias("id_b")), "grp").where("id_a < id_b")
+        ids = self.source.select("part", "id", "key")
+        ends = self.links.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+        linked = ids.join(ends, "key", "left_semi").distinct()
+        a, b = (linked.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+        across = self.links.join(a, "key_a").join(b, "key_b").select("part", "id_a", "id_b")
+        repeated = ids.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+        m = self.members(self.source.join(repeated, "key", "left_semi"))
+        within = m.select("part", "key", F.col("id").alias("id_a")).join(m.select("key", F.col("id").alias("id_b")), "key").where("id_a < id_b")
         return across.unionByName(within.select("part", "id_a", "id_b")).select(
             "part", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")
         )
 
     def groups(self) -> DataFrame:
-        """(part, id, group, links) of every id: the least group hash it is connected to and its links to other texts."""
+        """(part, id, group, links) of every id: the least digest its text is connected to and its links to other texts."""
         from tesserine.operators.components import connected_components
 
-        parts = connected_components(self.links, "grp_a", "grp_b")
-        ends = self.links.select(F.explode(F.array("grp_a", "grp_b")).alias("grp")).groupBy("grp").agg(F.count("*").alias("links"))
+        parts = connected_components(self.links, "key_a", "key_b")
+        ends = self.links.select(F.explode(F.array("key_a", "key_b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
         return (
-            self.members.join(parts.withColumnRenamed("node", "grp"), "grp", "left").join(ends, "grp", "left")
-            .select("part", "id", F.coalesce("component", "grp").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+            self.members().join(parts.withColumnRenamed("node", "key"), "key", "left").join(ends, "key", "left")
+            .select("part", "id", F.hex(F.coalesce("component", "key")).alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
         )
 
 
@@ -134,162 +151,227 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
 
     Only texts of one ``part_col`` value are compared. NULL texts and ids, and
     texts with fewer than ``min_words`` words or no shingle, take no part. Rows
-    that repeat an id with the same text count once. Texts with equal word
-    sequences are one group, of any size: a group is never collected anywhere.
-    The result is exact; prefixes need no tuning and nothing is capped. An empty
-    table gives empty results; other columns are ignored.
+    that repeat an id with the same text count once. Equal texts stand in the join
+    once, whatever their number: their rows are never collected anywhere. The
+    result is exact; nothing is capped. An empty table gives empty results; other
+    columns are ignored.
     """
     spark = df.sparkSession
     part = F.coalesce(F.col(part_col).cast("string"), F.lit("")) if part_col else F.lit("")
     source = df.select(part.alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    # two hashes of a text: a short one that brings candidates together, and a digest that tells texts apart
+    source = source.withColumn("cls", F.xxhash64("part", "text")).withColumn("key", F.unhex(F.md5(F.concat_ws("\0", "part", "text"))))
     counts = shingle_counts(source, "text", width)
     total = int(counts.sum())
-    tasks = min(BUCKETS, max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK)))
+    tasks = min(1 << PLACE_BITS, max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK)))
     mean = total / max(1, source.count())
     sketch_words = sketch_width(mean)
-    known = spark.sparkContext.broadcast(counts)
+    rare = np.minimum(np.log2(counts + 1.0) * 8, 254).astype(np.uint8)
+    rare[counts > max(HOT, HOT_TIMES * total / COUNTERS)] = 255
+    known = spark.sparkContext.broadcast(rare)
     buckets = spark.sparkContext.broadcast(np.array(_spread(spark, tasks), np.int32))
 
     def features(batches):
         seen: set[int] = set()
-        salts: dict[str, np.uint64] = {}
-        for parts, texts in _texts(batches, ("part", "text")):
-            hashed = hash_words(texts)
-            grp = _salted(hashed.text_hash(), parts)
-            salts |= {p: _salt(p) for p in set(parts) - salts.keys()}
-            doc, h = hashed.shingles(width)
-            size = np.bincount(doc, minlength=len(texts))
-            use = (hashed.n_words >= min_words) & (size > 0)
-            for i in np.flatnonzero(use):
-                g = int(grp[i])
-                if g in seen:
-                    use[i] = False
-                else:
+        gathered: list[tuple] = []
+        for parts, hashes, texts in _texts(batches, ("part", "cls", "text")):
+            fresh = []
+            for i, g in enumerate(hashes):
+                if g not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(g)
-            keep = use[doc]
-            doc, h = doc[keep], h[keep]
-            if not len(doc):
-                continue
-            sketch = sketches(doc, h, len(texts), sketch_words).view(np.uint8)
-            # one sortable key: text, rarity on a logarithmic scale, hash; the order of shingles is the same for every text
-            rarity = np.log2(known.value[(h % np.uint64(COUNTERS)).astype(np.int64)] + 1.0) * 8
-            key = (doc.astype(np.uint64) << np.uint64(64 - DOC_BITS)) | (np.minimum(rarity, 255).astype(np.uint64) << np.uint64(TOKEN_BITS)) | (h & _TOKEN)
-            key.sort()
-            first = np.cumsum(size * use) - size * use
-            rank = np.arange(len(key)) - first[doc]
-            n = size[doc]
-            full = n - np.ceil(similarity * n - 1e-9) + 1
-            keep = rank < full
-            doc, key, rank, n = doc[keep], key[keep], rank[keep], n[keep]
-            late = rank >= n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
-            salt = np.array([salts[p] for p in parts], np.uint64)
-            h = (key ^ salt[doc]) & _TOKEN
-            place = (h >> np.uint64(TOKEN_BITS - 16)) * np.uint64(len(buckets.value)) >> np.uint64(16)
-            row = (doc.astype(np.uint64) << np.uint64(16)) | place
-            order = np.argsort((row << np.uint64(1)) | late, kind="stable")
-            row, h, late = row[order], h[order], late[order]
-            new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            doc, bucket = (row >> np.uint64(16)).astype(np.int64), buckets.value[(row & np.uint64(0xFFFF)).astype(np.int64)]
-            is_short = ~late
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[new]), pa.array(grp[doc[new]].view(np.int64)),
-                    pa.array(_pack(size[doc[new]], np.add.reduceat(is_short.astype(np.int64), new), sketch[doc[new]], h, new), pa.binary()),
-                ],
-                ["bucket", "grp", "body"],
-            )
+                    fresh.append(i)
+            gathered.append(_prefixes([parts[i] for i in fresh], np.array(hashes, np.int64)[fresh], [texts[i] for i in fresh], known.value, len(buckets.value), similarity, width, min_words, sketch_words))
+            if sum(len(x[-1]) for x in gathered) >= FLUSH:
+                yield _packed(gathered, buckets.value)
+                gathered = []
+        if gathered:
+            yield _packed(gathered, buckets.value)
 
     def join(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        yield from _join_bucket(pa.Table.from_batches(held), similarity, sketch_words)
+        held = [b for batch in batches for b in batch.column("body").to_pylist()]
+        if held:
+            for a, b in _join_bucket(_unpacked(held, sketch_words), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["cls_a", "cls_b"])
 
-    rows = source.select("part", "text").mapInArrow(features, "bucket int, grp long, body binary")
-    candidates = rows.repartition(tasks, "bucket").mapInArrow(join, "grp_a long, grp_b long")
+    rows = source.select("part", "cls", "text").mapInArrow(features, "bucket int, body binary")
+    candidates = rows.repartition(tasks, "bucket").mapInArrow(join, "cls_a long, cls_b long")
     candidates = stored(candidates.distinct(), "candidates")
-
-    def members(batches):
-        for parts, ids, texts in _texts(batches, ("part", "id", "text")):
-            hashed = hash_words(texts)
-            use = (hashed.n_words >= max(min_words, width))
-            grp = _salted(hashed.text_hash(), parts)
-            at = np.flatnonzero(use)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([parts[i] for i in at], pa.string()), pa.array([ids[i] for i in at], pa.string()), pa.array(grp[at].view(np.int64)), pa.array([texts[i] for i in at], pa.string())],
-                ["part", "id", "grp", "text"],
-            )
-
-    everyone = source.mapInArrow(members, "part string, id string, grp long, text string")
-    wanted = candidates.select(F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
-    texts = everyone.select("part", "grp", "text").join(wanted, "grp", "left_semi").groupBy("part", "grp").agg(F.min("text").alias("text"))
-    texts = stored(texts, "texts")
+    wanted = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    texts = stored(source.select("part", "cls", "key", "text").join(wanted, "cls", "left_semi").distinct(), "texts")
 
     def verify(batches):
-        for ps, gas, gbs, tas, tbs in _texts(batches, ("part", "grp_a", "grp_b", "text_a", "text_b")):
+        for ps, kas, kbs, tas, tbs in _texts(batches, ("part", "key_a", "key_b", "text_a", "text_b")):
             _, value = jaccard_pairs(tas, tbs, width)
             at = np.flatnonzero(value >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ps[i] for i in at], pa.string()), pa.array([gas[i] for i in at], pa.int64()), pa.array([gbs[i] for i in at], pa.int64()), pa.array(value[at], pa.float64())],
-                ["part", "grp_a", "grp_b", "similarity"],
+                [pa.array([ps[i] for i in at], pa.string()), pa.array([kas[i] for i in at], pa.binary()), pa.array([kbs[i] for i in at], pa.binary()), pa.array(value[at], pa.float64())],
+                ["part", "key_a", "key_b", "similarity"],
             )
 
-    left = texts.select("part", F.col("grp").alias("grp_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("grp").alias("grp_b"), F.col("text").alias("text_b"))
-    links = candidates.join(left, "grp_a").join(right, "grp_b").select("part", "grp_a", "grp_b", "text_a", "text_b")
-    links = stored(links.mapInArrow(verify, "part string, grp_a long, grp_b long, similarity double"), "links")
-    return NearDuplicates(everyone.select("part", "id", "grp").distinct(), links)
-
-
-#: Bytes of a prefix shingle's hash in the shuffle; equal ones of different shingles only cost a comparison.
-TOKEN_BYTES = 5
-
-
-def _pack(n: np.ndarray, n_short: np.ndarray, sketch: np.ndarray, h: np.ndarray, new: np.ndarray) -> list[bytes]:
-    """One compact value per row: size, number of short-prefix shingles, sketch, shingles."""
-    heads = np.concatenate([np.stack([n, n_short], axis=1).astype("<u4").view(np.uint8).reshape(len(n), 8), sketch], axis=1)
-    tails = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
-    return [a.tobytes() + tails[i:j].tobytes() for a, i, j in zip(heads, new, [*new[1:], len(h)])]
-
-
-def _join_bucket(table: pa.Table, similarity: float, sketch_words: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups that share a prefix shingle of this bucket and pass the size and sketch filters."""
-    grp = table.column("grp").to_numpy()
-    grp, at = np.unique(grp, return_index=True)
-    table = table.take(pa.array(at))
-    head = 8 + 8 * sketch_words
-    bodies = table.column("body").to_pylist()
-    heads = np.frombuffer(b"".join(b[:head] for b in bodies), np.uint8).reshape(len(grp), head)
-    n, n_short = heads[:, :8].copy().view("<u4").astype(np.int64).T
-    sketch = columns(heads[:, 8:].copy().view(np.uint64))
-    tails = [b[head:] for b in bodies]
-    per = np.fromiter((len(t) // TOKEN_BYTES for t in tails), np.int64, len(tails))
-    token = np.zeros((int(per.sum()), 8), np.uint8)
-    token[:, :TOKEN_BYTES] = np.frombuffer(b"".join(tails), np.uint8).reshape(-1, TOKEN_BYTES)
-    token = token.view("<u8").ravel()
-    doc = np.repeat(np.arange(len(n)), per)
-    short = np.arange(len(token)) - np.repeat(np.cumsum(per) - per, per) < np.repeat(n_short, per)
-    order = np.argsort((token << np.uint64(24)) | np.minimum(n[doc], (1 << 24) - 1).astype(np.uint64))
-    token, doc, short = token[order], doc[order], short[order]
-    run = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
-    key = (run << 32) | n[doc]
-    most = np.floor(n[doc] / similarity + 1e-9).astype(np.int64)
-    end = np.searchsorted(key, (run << 32) | np.minimum(most, (1 << 32) - 1), side="right")
-    lefts = np.flatnonzero(short & (end > np.arange(len(end)) + 1))
-    width = end[lefts] - lefts - 1
-    ends = np.cumsum(width)
-    at = 0
-    while at < len(lefts):
+    left, right = (texts.select(F.col("part").alias(f"part_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "key", "text")]) for x in "ab")
+    links = candidates.join(left, "cls_a").join(right, "cls_b").where("part_a = part_b").select(F.col("part_a").alias("part"), "key_a", "key_b", "text_a", "text_b")
+    links = stored(links.mapInArrow(verify, "part string, key_a binary, key_b binary, similarity double"), "links")
+    return NearDuplicates(source, links, min_words, width)
+
+
+def _prefixes(parts: list[str], cls: np.ndarray, texts: list[str], rare: np.ndarray, buckets: int, similarity: float, width: int, min_words: int, sketch_words: int) -> tuple:
+    """(place, cls, group, n, home, sketch, shingles, token) of the prefixes of some texts, by text and bucket.
+
+    A token's lowest bit says that it lies in the prefix that the smaller of two sets needs.
+    """
+    hashed = hash_words(texts)
+    doc, h = hashed.shingles(width)
+    size = np.bincount(doc, minlength=len(texts))
+    use = (hashed.n_words >= min_words) & (size > 0)
+    doc, h = doc[use[doc]], h[use[doc]]
+    sketch = sketches(doc, h, len(texts), sketch_words)
+    # one sortable key: text, rarity on a logarithmic scale, hash; the order of shingles is the same for every text
+    rarity = rare[(h % np.uint64(len(rare))).astype(np.int64)]
+    key = (doc.astype(np.uint64) << np.uint64(64 - DOC_BITS)) | (rarity.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (h & _TOKEN)
+    key.sort()
+    first = np.cumsum(size * use) - size * use
+    rank = np.arange(len(key)) - first[doc]
+    n = size[doc]
+    full = n - np.ceil(similarity * n - 1e-9) + 1
+    short = rank < n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+    prefix = rank < full
+    salts = {p: _salt(p) for p in set(parts)}
+    salt = np.array([salts[p] for p in parts], np.uint64)
+    group = np.zeros(len(texts), np.uint64)
+    np.add.at(group, doc[prefix], mix(key[prefix] & _TOKEN))
+    group = mix(group ^ salt ^ mix(size.astype(np.uint64)))
+    hot = (key >> np.uint64(TOKEN_BITS)) & np.uint64(0xFF) == 255
+    pair_doc, pair_token = _hot_pairs(doc, key & _TOKEN, hot & (rank < full + 1))
+    keep = prefix & ~hot
+    doc, token = np.concatenate([doc[keep], pair_doc]), np.concatenate([key[keep] & _TOKEN, pair_token])
+    short, home = np.concatenate([short[keep], np.ones(len(pair_doc), bool)]), np.concatenate([rank[keep] == 0, _first(pair_doc)])
+    token = mix(token ^ salt[doc])
+    place = ((token >> np.uint64(64 - PLACE_BITS)) * np.uint64(buckets) >> np.uint64(PLACE_BITS)).astype(np.int64)
+    order = np.argsort(doc << PLACE_BITS | place, kind="stable")
+    doc, token, short, home, place = (x[order] for x in (doc, token, short, home, place))
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]))
+    of = doc[new]
+    at_home = np.logical_or.reduceat(home, new) if len(new) else np.zeros(0, bool)
+    token = ((token & np.uint64((1 << REST_BITS) - 1)) << np.uint64(1) | short).astype("<u4")
+    return place[new], cls[of], group[of].view(np.int64), size[of], at_home, sketch[of], np.diff(np.append(new, len(doc))), token
+
+
+def _first(doc: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1]])
+
+
+def _hot_pairs(doc: np.ndarray, token: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of each pair of hot shingles of a text's prefix longer by one.
+
+    Sets that share no other prefix shingle share two hot ones there. The key of a
+    text with a single one is that one.
+    """
+    docs, tokens = doc[hot], token[hot]
+    if not len(docs):
+        return docs, tokens
+    at = np.flatnonzero(_first(docs))
+    out_doc, out = [], []
+    for s, e in zip(at, [*at[1:], len(docs)]):
+        i, j = np.triu_indices(e - s, 1)
+        out.append(mix(tokens[s:e][i] * np.uint64(0x9E3779B97F4A7C15) + tokens[s:e][j]) & _TOKEN)
+        out_doc.append(np.full(len(i), docs[s]))
+    return np.concatenate(out_doc), np.concatenate(out)
+
+
+def _packed(gathered: list[tuple], buckets: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: the parts of the texts that fall into it, column by column."""
+    place, cls, group, n, home, sketch, count, token = (np.concatenate([g[k] for g in gathered]) for k in range(8))
+    order = np.argsort(place, kind="stable")
+    first = np.cumsum(count) - count
+    count_in_order = count[order]
+    token = token[np.arange(len(token)) - np.repeat(np.cumsum(count_in_order) - count_in_order - first[order], count_in_order)]
+    place, cls, group, n, home, sketch, count = (x[order] for x in (place, cls, group, n, home, sketch, count))
+    starts = np.flatnonzero(_first(place))
+    tokens = np.append(0, np.cumsum(count))
+    bodies = []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+        own = token[tokens[s] : tokens[e]]
+        bodies.append(b"".join(x.tobytes() for x in (np.array([e - s, len(own)], "<i8"), cls[s:e], group[s:e], (n[s:e] << 1 | home[s:e]).astype("<u4"), sketch[s:e], count[s:e].astype("<u4"), own)))
+    return pa.RecordBatch.from_arrays([pa.array(buckets[place[starts]], pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+
+def _unpacked(bodies: list[bytes], sketch_words: int) -> tuple:
+    """(cls, group, n, home, sketch, shingles, token) of all texts of a bucket."""
+    parts = []
+    for body in bodies:
+        docs, tokens = np.frombuffer(body, "<i8", 2).tolist()
+        at, out = 16, []
+        for kind, size in (("<i8", docs), ("<i8", docs), ("<u4", docs), ("<u8", docs * sketch_words), ("<u4", docs), ("<u4", tokens)):
+            out.append(np.frombuffer(body, kind, size, at))
+            at += size * int(kind[2])
+        parts.append(out)
+    cls, group, n, sketch, count, token = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    return cls, group, (n >> 1).astype(np.int64), (n & 1).astype(bool), sketch.reshape(-1, sketch_words), count.astype(np.int64), token
+
+
+def _join_bucket(rows: tuple, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cls, cls) of texts whose groups share a prefix shingle of this bucket and which sizes and sketches do not rule out."""
+    cls, group, n, home, sketch, count, token = rows
+    order = np.lexsort((cls, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (cls[order][1:] != cls[order][:-1]) | (group[order][1:] != group[order][:-1])
+    member = order[new]  # one row for each text, the members of a group side by side
+    head = np.flatnonzero(_first(group[member]))
+    members = np.diff(np.append(head, len(member)))
+    texts = Side(n[member], sketch[member], similarity)
+    cls = cls[member]
+    # a group stands for its first text; that may differ from what a member differs from by as much as it differs from the member
+    of = np.repeat(np.arange(len(head)), members)
+    inner = sum(np.bitwise_count(c ^ c[head][of]).astype(np.int64) for c in texts.columns)
+    groups = Side(n[member][head], sketch[member][head], similarity)
+    groups.room += np.maximum.reduceat(inner, head) if len(head) else 0
+    first = (np.cumsum(count) - count)[member[head]]
+    per = count[member[head]]
+    owner = np.repeat(np.arange(len(head)), per)
+    token = token[np.arange(len(owner)) - np.repeat(np.cumsum(per) - per - first, per)]
+    size = groups.n[owner]
+    short = (token & 1).astype(bool)
+    key = (token >> 1).astype(np.int64) << 32 | size
+    order = np.argsort(key)
+    key, owner, short, size = key[order], owner[order], short[order], size[order]
+    most = np.floor(size / similarity + 1e-9).astype(np.int64)
+    end = np.searchsorted(key, (key >> 32 << 32) | np.minimum(most, (1 << 32) - 1), side="right")
+    left = np.flatnonzero(short & (end > np.arange(len(end)) + 1))
+    for a, b in sweep(groups, groups, owner[left], left + 1, end[left], np.flatnonzero(_first(key[left] >> 32)), owner):
+        pair = np.unique(np.minimum(a, b) * len(head) + np.maximum(a, b))
+        for i, j in _expanded(texts, head, members, pair // len(head), pair % len(head)):
+            yield cls[i], cls[j]
+    for x in np.flatnonzero((members > 1) & home[member[head]]).tolist():
+        own = range(head[x], head[x] + members[x])
+        for i, j in _table(texts, own, own):
+            yield cls[i[i < j]], cls[j[i < j]]
+
+
+def _expanded(texts: Side, head: np.ndarray, members: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of members of the groups a[k] and b[k] that the sketches do not rule out."""
+    single = (members[a] == 1) & (members[b] == 1)
+    yield head[a[single]], head[b[single]]
+    a, b = a[~single], b[~single]
+    volume = members[a] * members[b]
+    large = volume > PAIRS_AT_A_TIME
+    for x, y in zip(a[large].tolist(), b[large].tolist()):
+        yield from _table(texts, range(head[x], head[x] + members[x]), range(head[y], head[y] + members[y]))
+    a, b, volume = a[~large], b[~large], volume[~large]
+    ends, at = np.cumsum(volume), 0
+    while at < len(a):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_A_TIME, side="right")))
-        w = width[at:stop]
-        i = np.repeat(lefts[at:stop], w)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + i + 1
-        a, b = doc[i], doc[j]
-        total = n.take(a) + n.take(b)
-        bound = total - 2 * least_overlap(total, 0, similarity).astype(np.int64)
-        ok = within(sketch, sketch, a, b, bound)
-        pair = np.unique(np.minimum(a[ok], b[ok]) * len(n) + np.maximum(a[ok], b[ok]))
-        yield pa.RecordBatch.from_arrays([pa.array(grp[pair // len(n)]), pa.array(grp[pair % len(n)])], ["grp_a", "grp_b"])
+        v = volume[at:stop]
+        k = np.arange(v.sum()) - np.repeat(np.cumsum(v) - v, v)
+        x, y = np.repeat(a[at:stop], v), np.repeat(b[at:stop], v)
+        yield close(texts, texts, head[x] + k // members[y], head[y] + k % members[y])
         at = stop
+
+
+def _table(texts: Side, rows: range, cols: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a row and a column that the sketches do not rule out, a bounded part of the table at a time."""
+    for r in range(rows.start, rows.stop, 1024):
+        for c in range(cols.start, cols.stop, 1024):
+            i, j = table_pairs(texts, texts, np.arange(r, min(r + 1024, rows.stop)), np.arange(c, min(c + 1024, cols.stop)))
+            yield i + r, j + c

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,3 +174,90 @@ def within(columns_a: list[np.ndarray], columns_b: list[np.ndarray], i: np.ndarr
 def columns(sketch: np.ndarray) -> list[np.ndarray]:
     """The words of sketches as one array each."""
     return [np.ascontiguousarray(sketch[:, k]) for k in range(sketch.shape[1])]
+
+
+class Side:
+    """The sets of one side of a comparison: sizes and sketches by column."""
+
+    def __init__(self, n: np.ndarray, sketch: np.ndarray, similarity: float):
+        self.n, self.columns = n.astype(np.int64), columns(sketch)
+        #: Half of the bits in which the sketches of two sets may differ is due to each.
+        self.room = (n * ((1 - similarity) / (1 + similarity)) + 1e-3).astype(np.float32)
+
+
+#: Pairs from which on the holders of a shingle are compared as a table, not as a list.
+TABLE = 2048
+#: Rows of such a table.
+STRIP = 128
+#: Pairs that are listed at a time; so few that the arrays stay in the processor's cache.
+PAIRS_AT_A_TIME = 1 << 16
+
+
+def close(a: Side, b: Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the listed pairs whose sketches differ in no more bits than the similarity allows."""
+    ok = within(a.columns, b.columns, i, j, a.room.take(i) + b.room.take(j))
+    return i[ok], j[ok]
+
+
+def table_pairs(a: Side, b: Side, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(r, c): places in ``rows`` and ``cols`` of the pairs that the sketches do not rule out."""
+    differ = np.bitwise_count(a.columns[0][rows][:, None] ^ b.columns[0][cols])
+    if len(a.columns) > 1:
+        differ += np.bitwise_count(a.columns[1][rows][:, None] ^ b.columns[1][cols])
+    r, c = np.divmod(np.flatnonzero(differ <= a.room[rows][:, None] + b.room[cols]), max(len(cols), 1))
+    if len(a.columns) > 2:
+        i, j = rows[r], cols[c]
+        ok = within(a.columns, b.columns, i, j, a.room.take(i) + b.room.take(j))
+        r, c = r[ok], c[ok]
+    return r, c
+
+
+def sweep(a: Side, b: Side, left: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a set left[k] of ``a`` and a set right[m], low[k] <= m < high[k], of ``b`` that the sketches do not rule out.
+
+    ``starts`` are the places in ``left`` at which a new shingle begins; ``low`` and
+    ``high`` never fall within one. Short runs are listed, long ones compared as tables.
+    """
+    if not len(left):
+        return
+    width = np.maximum(high - low, 0)
+    volume = np.add.reduceat(width, starts)
+    stops = np.append(starts[1:], len(left))
+    big = volume >= TABLE
+    listed = np.flatnonzero(np.repeat(~big, stops - starts) & (width > 0))
+    ends, at = np.cumsum(width[listed]), 0
+    while at < len(listed):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_A_TIME, side="right")))
+        k = listed[at:stop]
+        w = width[k]
+        i = np.repeat(left[k], w)
+        j = right[np.arange(len(i)) - np.repeat(np.cumsum(w) - w - low[k], w)]
+        yield close(a, b, i, j)
+        at = stop
+    for s, e in zip(starts[big].tolist(), stops[big].tolist()):
+        for at in range(s, e, STRIP):
+            k = slice(at, min(at + STRIP, e))
+            lo, hi = int(low[k].min()), int(high[k].max())
+            for first in range(lo, hi, 1 << 13):
+                cols = right[first : min(first + (1 << 13), hi)]
+                r, c = table_pairs(a, b, left[k], cols)
+                ok = (c + first >= low[k][r]) & (c + first < high[k][r])
+                yield left[k][r[ok]], cols[c[ok]]
+
+
+def common_shingles(doc_a: np.ndarray, h_a: np.ndarray, doc_b: np.ndarray, h_b: np.ndarray, i: np.ndarray, j: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i[k] and j[k] share; both sides are given as (doc, hash), sorted by doc."""
+    out = np.empty(len(i), np.int64)
+    first_a, first_b = (np.cumsum(n) - n for n in (n_a, n_b))
+    for at in range(0, len(i), 2048):
+        keys = []
+        for first, n, h, d in ((first_a, n_a, h_a, i[at : at + 2048]), (first_b, n_b, h_b, j[at : at + 2048])):
+            w = n[d]
+            pair = np.repeat(np.arange(len(d)), w)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(w) - w - first[d], w)
+            keys.append((pair.astype(np.uint64) << np.uint64(HASH_BITS)) | h[place])
+        key = np.concatenate(keys)
+        key.sort()
+        both = key[1:][key[1:] == key[:-1]]
+        out[at : at + 2048] = np.bincount((both >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(i[at : at + 2048]))
+    return out

@@ -79,6 +79,39 @@ def test_near_duplicates_many_tasks(spark, corpus, rows, monkeypatch):
     assert rows(neardup.near_duplicates(df, "id", "text").pairs()) == sorted(want)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 12])
+def test_near_duplicates_with_hot_shingles(spark, corpus, rows, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "HOT_TIMES", 0)
+    head = " ".join(f"head{i}" for i in range(12))
+    texts = [*corpus, *((f"z{i}", f"{head} {t}") for i, t in corpus[::3] if t), *((f"y{i}", f"{head} own{i} words{i % 2}") for i in range(9))]
+    use = [(k, t) for k, t in texts if sets(t)]
+    want = [("", a, b) for i, (a, x) in enumerate(use) for b, y in use[i + 1 :] if similarity(x, y) >= 0.6]
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "id string, text string"), "id", "text", similarity=0.6, width=3)
+    assert rows(got.pairs()) == sorted((p, *sorted((a, b))) for p, a, b in want)
+
+
+def test_groups_of_one_prefix_are_expanded_and_verified(spark, rows, monkeypatch):
+    """Texts that share size and rarest shingles but differ in their common ones."""
+    from tesserine.llm import shingles
+
+    monkeypatch.setattr(shingles, "TABLE", 4)
+    monkeypatch.setattr(neardup, "PAIRS_AT_A_TIME", 3)
+    common = [" ".join(f"c{k}{i}" for i in range(6)) for k in range(3)]
+    texts = [(f"f{i:03d}", c) for i, c in enumerate(common * 20)]
+    rare = [" ".join(f"r{k}{i}" for i in range(16)) for k in range(4)]
+    texts += [(f"g{k}{i}", f"{r} {c}") for k, r in enumerate(rare) for i, c in enumerate(common)]
+    want = [("", a, b) for i, (a, x) in enumerate(texts) for b, y in texts[i + 1 :] if similarity(x, y) >= 0.5]
+    assert any(a[:2] == b[:2] and a[0] == "g" for _, a, b in want)
+    only = [t for _, t in texts]
+    made = neardup._prefixes([""] * len(only), np.arange(len(only)), only, np.zeros(neardup.COUNTERS, np.uint8), 2, 0.5, 3, 0, 4)
+    packed = neardup._packed([made], np.arange(2)).to_pylist()
+    found = {(min(a, b), max(a, b)) for row in packed for x, y in neardup._join_bucket(neardup._unpacked([row["body"]], 4), 0.5) for a, b in zip(x.tolist(), y.tolist())}
+    assert {(i, j) for i, x in enumerate(only) for j, y in enumerate(only) if i < j and similarity(x, y) >= 0.5} <= found
+    got = neardup.near_duplicates(spark.createDataFrame(texts, "id string, text string"), "id", "text", similarity=0.5, width=3)
+    assert rows(got.pairs()) == sorted(want)
+
+
 @pytest.mark.parametrize("block", [8, 49_152])
 def test_overlaps_equal_brute_force(spark, corpus, rows, monkeypatch, block):
     monkeypatch.setattr(overlap, "BLOCK", block)
