@@ -1,16 +1,20 @@
 """Records of evaluation splits that recur in the training split.
 
-The evaluation texts are normalised and written in blocks of bounded size. For
-each block, an Aho-Corasick automaton of its passages - the rarest word shingles
-of every evaluation text - scans all training texts. A training text that
-matches a passage of an evaluation text, and whose sketch does not rule the
-similarity out, is compared with it in full; the matched intervals are merged into the part of the evaluation text they cover.
+The evaluation texts are normalised and split into shards of bounded size. For
+each shard an Aho-Corasick automaton of all its passages - runs of words, each
+word as a few characters of its hash - is compiled once and stored; it scans all
+training texts. Passages are numbered rarest first, so the matches of a training
+text show which evaluation texts may be similar to it; sizes, sketches and at last
+the shingles themselves decide. The matched intervals of an evaluation record,
+from all training texts, merge into the part of it that they cover.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,224 +22,271 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.neardup import COUNTERS, _texts, shingle_counts
-from tesserine.llm.shingles import HASH_BITS, columns, hash_words, jaccard_pairs, least_overlap, sketch_width, sketches, within, words
+from tesserine.llm.neardup import SEEN, _first, _texts
+from tesserine.llm.shingles import HASH_BITS, Side, common_shingles, hash_words, mix, sketch_width, sketches, sweep
 from tesserine.runtime import stored, stored_path
 
-#: Evaluation texts in the automaton of one task.
-BLOCK = 49_152
-#: Passages beyond those that a similar text may lack.
-SLACK = 1
-#: Training texts whose matches are expanded at a time.
-SCAN = 64
-#: Training texts, normalised, that a task holds while it takes one block after the other.
-HELD = 65_536
+#: Evaluation texts in one shard; its automaton and texts take about 1 KB for each.
+BLOCK = 1 << 17
+#: Training texts that are matched at a time.
+HELD = 1 << 14
+#: Bits of a word's hash in each of the characters that stand for the word.
+CODE_BITS, CODE_CHARS = 6, 3
 
 
-def compile_block(grps: np.ndarray, texts: list[str], counts: np.ndarray, similarity: float, width: int, sketch_words: int) -> dict:
-    """The passages of a block of evaluation texts, ready for ``Passages``."""
+def coded(word: np.ndarray) -> np.ndarray:
+    """CODE_CHARS characters for each word hash; no character occurs in two places, so matches start at words."""
+    out = np.empty((len(word), CODE_CHARS), np.uint8)
+    for k in range(CODE_CHARS):
+        out[:, k] = ((word >> np.uint64(64 - CODE_BITS * (k + 1))) & np.uint64((1 << CODE_BITS) - 1)).astype(np.uint8) + 1 + (k << CODE_BITS)
+    return out
+
+
+def _prefix_lengths(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of sets of these sizes for the larger and for the smaller set of a pair."""
+    return (n - np.ceil(x * n - 1e-9).astype(np.int64) + 1 for x in (similarity, 2 * similarity / (1 + similarity)))
+
+
+def compile_block(keys: list[bytes], texts: list[str], similarity: float, width: int, sketch_words: int) -> dict[str, bytes]:
+    """The automaton of a shard of evaluation texts, and what its matches are held against."""
+    import ahocorasick
+
     hashed = hash_words(texts)
-    doc, h = hashed.all_shingles(width)
-    runs = np.maximum(hashed.n_words - width + 1, 0)
-    at = np.arange(len(doc)) - (np.cumsum(runs) - runs)[doc]
-    count = np.minimum(counts[(h % np.uint64(COUNTERS)).astype(np.int64)], (1 << 24) - 1)
-    # any passages would do; the rarest cost least
-    order = np.argsort((doc << 38) | (count << 14) | (h >> np.uint64(HASH_BITS - 14)).astype(np.int64))
-    doc, h, at = doc[order], h[order], at[order]
-    unique = _first_of_each(doc, h)
-    doc, h, at = doc[unique], h[unique], at[unique]
+    doc, h = hashed.shingles(width)
     size = np.bincount(doc, minlength=len(texts))
-    sketch = sketches(doc, h, len(texts), sketch_words)
-    rank = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
-    least = np.ceil(similarity * size - 1e-9).astype(np.int64)
-    keep = rank < (size - least + SLACK)[doc]
-    doc, h, at = doc[keep], h[keep], at[keep]
-    _, one, passage = np.unique(h, return_index=True, return_inverse=True)
-    by_text = np.argsort(doc[one], kind="stable")
-    place = np.empty_like(by_text)
-    place[by_text] = np.arange(len(by_text))
-    passage = place[passage]
-    phrases, current, split = [], -1, []
-    for d, k in zip(doc[one][by_text].tolist(), at[one][by_text].tolist()):
-        if current != d:
-            current, split = d, texts[d].split()
-        phrases.append(" ".join(split[k : k + width]))
+    code = coded(hashed.word)
+    start = np.arange(max(len(hashed.word) - width + 1, 0))
+    start = start[hashed.doc[start] == hashed.doc[start + width - 1]]
+    name = np.zeros(len(start), np.uint64)
+    for k in range(width):
+        for c in range(CODE_CHARS):
+            name = mix(name + code[start + k, c])
+    names, one, passage = np.unique(name, return_index=True, return_inverse=True)
+    number = np.empty(len(names), np.int64)
+    number[np.lexsort((names, np.bincount(passage, minlength=len(names))))] = np.arange(len(names))
+    passage = number[passage]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    spelt = code.tobytes().decode("latin-1")
+    for p, at in zip(number.tolist(), (start[one] * CODE_CHARS).tolist()):
+        automaton.add_word(spelt[at : at + width * CODE_CHARS], p)
+    if len(names):
+        automaton.make_automaton()
+    entry = np.unique(hashed.doc[start] << 32 | passage)
+    holder, p = entry >> 32, entry & 0xFFFFFFFF
+    held = np.bincount(holder, minlength=len(texts))
+    rank = np.arange(len(holder)) - (np.cumsum(held) - held)[holder]
+    full, short = (x[holder] for x in _prefix_lengths(size, similarity))
+    at = np.flatnonzero(rank < full)
+    at = at[np.lexsort((size[holder[at]], p[at]))]
     return {
-        "grps": grps.astype("<i8").tobytes(), "texts": "\n".join(texts), "phrases": "\n".join(phrases), "size": size.astype("<i8").tobytes(),
-        "sketch": sketch.tobytes(), "holder": doc[np.argsort(passage, kind="stable")].astype("<i4").tobytes(),
-        "holders": np.bincount(passage, minlength=len(one)).astype("<i8").tobytes(),
+        "keys": b"".join(keys), "automaton": pickle.dumps(automaton), "size": size.astype("<i4").tobytes(), "n_words": hashed.n_words.astype("<i4").tobytes(),
+        "sketch": sketches(doc, h, len(texts), sketch_words).tobytes(), "shingles": h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), "runs": passage.astype("<u4").tobytes(),
+        "holder": holder[at].astype("<i4").tobytes(), "token": p[at].astype("<u4").tobytes(), "is_short": (rank < short)[at].tobytes(),
     }
 
 
-#: What a compiled block is stored as: one row.
-BLOCK_SCHEMA = "block int, grps binary, texts string, phrases string, size binary, sketch binary, holder binary, holders binary"
+#: What a compiled shard is stored as: one row.
+BLOCK_SCHEMA = "block int, " + ", ".join(f"{c} binary" for c in ("keys", "automaton", "size", "n_words", "sketch", "shingles", "runs", "holder", "token", "is_short"))
 
 
 class Passages:
-    """The automaton of a compiled block: its passages and the evaluation texts that hold each."""
-
-    def __init__(self, block: dict, similarity: float):
-        import ahocorasick
-
-        self.similarity = similarity
-        self.grps, self.size, self.holders = (np.frombuffer(block[k], "<i8") for k in ("grps", "size", "holders"))
-        self.holder = np.frombuffer(block["holder"], "<i4").astype(np.int64)
-        self.sketch = columns(np.frombuffer(block["sketch"], np.uint64).reshape(len(self.size), -1))
-        self.texts = block["texts"].split("\n")
-        self.first = np.cumsum(self.holders) - self.holders
-        self.automaton = ahocorasick.Automaton()
-        if len(self.holders):
-            for p, phrase in enumerate(block["phrases"].split("\n")):
-                self.automaton.add_word(f" {phrase} ", p)
-            self.automaton.make_automaton()
-
-    def scan(self, texts: list[str], size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j): training text i matches a passage of evaluation text j, and neither sizes nor sketches rule the similarity out."""
-        out, words_of = [], columns(sketch)
-        for at in range(0, len(texts) if len(self.holders) else 0, SCAN):
-            some = texts[at : at + SCAN]
-            ends = np.cumsum([len(t) + 1 for t in some])
-            # a passage starts and ends with a space: neighbouring ones share it, texts share none
-            found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter("\n".join(some))), np.int64).reshape(-1, 2)
-            hit = np.unique((np.searchsorted(ends, found[:, 0], side="right") << 32) | found[:, 1])
-            text, passage = (hit >> 32) + at, hit & 0xFFFFFFFF
-            w = self.holders[passage]
-            i = np.repeat(text, w)
-            j = self.holder[np.arange(len(i)) + np.repeat(self.first[passage] - (np.cumsum(w) - w), w)]
-            total = size.take(i) + self.size.take(j)
-            ok = within(words_of, self.sketch, i, j, total - 2 * least_overlap(total, 0, self.similarity).astype(np.int64))
-            ok = np.unique((i[ok] << 32) | j[ok])
-            out.append((ok >> 32, ok & 0xFFFFFFFF))
-        return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-
-
-def _first_of_each(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Positions of the first occurrence of each shingle in each text, in order."""
-    order = np.lexsort((np.arange(len(h)), h, doc))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    return np.sort(order[new])
-
-
-def coverage(evaluation: str, training: str, width: int) -> float:
-    """The share of the evaluation text's words that lie in runs also found in the training text; the runs' intervals are merged."""
-    e, t = evaluation.split(), training.split()
-    held = {tuple(t[i : i + width]) for i in range(len(t) - width + 1)}
-    covered, end = 0, 0
-    for i in range(len(e) - width + 1):
-        if tuple(e[i : i + width]) in held:
-            covered += i + width - max(i, end)
-            end = i + width
-    return covered / len(e) if e else 0.0
-
-
-def _read_block(uri: str, block: int) -> dict | None:
-    """A compiled block from the shared folder; None if no text fell into it."""
+    """A compiled shard: scans training texts for its passages."""
+
+    def __init__(self, block: dict, similarity: float, width: int, sketch_words: int):
+        self.similarity, self.width = similarity, width
+        self.automaton = pickle.loads(block["automaton"])
+        self.keys = [block["keys"][i : i + 16] for i in range(0, len(block["keys"]), 16)]
+        self.size, self.n_words, self.holder = (np.frombuffer(block[c], "<i4").astype(np.int64) for c in ("size", "n_words", "holder"))
+        self.side = Side(self.size, np.frombuffer(block["sketch"], np.uint64).reshape(-1, sketch_words), similarity)
+        packed = np.frombuffer(block["shingles"], np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(packed), 8), np.uint8)
+        wide[:, :6] = packed
+        self.shingles = wide.view("<u8").ravel()
+        self.runs, self.token = (np.frombuffer(block[c], "<u4").astype(np.int64) for c in ("runs", "token"))
+        self.run_count = np.maximum(self.n_words - width + 1, 0)
+        self.is_short = np.frombuffer(block["is_short"], bool)
+        self.order = self.token << 32 | self.size[self.holder]
+
+    def matches(self, hashed, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, fresh): the passages that each text contains, as text << 32 | passage, sorted; and each text's number of shingles that are none."""
+        spelt = coded(hashed.word).tobytes().decode("latin-1")
+        if not len(self.size) or not len(self.token):
+            found = np.empty((0, 2), np.int64)
+        else:
+            found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(spelt)), np.int64).reshape(-1, 2)
+        last = found[:, 0] // CODE_CHARS
+        first = last - self.width + 1
+        ok = hashed.doc[last] == hashed.doc[first]  # no passage reaches from one text into the next
+        first, passage = first[ok], found[ok, 1]
+        inside = hashed.doc[: max(len(hashed.word) - self.width + 1, 0)] == hashed.doc[self.width - 1 :]
+        run_doc, run_hash = hashed.all_shingles(self.width)
+        at = (np.cumsum(inside) - 1)[first]
+        n_docs = len(hashed.n_words)
+        known = np.unique(run_doc[at].astype(np.uint64) << np.uint64(HASH_BITS) | run_hash[at])
+        known = np.bincount((known >> np.uint64(HASH_BITS)).astype(np.int64), minlength=n_docs)
+        return np.unique(hashed.doc[first] << 32 | passage), np.bincount(doc, minlength=n_docs) - known
+
+    def similar(self, texts: list[str], sketch_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, similarity, hits): training text i and evaluation text j that reach the similarity, and the matches of all texts."""
+        hashed = hash_words(texts)
+        doc, h = hashed.shingles(self.width)
+        size = np.bincount(doc, minlength=len(texts))
+        side = Side(size, sketches(doc, h, len(texts), sketch_words), self.similarity)
+        hit, fresh = self.matches(hashed, doc, h)
+        of, p = hit >> 32, hit & 0xFFFFFFFF
+        each = np.bincount(of, minlength=len(texts))
+        rank = np.arange(len(of)) - (np.cumsum(each) - each)[of] + fresh[of]  # shingles of no evaluation text come first
+        full, short = (x[of] for x in _prefix_lengths(size, self.similarity))
+        at = np.flatnonzero(rank < full)
+        key = p[at] << 32 | size[of[at]]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        owner, is_short = of[at], (rank < short)[at]
+        pairs = [np.empty(0, np.int64)]
+        # the smaller set's short prefix against the larger one's full prefix, once for either being the smaller
+        left = np.flatnonzero(is_short)
+        low, high = (np.searchsorted(self.order, x, side) for x, side in ((key[left], "left"), (self._most(key[left]), "right")))
+        for i, j in sweep(side, self.side, owner[left], low, high, np.flatnonzero(_first(key[left] >> 32)), self.holder):
+            pairs.append(np.unique(i << 32 | j))
+        there = np.zeros(int(self.token.max(initial=0)) + 1, bool)
+        there[p[at]] = True
+        left = np.flatnonzero(self.is_short & there[self.token]) if len(self.token) else np.empty(0, np.int64)
+        low, high = (np.searchsorted(key, x, "right") for x in (self.order[left], self._most(self.order[left])))
+        for j, i in sweep(self.side, side, self.holder[left], low, high, np.flatnonzero(_first(self.token[left])), owner):
+            pairs.append(np.unique(i << 32 | j))
+        pair = np.unique(np.concatenate(pairs))
+        i, j = pair >> 32, pair & 0xFFFFFFFF
+        shared = common_shingles(h, self.shingles, i, j, size, self.size)
+        value = shared / np.maximum(size[i] + self.size[j] - shared, 1)
+        ok = value >= self.similarity - 1e-9
+        return i[ok], j[ok], value[ok], hit
+
+    def _most(self, key: np.ndarray) -> np.ndarray:
+        """The keys of the same passages with the largest size that a set may have beside the given ones."""
+        return (key >> 32 << 32) | np.minimum(np.floor((key & 0xFFFFFFFF) / self.similarity + 1e-9).astype(np.int64), (1 << 32) - 1)
+
+    def intervals(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> list[list[list[int]]]:
+        """For each pair the words of the evaluation text, from and to, that matched passages cover; overlapping ones are merged."""
+        first = np.cumsum(self.run_count) - self.run_count
+        out = []
+        for a, b in zip(i.tolist(), j.tolist()):
+            runs = self.runs[first[b] : first[b] + self.run_count[b]]
+            wanted = a << 32 | runs
+            where = np.minimum(np.searchsorted(hit, wanted), len(hit) - 1)
+            at = np.flatnonzero(hit[where] == wanted)
+            cut = np.flatnonzero(np.diff(at) > self.width)
+            lows, highs = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + self.width
+            out.append(np.stack([lows, highs], axis=1).tolist())
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _shard(uri: str, block: int, similarity: float, width: int, sketch_words: int) -> Passages | None:
+    """A compiled shard from the shared folder, kept by the worker until it needs another; None if no text fell into it."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    where, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     rows = ds.dataset(path, filesystem=where, format="parquet").to_table(filter=ds.field("block") == block).to_pylist()
-    return rows[0] if rows else None
+    return Passages(rows[0], similarity, width, sketch_words) if rows else None
 
 
-def _normalised(source: DataFrame) -> DataFrame:
-    """(id, grp, words) of all rows, copies included."""
+def _qualified(spark, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it to be on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
 
-    def run(batches):
-        for ids, texts in _texts(batches, ("id", "text")):
-            grp = hash_words(texts).text_hash().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(grp), pa.array([words(t or "") for t in texts], pa.string())], ["id", "grp", "words"])
 
-    return source.mapInArrow(run, "id string, grp long, words string")
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key): the rows that can match; ``key`` is a digest of the text."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return rows.withColumn("key", F.unhex(F.md5("text")))
 
 
-def split_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str, text_col: str, *, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(train_id, eval_id, similarity, coverage) of all training and evaluation rows whose texts reach the similarity.
-
-    The similarity is that of the sets of word shingles. NULL ids and texts, and
-    texts shorter than a shingle, match nothing; repeated rows count once; texts
-    of equal words are scanned once a task and expanded at the end. Exact: an
-    evaluation text's passages outnumber the shingles that a similar text may
-    lack. Cost: training texts times blocks of BLOCK evaluation texts; a task
-    holds one block and HELD training texts at a time.
-    """
+def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(train_key, eval_key, similarity, n_words, cover) of all pairs of different texts, from rows of ``_rows``."""
     spark = train.sparkSession
-    rows = {k: d.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL") for k, d in (("t", train), ("e", evaluation))}
-    everyone = rows["t"].unionByName(rows["e"])
-    counts = shingle_counts(everyone, "text", width)
-    sketch_words = sketch_width(int(counts.sum()) / max(1, everyone.count()))
-    counts = spark.sparkContext.broadcast(counts)
-    ids = {}
-    normal = _normalised(rows["e"])
-    ids["e"] = normal.select("id", "grp").distinct()
-    classes = normal.groupBy("grp").agg(F.min("words").alias("words"))
-    classes = stored(classes, "evaluation")
-    blocks = max(1, math.ceil(classes.count() / BLOCK))
+    classes = stored(evaluation.select("key", "text").distinct(), "evaluation")
+    n, words = classes.agg(F.count("*"), F.avg(F.size(F.split("text", " ")))).first()
+    blocks = max(1, math.ceil(n / BLOCK))
+    sketch_words = sketch_width(words or 1)
 
     def compile_one(t: pa.Table) -> pa.Table:
-        made = compile_block(t.column("grp").to_numpy(), t.column("words").to_pylist(), counts.value, similarity, width, sketch_words)
-        return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: [v] for k, v in made.items()}})
+        made = compile_block(t.column("key").to_pylist(), t.column("text").to_pylist(), similarity, width, sketch_words)
+        return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
 
-    numbered = classes.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int"))
-    root = stored_path(numbered.groupBy("block").applyInArrow(compile_one, BLOCK_SCHEMA), "blocks")
+    numbered = classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    root = _qualified(spark, stored_path(numbered.groupBy("block").applyInArrow(compile_one, BLOCK_SCHEMA), "shards"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple] = []
-        for (texts,) in _texts(batches, ("text",)):
-            hashed = hash_words(texts)
-            grp = hashed.text_hash().view(np.int64)
-            fresh = []
-            for k, g in enumerate(grp.tolist()):
-                if g not in seen:
-                    if len(seen) > 1 << 20:
+        seen: set[bytes] = set()
+        keys: list[bytes] = []
+        texts: list[str] = []
+        for some, more in _texts(batches, ("key", "text")):
+            for k, t in zip(some, more):
+                if k not in seen:
+                    if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(g)
-                    fresh.append(k)
-            doc, h = hashed.shingles(width)
-            size, sketch = np.bincount(doc, minlength=len(texts)), sketches(doc, h, len(texts), sketch_words)
-            held.append(([words(texts[k]) for k in fresh], grp[fresh], size[fresh], sketch[fresh]))
-            if sum(len(x[0]) for x in held) >= HELD:
-                yield from against_blocks(held)
-                held = []
-        if held:
-            yield from against_blocks(held)
-
-    def against_blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        some = [t for x in held for t in x[0]]
-        grp, size, sketch = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+                    seen.add(k)
+                    keys.append(k)
+                    texts.append(t)
+            if len(texts) >= HELD:
+                yield from against_shards(keys, texts)
+                keys, texts = [], []
+        if texts:
+            yield from against_shards(keys, texts)
+
+    def against_shards(keys: list[bytes], texts: list[str]) -> Iterator[pa.RecordBatch]:
         for block in range(blocks):
-            compiled = _read_block(root, block)
-            if compiled is None:
+            shard = _shard(root, block, similarity, width, sketch_words)
+            if shard is None:
                 continue
-            passages = Passages(compiled, similarity)
-            i, j = passages.scan(some, size, sketch)
-            for at in range(0, len(i), 8192):
-                left, right = [some[k] for k in i[at : at + 8192]], [passages.texts[k] for k in j[at : at + 8192]]
-                _, value = jaccard_pairs(left, right, width)
-                ok = np.flatnonzero(value >= similarity - 1e-9)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(grp[i[at + ok]], pa.int64()), pa.array(passages.grps[j[at + ok]], pa.int64()), pa.array(value[ok], pa.float64()),
-                        pa.array([coverage(right[k], left[k], width) for k in ok], pa.float64()),
-                    ],
-                    ["train_grp", "eval_grp", "similarity", "coverage"],
-                )
-
-    found = rows["t"].select("text").mapInArrow(scan, "train_grp long, eval_grp long, similarity double, coverage double")
-    found = stored(found.distinct(), "overlaps")
-
-    def keys(batches):
-        for some, texts in _texts(batches, ("id", "text")):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(hash_words(texts).text_hash().view(np.int64))], ["id", "grp"])
-
-    train_ids = rows["t"].mapInArrow(keys, "id string, grp long").join(found.select(F.col("train_grp").alias("grp")).distinct(), "grp", "left_semi").distinct()
-    return (
-        found.join(train_ids.select(F.col("id").alias("train_id"), F.col("grp").alias("train_grp")), "train_grp")
-        .join(ids["e"].select(F.col("id").alias("eval_id"), F.col("grp").alias("eval_grp")), "eval_grp")
-        .select("train_id", "eval_id", "similarity", "coverage")
-    )
+            i, j, value, hit = shard.similar(texts, sketch_words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([keys[k] for k in i.tolist()], pa.binary()), pa.array([shard.keys[k] for k in j.tolist()], pa.binary()), pa.array(value, pa.float64()),
+                    pa.array(shard.n_words[j], pa.int32()), pa.array(shard.intervals(i, j, hit), pa.list_(pa.list_(pa.int32()))),
+                ],
+                ["train_key", "eval_key", "similarity", "n_words", "cover"],
+            )
+
+    found = train.select("key", "text").mapInArrow(scan, "train_key binary, eval_key binary, similarity double, n_words int, cover array<array<int>>")
+    return stored(found.distinct(), "overlaps")
+
+
+def split_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str, text_col: str, *, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(train_id, eval_id, similarity) of all training and evaluation rows whose texts reach the similarity.
+
+    The similarity is that of the sets of word shingles. NULL ids and texts, and
+    texts shorter than a shingle, match nothing; repeated rows count once; equal
+    texts are scanned once a task and expanded at the end. Exact. Cost: training
+    texts times shards of BLOCK evaluation texts; a task holds one shard and HELD
+    training texts at a time.
+    """
+    t, e = _rows(train, id_col, text_col), _rows(evaluation, id_col, text_col)
+    return _expanded(_matches(t, e, similarity, width), t, e).select("train_id", "eval_id", "similarity")
+
+
+def _expanded(found: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    for rows, side in ((train, "train"), (evaluation, "eval")):
+        ids = rows.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"))
+        found = found.join(ids.join(found.select(f"{side}_key").distinct(), f"{side}_key", "left_semi").distinct(), f"{side}_key")
+    return found
+
+
+def overlap_coverage(train: DataFrame, evaluation: DataFrame, id_col: str, text_col: str, *, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(eval_id, partners, coverage) of every evaluation row with an overlap: the training rows it overlaps with, and the share of its words in passages that these hold.
+
+    The matched intervals of all training texts are merged, each once; cases are
+    defined as in ``split_overlaps``.
+    """
+    t, e = _rows(train, id_col, text_col), _rows(evaluation, id_col, text_col)
+    found = _matches(t, e, similarity, width)
+    spans = found.select("eval_key", "n_words", F.explode("cover").alias("x")).select("eval_key", "n_words", F.col("x")[0].alias("lo"), F.col("x")[1].alias("hi")).distinct()
+    words = spans.select("eval_key", "n_words", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("w")).distinct()
+    covered = words.groupBy("eval_key", "n_words").agg(F.count("*").alias("c")).select("eval_key", (F.col("c") / F.col("n_words")).alias("coverage"))
+    partners = _expanded(found.select("train_key", "eval_key"), t, e).groupBy("eval_id", "eval_key").agg(F.count("*").alias("partners"))
+    return partners.join(covered, "eval_key").groupBy("eval_id").agg(F.sum("partners").alias("partners"), F.max("coverage").alias("coverage"))
 
 
 def key_overlaps(train: DataFrame, evaluation: DataFrame, id_col: str, key_col: str) -> DataFrame:

@@ -84,14 +84,25 @@ class Hashed:
         return self.doc[:n][keep], h[keep] & _HASH_MASK
 
     def shingles(self, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(doc, hash) of the distinct runs of ``width`` words of each text, sorted by both; hashes have HASH_BITS bits."""
+        """(doc, hash) of the distinct runs of ``width`` words of each text, sorted by both; hashes have HASH_BITS bits.
+
+        A key holds the numbers of 2**18 texts; more are taken in pieces.
+        """
         doc, h = self.all_shingles(width)
-        key = (doc.astype(np.uint64) << np.uint64(HASH_BITS)) | h
-        key.sort()
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        key = key[new]
-        return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & _HASH_MASK
+        if len(self.n_words) > 1 << (64 - HASH_BITS):
+            cuts = np.searchsorted(doc, np.arange(0, len(self.n_words) + 1, 1 << (64 - HASH_BITS)))
+            parts = [_distinct(doc[a:b] - doc[a], h[a:b], doc[a]) for a, b in zip(cuts, [*cuts[1:], len(doc)]) if b > a]
+            return tuple(np.concatenate([p[k] for p in parts]) if parts else x for k, x in enumerate((doc, h)))
+        return _distinct(doc, h, 0)
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    key = (doc.astype(np.uint64) << np.uint64(HASH_BITS)) | h
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> np.uint64(HASH_BITS)).astype(np.int64) + first, key & _HASH_MASK
 
 
 def hash_words(texts: list[str | None]) -> Hashed:
@@ -245,8 +256,8 @@ def sweep(a: Side, b: Side, left: np.ndarray, low: np.ndarray, high: np.ndarray,
                 yield left[k][r[ok]], cols[c[ok]]
 
 
-def common_shingles(doc_a: np.ndarray, h_a: np.ndarray, doc_b: np.ndarray, h_b: np.ndarray, i: np.ndarray, j: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """How many shingles the sets i[k] and j[k] share; both sides are given as (doc, hash), sorted by doc."""
+def common_shingles(h_a: np.ndarray, h_b: np.ndarray, i: np.ndarray, j: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i[k] and j[k] share; both sides are given as the shingles of all sets, one after the other, and their sizes."""
     out = np.empty(len(i), np.int64)
     first_a, first_b = (np.cumsum(n) - n for n in (n_a, n_b))
     for at in range(0, len(i), 2048):

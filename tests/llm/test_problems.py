@@ -112,22 +112,35 @@ def test_groups_of_one_prefix_are_expanded_and_verified(spark, rows, monkeypatch
     assert rows(got.pairs()) == sorted(want)
 
 
-@pytest.mark.parametrize("block", [8, 49_152])
-def test_overlaps_equal_brute_force(spark, corpus, rows, monkeypatch, block):
+def covered(evaluation, trainings, width):
+    """The share of a text's words in runs that one of the others holds."""
+    w, held = WORD.findall(evaluation.lower()), set().union(*(sets(t, width) for t in trainings))
+    at = {i + k for i in range(len(w) - width + 1) if tuple(w[i : i + width]) in held for k in range(width)}
+    return len(at) / len(w)
+
+
+@pytest.mark.parametrize("block,width,least", [(8, 3, 0.6), (1 << 17, 3, 0.6), (1 << 17, 5, 0.8), (1 << 17, 1, 0.3)])
+def test_overlaps_equal_brute_force(spark, corpus, rows, monkeypatch, block, width, least):
     monkeypatch.setattr(overlap, "BLOCK", block)
     train = [r for i, r in enumerate(corpus) if i % 3]
     held = [r for i, r in enumerate(corpus) if not i % 3]
     frames = [spark.createDataFrame([*x, x[0]], "id string, text string") for x in (train, held)]
-    got = overlap.split_overlaps(*frames, "id", "text", similarity=0.6, width=3)
-    want = [(a, b) for a, x in train for b, y in held if x and y and similarity(x, y) >= 0.6]
+    got = overlap.split_overlaps(*frames, "id", "text", similarity=least, width=width)
+    want = [(a, b) for a, x in train for b, y in held if x and y and similarity(x, y, width) >= least]
     assert rows(got.select("train_id", "eval_id")) == sorted(want)
-    assert all(0.6 <= r.similarity <= 1 and 0 < r.coverage <= 1 for r in got.collect())
-    assert overlap.split_overlaps(frames[0].limit(0), frames[1].limit(0), "id", "text").count() == 0
-
-
-def test_coverage_merges_intervals():
-    assert overlap.coverage("a b c d e f", "x a b c d y e f", 3) == pytest.approx(4 / 6)
-    assert overlap.coverage("", "a", 3) == 0.0
+    by_id = dict(train)
+    for r in overlap.overlap_coverage(*frames, "id", "text", similarity=least, width=width).collect():
+        partners = [a for a, b in want if b == r.eval_id]
+        assert r.partners == len(partners) and r.coverage == pytest.approx(covered(dict(held)[r.eval_id], [by_id[a] for a in partners], width))
+    for x, y in ((frames[0].limit(0), frames[1].limit(0)), (frames[0], frames[1].limit(0)), (frames[0].limit(0), frames[1])):
+        assert overlap.split_overlaps(x, y, "id", "text").count() == 0
+
+
+def test_long_texts_overlap(spark, rows):
+    long = " ".join(f"w{i * 7919 % 100_000}" for i in range(30_000))
+    t = spark.createDataFrame([("t1", long + " end"), ("t2", "a b c")], "id string, text string")
+    e = spark.createDataFrame([("e1", "start " + long), ("e2", "")], "id string, text string")
+    assert rows(overlap.split_overlaps(t, e, "id", "text").select("train_id", "eval_id")) == [("t1", "e1")]
 
 
 def test_key_overlaps(spark, rows):
