@@ -148,7 +148,7 @@ class Passages:
         low, high = (np.searchsorted(self.order, x, side) for x, side in ((key[left], "left"), (self._most(key[left]), "right")))
         for i, j in sweep(side, self.side, owner[left], low, high, np.flatnonzero(_first(key[left] >> 32)), self.holder):
             pairs.append(np.unique(i << 32 | j))
-        there = np.zeros(int(self.token.max(initial=0)) + 1, bool)
+        there = np.zeros(int(max(self.token.max(initial=0), p.max(initial=0))) + 1, bool)
         there[p[at]] = True
         left = np.flatnonzero(self.is_short & there[self.token]) if len(self.token) else np.empty(0, np.int64)
         low, high = (np.searchsorted(key, x, "right") for x in (self.order[left], self._most(self.order[left])))
