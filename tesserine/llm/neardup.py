@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.shingles import PAIRS_AT_A_TIME, Side, close, hash_words, jaccard_pairs, mix, sketch_width, sketches, sweep, table_pairs
+from tesserine.llm.shingles import PAIRS_AT_A_TIME, Side, close, hash_words, jaccard_pairs, mix, sketch_width, sketches, sweep, table_pairs, unique
 from tesserine.runtime import stored
 
 #: Counters of the corpus-wide shingle counts; as rarities, of one byte each, they are broadcast (256 KB).
@@ -340,7 +340,7 @@ def _join_bucket(rows: tuple, similarity: float) -> Iterator[tuple[np.ndarray, n
     end = np.searchsorted(key, (key >> 32 << 32) | np.minimum(most, (1 << 32) - 1), side="right")
     left = np.flatnonzero(short & (end > np.arange(len(end)) + 1))
     for a, b in sweep(groups, groups, owner[left], left + 1, end[left], np.flatnonzero(_first(key[left] >> 32)), owner):
-        pair = np.unique(np.minimum(a, b) * len(head) + np.maximum(a, b))
+        pair = unique(np.minimum(a, b) * len(head) + np.maximum(a, b))
         for i, j in _expanded(texts, head, members, pair // len(head), pair % len(head)):
             yield cls[i], cls[j]
     for x in np.flatnonzero((members > 1) & home[member[head]]).tolist():

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import SEEN, _first, _texts
-from tesserine.llm.shingles import HASH_BITS, Side, common_shingles, hash_words, mix, sketch_width, sketches, sweep
+from tesserine.llm.shingles import HASH_BITS, Side, common_shingles, hash_words, mix, sketch_width, sketches, sweep, unique
 from tesserine.runtime import stored, stored_path
 
 #: Evaluation texts in one shard; its automaton and texts take about 1 KB for each.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 #: Training texts that are matched at a time.
-HELD = 1 << 14
+HELD = 1 << 13
 #: Bits of a word's hash in each of the characters that stand for the word.
 CODE_BITS, CODE_CHARS = 6, 3
 
@@ -61,17 +61,21 @@ def compile_block(keys: list[bytes], texts: list[str], similarity: float, width:
     for k in range(width):
         for c in range(CODE_CHARS):
             name = mix(name + code[start + k, c])
-    names, one, passage = np.unique(name, return_index=True, return_inverse=True)
+    names = unique(name)
+    passage = np.searchsorted(names, name)
+    del name
+    one = np.empty(len(names), np.int64)
+    one[passage] = start
     number = np.empty(len(names), np.int64)
-    number[np.lexsort((names, np.bincount(passage, minlength=len(names))))] = np.arange(len(names))
+    number[np.argsort(np.bincount(passage, minlength=len(names)), kind="stable")] = np.arange(len(names))
     passage = number[passage]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     spelt = code.tobytes().decode("latin-1")
-    for p, at in zip(number.tolist(), (start[one] * CODE_CHARS).tolist()):
+    for p, at in zip(number.tolist(), (one * CODE_CHARS).tolist()):
         automaton.add_word(spelt[at : at + width * CODE_CHARS], p)
     if len(names):
         automaton.make_automaton()
-    entry = np.unique(hashed.doc[start] << 32 | passage)
+    entry = unique(hashed.doc[start] << 32 | passage)
     holder, p = entry >> 32, entry & 0xFFFFFFFF
     held = np.bincount(holder, minlength=len(texts))
     rank = np.arange(len(holder)) - (np.cumsum(held) - held)[holder]
@@ -122,9 +126,9 @@ class Passages:
         run_doc, run_hash = hashed.all_shingles(self.width)
         at = (np.cumsum(inside) - 1)[first]
         n_docs = len(hashed.n_words)
-        known = np.unique(run_doc[at].astype(np.uint64) << np.uint64(HASH_BITS) | run_hash[at])
+        known = unique(run_doc[at].astype(np.uint64) << np.uint64(HASH_BITS) | run_hash[at])
         known = np.bincount((known >> np.uint64(HASH_BITS)).astype(np.int64), minlength=n_docs)
-        return np.unique(hashed.doc[first] << 32 | passage), np.bincount(doc, minlength=n_docs) - known
+        return unique(hashed.doc[first] << 32 | passage), np.bincount(doc, minlength=n_docs) - known
 
     def similar(self, texts: list[str], sketch_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, similarity, hits): training text i and evaluation text j that reach the similarity, and the matches of all texts."""
@@ -147,14 +151,14 @@ class Passages:
         left = np.flatnonzero(is_short)
         low, high = (np.searchsorted(self.order, x, side) for x, side in ((key[left], "left"), (self._most(key[left]), "right")))
         for i, j in sweep(side, self.side, owner[left], low, high, np.flatnonzero(_first(key[left] >> 32)), self.holder):
-            pairs.append(np.unique(i << 32 | j))
+            pairs.append(unique(i << 32 | j))
         there = np.zeros(int(max(self.token.max(initial=0), p.max(initial=0))) + 1, bool)
         there[p[at]] = True
         left = np.flatnonzero(self.is_short & there[self.token]) if len(self.token) else np.empty(0, np.int64)
         low, high = (np.searchsorted(key, x, "right") for x in (self.order[left], self._most(self.order[left])))
         for j, i in sweep(self.side, side, self.holder[left], low, high, np.flatnonzero(_first(self.token[left])), owner):
-            pairs.append(np.unique(i << 32 | j))
-        pair = np.unique(np.concatenate(pairs))
+            pairs.append(unique(i << 32 | j))
+        pair = unique(np.concatenate(pairs))
         i, j = pair >> 32, pair & 0xFFFFFFFF
         shared = common_shingles(h, self.shingles, i, j, size, self.size)
         value = shared / np.maximum(size[i] + self.size[j] - shared, 1)
