@@ -51,41 +51,55 @@ def compile_block(keys: list[bytes], texts: list[str], similarity: float, width:
     """The automaton of a shard of evaluation texts, and what its matches are held against."""
     import ahocorasick
 
-    hashed = hash_words(texts)
-    doc, h = hashed.shingles(width)
-    size = np.bincount(doc, minlength=len(texts))
-    code = coded(hashed.word)
-    start = np.arange(max(len(hashed.word) - width + 1, 0))
-    start = start[hashed.doc[start] == hashed.doc[start + width - 1]]
-    name = np.zeros(len(start), np.uint64)
-    for k in range(width):
-        for c in range(CODE_CHARS):
-            name = mix(name + code[start + k, c])
+    kept: list[tuple] = []
+    for at in range(0, len(texts), 2048):
+        hashed = hash_words(texts[at : at + 2048])
+        doc, h = hashed.shingles(width)
+        code = coded(hashed.word)
+        start = np.arange(max(len(hashed.word) - width + 1, 0))
+        start = start[hashed.doc[start] == hashed.doc[start + width - 1]]
+        name = np.zeros(len(start), np.uint64)
+        for k in range(width):
+            for c in range(CODE_CHARS):
+                name = mix(name + code[start + k, c])
+        n = len(hashed.n_words)
+        kept.append((
+            np.bincount(doc, minlength=n), hashed.n_words, sketches(doc, h, n, sketch_words), np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]),
+            name, (hashed.doc[start] + at).astype(np.int32), code, start + sum(len(x[6]) for x in kept),
+        ))
+    size, n_words, sketch, packed, name, owner, code, start = (np.concatenate([x[k] for x in kept]) for k in range(8))
+    del kept
     names = unique(name)
-    passage = np.searchsorted(names, name)
+    passage = np.searchsorted(names, name).astype(np.int32)
     del name
     one = np.empty(len(names), np.int64)
     one[passage] = start
-    number = np.empty(len(names), np.int64)
+    del start
+    number = np.empty(len(names), np.int32)
     number[np.argsort(np.bincount(passage, minlength=len(names)), kind="stable")] = np.arange(len(names))
     passage = number[passage]
+    entry = unique(owner.astype(np.int64) << 32 | passage)
+    holder, p = (entry >> 32).astype(np.int32), entry.astype(np.int32)
+    del entry, owner
+    held = np.bincount(holder, minlength=len(texts))
+    rank = np.arange(len(holder)) - (np.cumsum(held) - held)[holder]
+    full, short = _prefix_lengths(size, similarity)
+    at = np.flatnonzero(rank < full[holder])
+    is_short = rank[at] < short[holder[at]]
+    del rank
+    holder, p = holder[at], p[at]
+    order = np.argsort(p.astype(np.int64) << 32 | size[holder], kind="stable")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     spelt = code.tobytes().decode("latin-1")
-    for p, at in zip(number.tolist(), (one * CODE_CHARS).tolist()):
-        automaton.add_word(spelt[at : at + width * CODE_CHARS], p)
+    for k, at in zip(number.tolist(), (one * CODE_CHARS).tolist()):
+        automaton.add_word(spelt[at : at + width * CODE_CHARS], k)
     if len(names):
         automaton.make_automaton()
-    entry = unique(hashed.doc[start] << 32 | passage)
-    holder, p = entry >> 32, entry & 0xFFFFFFFF
-    held = np.bincount(holder, minlength=len(texts))
-    rank = np.arange(len(holder)) - (np.cumsum(held) - held)[holder]
-    full, short = (x[holder] for x in _prefix_lengths(size, similarity))
-    at = np.flatnonzero(rank < full)
-    at = at[np.lexsort((size[holder[at]], p[at]))]
+    del code, spelt
     return {
-        "keys": b"".join(keys), "automaton": pickle.dumps(automaton), "size": size.astype("<i4").tobytes(), "n_words": hashed.n_words.astype("<i4").tobytes(),
-        "sketch": sketches(doc, h, len(texts), sketch_words).tobytes(), "shingles": h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), "runs": passage.astype("<u4").tobytes(),
-        "holder": holder[at].astype("<i4").tobytes(), "token": p[at].astype("<u4").tobytes(), "is_short": (rank < short)[at].tobytes(),
+        "keys": b"".join(keys), "automaton": pickle.dumps(automaton), "size": size.astype("<i4").tobytes(), "n_words": n_words.astype("<i4").tobytes(),
+        "sketch": sketch.tobytes(), "shingles": packed.tobytes(), "runs": passage.astype("<u4").tobytes(),
+        "holder": holder[order].astype("<i4").tobytes(), "token": p[order].astype("<u4").tobytes(), "is_short": is_short[order].tobytes(),
     }
 
 
@@ -106,7 +120,7 @@ class Passages:
         wide = np.zeros((len(packed), 8), np.uint8)
         wide[:, :6] = packed
         self.shingles = wide.view("<u8").ravel()
-        self.runs, self.token = (np.frombuffer(block[c], "<u4").astype(np.int64) for c in ("runs", "token"))
+        self.runs, self.token = np.frombuffer(block["runs"], "<u4"), np.frombuffer(block["token"], "<u4").astype(np.int64)
         self.run_count = np.maximum(self.n_words - width + 1, 0)
         self.is_short = np.frombuffer(block["is_short"], bool)
         self.order = self.token << 32 | self.size[self.holder]
@@ -175,7 +189,7 @@ class Passages:
         out = []
         for a, b in zip(i.tolist(), j.tolist()):
             runs = self.runs[first[b] : first[b] + self.run_count[b]]
-            wanted = a << 32 | runs
+            wanted = a << 32 | runs.astype(np.int64)
             where = np.minimum(np.searchsorted(hit, wanted), len(hit) - 1)
             at = np.flatnonzero(hit[where] == wanted)
             cut = np.flatnonzero(np.diff(at) > self.width)
@@ -216,6 +230,7 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
     sketch_words = sketch_width(words or 1)
 
     def compile_one(t: pa.Table) -> pa.Table:
+        _shard.cache_clear()  # the worker may still hold one of an earlier call
         made = compile_block(t.column("key").to_pylist(), t.column("text").to_pylist(), similarity, width, sketch_words)
         return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
 
