@@ -11,7 +11,8 @@ from all training texts, merge into the part of it that they cover.
 
 from __future__ import annotations
 
-import functools
+import ctypes
+import gc
 import itertools
 import math
 import pickle
@@ -29,7 +30,7 @@ from tesserine.runtime import stored, stored_path
 #: Evaluation texts in one shard; its automaton and texts take about 1 KB for each.
 BLOCK = 1 << 16
 #: Training texts that are matched at a time.
-HELD = 1 << 13
+HELD = 1 << 12
 #: Bits of a word's hash in each of the characters that stand for the word.
 CODE_BITS, CODE_CHARS = 6, 3
 
@@ -198,15 +199,24 @@ class Passages:
         return out
 
 
-@functools.lru_cache(maxsize=1)
+def _release() -> None:
+    """Give freed memory back to the system; the worker lives on, idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _shard(uri: str, block: int, similarity: float, width: int, sketch_words: int) -> Passages | None:
-    """A compiled shard from the shared folder, kept by the worker until it needs another; None if no text fell into it."""
+    """A compiled shard from the shared folder, or None if no text fell into it."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-    rows = ds.dataset(path, filesystem=where, format="parquet").to_table(filter=ds.field("block") == block).to_pylist()
-    return Passages(rows[0], similarity, width, sketch_words) if rows else None
+    rows = ds.dataset(path, filesystem=where, format="parquet").to_table(filter=ds.field("block") == block)
+    return Passages({c: rows.column(c)[0].as_py() for c in rows.column_names}, similarity, width, sketch_words) if rows.num_rows else None
 
 
 def _qualified(spark, path: str) -> str:
@@ -230,9 +240,11 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
     sketch_words = sketch_width(words or 1)
 
     def compile_one(t: pa.Table) -> pa.Table:
-        _shard.cache_clear()  # the worker may still hold one of an earlier call
         made = compile_block(t.column("key").to_pylist(), t.column("text").to_pylist(), similarity, width, sketch_words)
-        return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
+        out = pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
+        del made
+        _release()
+        return out
 
     numbered = classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
     root = _qualified(spark, stored_path(numbered.groupBy("block").applyInArrow(compile_one, BLOCK_SCHEMA), "shards"))
@@ -241,6 +253,7 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
         seen: set[bytes] = set()
         keys: list[bytes] = []
         texts: list[str] = []
+        loaded: dict[int, Passages | None] = {}  # one at a time
         for some, more in _texts(batches, ("key", "text")):
             for k, t in zip(some, more):
                 if k not in seen:
@@ -250,14 +263,19 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
                     keys.append(k)
                     texts.append(t)
             if len(texts) >= HELD:
-                yield from against_shards(keys, texts)
+                yield from against_shards(keys, texts, loaded)
                 keys, texts = [], []
         if texts:
-            yield from against_shards(keys, texts)
+            yield from against_shards(keys, texts, loaded)
+        loaded.clear()
+        _release()
 
-    def against_shards(keys: list[bytes], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    def against_shards(keys: list[bytes], texts: list[str], loaded: dict) -> Iterator[pa.RecordBatch]:
         for block in range(blocks):
-            shard = _shard(root, block, similarity, width, sketch_words)
+            if block not in loaded:
+                loaded.clear()
+                loaded[block] = _shard(root, block, similarity, width, sketch_words)
+            shard = loaded[block]
             if shard is None:
                 continue
             i, j, value, hit = shard.similar(texts, sketch_words)
