@@ -16,6 +16,7 @@ import gc
 import itertools
 import math
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import SEEN, _first, _texts
 from tesserine.llm.shingles import HASH_BITS, Side, common_shingles, hash_words, mix, sketch_width, sketches, sweep, unique
-from tesserine.runtime import stored, stored_path
+from tesserine.runtime import shared_dir, stored
 
 #: Evaluation texts in one shard; its automaton and texts take about 1 KB for each.
 BLOCK = 1 << 16
@@ -48,7 +49,7 @@ def _prefix_lengths(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.nd
     return (n - np.ceil(x * n - 1e-9).astype(np.int64) + 1 for x in (similarity, 2 * similarity / (1 + similarity)))
 
 
-def compile_block(keys: list[bytes], texts: list[str], similarity: float, width: int, sketch_words: int) -> dict[str, bytes]:
+def compile_block(keys: list[bytes], texts: list[str], similarity: float, width: int, sketch_words: int) -> dict:
     """The automaton of a shard of evaluation texts, and what its matches are held against."""
     import ahocorasick
 
@@ -98,32 +99,24 @@ def compile_block(keys: list[bytes], texts: list[str], similarity: float, width:
         automaton.make_automaton()
     del code, spelt
     return {
-        "keys": b"".join(keys), "automaton": pickle.dumps(automaton), "size": size.astype("<i4").tobytes(), "n_words": n_words.astype("<i4").tobytes(),
-        "sketch": sketch.tobytes(), "shingles": packed.tobytes(), "runs": passage.astype("<u4").tobytes(),
-        "holder": holder[order].astype("<i4").tobytes(), "token": p[order].astype("<u4").tobytes(), "is_short": is_short[order].tobytes(),
+        "keys": keys, "automaton": automaton, "size": size.astype(np.int32), "n_words": n_words.astype(np.int32), "sketch": sketch, "shingles": packed, "runs": passage,
+        "holder": holder[order], "token": p[order], "is_short": is_short[order],
     }
 
 
-#: What a compiled shard is stored as: one row.
-BLOCK_SCHEMA = "block int, " + ", ".join(f"{c} binary" for c in ("keys", "automaton", "size", "n_words", "sketch", "shingles", "runs", "holder", "token", "is_short"))
-
-
 class Passages:
     """A compiled shard: scans training texts for its passages."""
 
-    def __init__(self, block: dict, similarity: float, width: int, sketch_words: int):
+    def __init__(self, block: dict, similarity: float, width: int):
         self.similarity, self.width = similarity, width
-        self.automaton = pickle.loads(block["automaton"])
-        self.keys = [block["keys"][i : i + 16] for i in range(0, len(block["keys"]), 16)]
-        self.size, self.n_words, self.holder = (np.frombuffer(block[c], "<i4").astype(np.int64) for c in ("size", "n_words", "holder"))
-        self.side = Side(self.size, np.frombuffer(block["sketch"], np.uint64).reshape(-1, sketch_words), similarity)
-        packed = np.frombuffer(block["shingles"], np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(packed), 8), np.uint8)
-        wide[:, :6] = packed
+        self.automaton, self.keys, self.n_words, self.runs = (block[c] for c in ("automaton", "keys", "n_words", "runs"))
+        self.size, self.holder, self.token = (block[c].astype(np.int64) for c in ("size", "holder", "token"))
+        self.side = Side(self.size, block["sketch"], similarity)
+        wide = np.zeros((len(block["shingles"]), 8), np.uint8)
+        wide[:, :6] = block["shingles"]
         self.shingles = wide.view("<u8").ravel()
-        self.runs, self.token = np.frombuffer(block["runs"], "<u4"), np.frombuffer(block["token"], "<u4").astype(np.int64)
         self.run_count = np.maximum(self.n_words - width + 1, 0)
-        self.is_short = np.frombuffer(block["is_short"], bool)
+        self.is_short = block["is_short"]
         self.order = self.token << 32 | self.size[self.holder]
 
     def matches(self, hashed, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +202,11 @@ def _release() -> None:
         pass
 
 
-def _shard(uri: str, block: int, similarity: float, width: int, sketch_words: int) -> Passages | None:
-    """A compiled shard from the shared folder, or None if no text fell into it."""
-    import pyarrow.dataset as ds
+def _file_system(uri: str):
+    """(file system, path) of a place in the shared folder, for tasks."""
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-    rows = ds.dataset(path, filesystem=where, format="parquet").to_table(filter=ds.field("block") == block)
-    return Passages({c: rows.column(c)[0].as_py() for c in rows.column_names}, similarity, width, sketch_words) if rows.num_rows else None
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def _qualified(spark, path: str) -> str:
@@ -239,21 +229,33 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
     blocks = max(1, math.ceil(n / BLOCK))
     sketch_words = sketch_width(words or 1)
 
+    root = _qualified(spark, f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+
     def compile_one(t: pa.Table) -> pa.Table:
+        """Compile a shard into a file of its own; that of an attempt which fails is never read."""
         made = compile_block(t.column("key").to_pylist(), t.column("text").to_pylist(), similarity, width, sketch_words)
-        out = pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in made.items()}})
+        where, path = _file_system(root)
+        where.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex
+        with where.open_output_stream(f"{path}/{name}") as out:
+            pickle.dump(made, out, protocol=5)
         del made
         _release()
-        return out
+        return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), "name": pa.array([name])})
 
     numbered = classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    root = _qualified(spark, stored_path(numbered.groupBy("block").applyInArrow(compile_one, BLOCK_SCHEMA), "shards"))
+    shards = sorted(r.name for r in numbered.groupBy("block").applyInArrow(compile_one, "block int, name string").collect())  # one short name for BLOCK texts
+
+    def load(name: str) -> Passages:
+        where, path = _file_system(root)
+        with where.open_input_stream(f"{path}/{name}") as f:
+            return Passages(pickle.load(f), similarity, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         keys: list[bytes] = []
         texts: list[str] = []
-        loaded: dict[int, Passages | None] = {}  # one at a time
+        loaded: dict[str, Passages] = {}  # one at a time
         for some, more in _texts(batches, ("key", "text")):
             for k, t in zip(some, more):
                 if k not in seen:
@@ -271,13 +273,11 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
         _release()
 
     def against_shards(keys: list[bytes], texts: list[str], loaded: dict) -> Iterator[pa.RecordBatch]:
-        for block in range(blocks):
-            if block not in loaded:
+        for name in shards:
+            if name not in loaded:
                 loaded.clear()
-                loaded[block] = _shard(root, block, similarity, width, sketch_words)
-            shard = loaded[block]
-            if shard is None:
-                continue
+                loaded[name] = load(name)
+            shard = loaded[name]
             i, j, value, hit = shard.similar(texts, sketch_words)
             yield pa.RecordBatch.from_arrays(
                 [
