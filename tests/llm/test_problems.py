@@ -379,42 +379,74 @@ def test_pair_defects(spark, languages, rows):
     assert pairs.find_defects(spark, df.limit(0), ["k"], "q", "a", fitted).count() == 0
 
 
-@pytest.mark.parametrize(
-    "text,kind",
-    [
+RESIDUE = [
         ("Some relief comes from {{first_name}} and rest.", "placeholder"), ("at ${city} now", "placeholder"), ("the <%= heading %> dose", "placeholder"), ("Hello %s, your cycle is %d days", "placeholder"), ("ask [INSERT CLINIC NAME HERE] for it", "placeholder"),
         ("use XXXX XXXX daily", "placeholder"), ("__user.age__ years", "placeholder"), ("TODO: add the source", "placeholder"), ("[اسم العيادة هنا]", "placeholder"), ("Lorem ipsum dolor sit amet consectetur", "filler"), ("nisi veniam aute ea exercitation dolore", None),
         ("Sample text goes here.", "filler"), ("Texte d'exemple à remplacer.", "filler"), ("404 - the page you are looking for was not found.", "error_page"), ("Page introuvable.", "error_page"), ("Access denied\nYou do not have permission to view this resource.", "error_page"),
         ("Please enable JavaScript in your browser to view this page.", "script_notice"), ("Ohne JavaScript kann diese Seite nicht angezeigt werden.", "script_notice"), ("يرجى تفعيل جافا سكريبت في المتصفح لعرض هذه الصفحة.", "script_notice"),
         ("The range {{4; 9}} in the chart stands for the days.", None), ("The booking page of Karwick needs JavaScript, so phone us if your browser blocks scripts.", None), ("A placeholder tablet without hormone follows after 5 days.", None),
         ("The draft leaflet still said lorem ipsum, which the team replaced.", None), ("Page 404 of the printed handbook lists rare causes.", None), ("Keep the dose at 500 mg; 56 % do.", None), ("<human>: hi <bot>: yo [1] (SOPK)", None), ("a_b__c___d", None), ("An error of 5 days in the due date is common.", None), ("", None),
-    ],
-)
-def test_residue_wording(text, kind):
-    found = residue.reasons(text)
-    if text.startswith("nisi"):
-        assert found in ([], ["filler"])
-    else:
-        assert found == ([kind] if kind else [])
-
-
-def test_residue_of_the_corpus(spark, rows):
-    docs = [(i, f"Text {i} before [clinic motto] word{i}.", "x") for i in range(6)] + [(10 + i, f"Go to the box [box mark] at the top {i}.", "x") for i in range(6)]
-    docs += [(20 + i, f"{i} words.\nPortal login area closed", "x") for i in range(4)] + [(30 + i, f"The page of the book names {'abcdefgh'[i] * 3} as one.", "x") for i in range(8)] + [(40, None, "x"), (41, "", "x"), (0, docs[0][1], "x"), (50, "ok " * 5000, "x")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, kind string")
-    got = rows(residue.find_residue(df, "doc_id", "text"))
-    assert sorted(got) == [(i, "slot_default") for i in range(6)] + [(20 + i, "page_template") for i in range(4)]
+]
+# sound prose that merely has such words, and pages of which nothing else is known
+RESIDUE += [(t, None) for t in ("Forbidden foods: none.", "Error 404 is a song by the band.", "The leaflet says scripts are disabled in older browsers and that is fine.", "The doctor wrote TODO on my chart.", "Forbidden Planet is a film.", "He asked no no no no.", "See [1] and [2, 3].")]
+RESIDUE += [("Hold on: %(name)s is next", "placeholder"), ("Bad gateway Come back later.", "error_page"), ("Error 503", "error_page"), ("text text text text", "filler"), ("text\ntext\ntext\ntext", "filler"), ("asdf asdf qwer", "filler")]
+
+
+def test_residue_wording(spark):
+    texts = [t for t, _ in RESIDUE]
+    found = {}
+    for r in residue.find_residue(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect():
+        found.setdefault(r.doc, set()).add(r.kind)
+    for i, (text, kind) in enumerate(RESIDUE):
+        got = found.get(i, set()) - {"page_template"}
+        if text.startswith("nisi"):
+            assert got <= {"filler"}
+        else:
+            assert got == ({kind} if kind else set()), text
+
+
+def aligned_docs(n=12):
+    """Records of a few templates, and some with what their template does not have."""
+    r = random.Random(1)
+    base = ["Some relief comes from rest and plenty of cold water", "Ask the nurse for a new leaflet before the next visit", "Keep the notes of all your days in one small book", "Most people feel well again after a few quiet weeks"]
+    docs = [(i, f"{base[i % 4]}. {base[(i + 1) % 4]}. Day {i}.") for i in range(n)]
+    for k, chunk in enumerate(("[clinic motto]", "{{first_name}}", "[city]", "TODO")):
+        for i in range(4):
+            w = base[i].split()
+            at = r.randrange(2, 8)
+            docs.append((100 * (k + 1) + i, f"{' '.join([*w[:at], chunk, *w[at:]])}. Day {i + k}."))
+    return docs
+
+
+def test_slots_are_induced_from_aligned_records(spark, rows):
+    docs = aligned_docs()
+    docs += [(600 + i, f"Put a cross into the box [box mark] at the top of page {i}. Seen {i * i}.") for i in range(6)] + [(700 + i, f"The range {{{{{i}; {i + 3}}}}} in the chart stands for the days {i}.") for i in range(6)]
+    docs += [(800, None), (801, ""), (802, " "), (803, "ok " * 5000), (100, dict(docs)[100])]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, kind string")
+    want = sorted([(100 + i, "slot_default") for i in range(4)] + [(k + i, "slot_aligned") for k in (200, 300, 400) for i in range(4)])
+    assert sorted((d, k) for d, k in rows(residue.find_residue(df, "doc_id", "text")) if d < 800) == want
+    # the same verdicts however often a record is copied
+    more = df.unionByName(df.where("doc_id IN (100, 600)").crossJoin(spark.range(50)).selectExpr("doc_id + 1000 * (id + 1)", "text", "kind").toDF("doc_id", "text", "kind"))
+    assert sorted((d, k) for d, k in rows(residue.find_residue(more, "doc_id", "text")) if d < 800) == want
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_residue_of_the_corpus_holds_at_any_size(spark, rows):
-    docs = [(i, f"Text {i} at{i % 5} [clinic motto, 2 lines that {'go on ' * 12}end] word. {i}") for i in range(60)]
-    docs += [(100 + i, f"{i} words.\nThis portal page is shut. {'It is long. ' * 20}") for i in range(30)] + [(200 + i, f"{i} words.\nThis portal page{' x' * i} opens") for i in range(9)]
-    docs += [(300 + i, "One text.\nThe linked link is old.") for i in range(5)]
-    got = rows(residue.find_residue(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
-    assert sorted(got) == [(i, "slot_default") for i in range(60)] + [(100 + i, "page_template") for i in range(30)]
-
-
-@pytest.mark.parametrize("text,kind", [("410: The page was removed.", "error_page"), ("429 - Access is limited.", "error_page"), ("text,text,text,text", "filler"), ("text\ntext\ntext\ntext", "filler"), ("This site only runs with it.", None), ("Site only runs with it.", "script_notice")])
-def test_residue_prefilter_is_implied_by_the_patterns(text, kind):
-    assert residue.reasons(text) == ([kind] if kind else [])
+def test_page_templates_recur_on_pages(spark, rows):
+    heads, tails = ["Access denied", "Bad gateway", "Request blocked"], ["Ask the keeper of the site.", "Quote number 7."]
+    docs = [(i, f"{heads[i % 3]}\nThe address leads to nothing.\n{tails[i % 2]}\nPlace {i}.") for i in range(12)]
+    docs += [(50 + i, f"The address leads to nothing.\nWords of its own {'abcdefgh'[i] * 3}.") for i in range(2)]
+    docs += [(100 + i, f"This link in the page of the book names {'abcdefgh'[i] * 3}.\nOne line that many texts have.\n{i} words.") for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(residue.find_residue(df, "doc_id", "text"))
+    assert {d for d, k in got if k == "page_template"} == {*range(12), 50, 51}
+    assert {d for d, _ in got} == {*range(12), 50, 51}
+
+
+@pytest.mark.parametrize("pattern,kind", [("FILLER", "filler"), ("NOTICE_STRONG", "script_notice"), ("NOTICE_MESSAGE", "script_notice"), ("NOTICE_WEAK", "script_notice"), ("ERROR_STRONG", "error_page"), ("ERROR_MESSAGE", "error_page"), ("ERROR_WEAK", "error_page")])
+def test_stems_are_implied_by_the_patterns(pattern, kind):
+    """Whatever a pattern finds in a text holds a stem of its group."""
+    texts = [t for t, _ in RESIDUE] + ["410: The page was removed.", "Whoops, that didn't work", "Vous n'avez pas les droits pour cette rubrique, page absente.", "Zugriff verweigert", "تم رفض الوصول"]
+    for t in texts:
+        for s in residue.segments(t):
+            if getattr(residue, pattern).search(s):
+                assert any(x in s.lower() for x in residue.STEMS[kind]), s
