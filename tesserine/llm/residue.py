@@ -135,8 +135,7 @@ def wording(segment: str) -> tuple[str, str]:
     A weak kind with ``message`` behind it is one if the segment recurs or is not
     the only such segment of its text; others need to recur on pages.
     """
-    low = segment.lower()
-    may = [kind for kind, stems in STEMS.items() if any(x in low for x in stems)]
+    may = {kind for _, kinds in _stems().iter(segment.lower()) for kind in kinds}
     for kind, pattern in (("filler", FILLER), ("script_notice", NOTICE_STRONG), ("error_page", ERROR_STRONG)):
         if kind in may and pattern.search(segment):
             return kind, kind
@@ -153,10 +152,9 @@ def wording(segment: str) -> tuple[str, str]:
 def _stems():
     import ahocorasick
 
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for stems in STEMS.values():
-        for x in stems:
-            automaton.add_word(x, 1)
+    automaton = ahocorasick.Automaton()
+    for x in {x for stems in STEMS.values() for x in stems}:
+        automaton.add_word(x, [kind for kind, stems in STEMS.items() if x in stems])
     automaton.make_automaton()
     return automaton
 
@@ -260,19 +258,18 @@ def _signals(texts: DataFrame) -> DataFrame:
                     rows.append((src, "strong", "", 0, "", "", "filler"))
                 if next(stems(text.lower()), None) is None:
                     continue
-                own, worth = [], False
+                own, page = [], False
                 for s in segments(text):
                     if s not in known:
                         if len(known) >= 1 << 16:
                             known.clear()
                         known[s] = wording(s)
                     strong, weak = known[s]
-                    worth |= bool(weak)
+                    page |= bool(strong) or weak.endswith("message")
                     if strong:
                         rows.append((src, "strong", "", 0, "", "", strong))
                     own.append((src, "segment", "", _hash(s), "", "", weak))
-                if worth:
-                    rows += own
+                rows += own if page else [r for r in own if r[6]]
             sides = sorted(set(sides) - {""})
             of, h = hash_words(sides).all_shingles(3)
             window = {sides[k]: x for k, x in zip(of[::-1].tolist(), h[::-1].astype(np.int64).tolist())}
@@ -315,19 +312,29 @@ def _wanted(signals: DataFrame) -> np.ndarray:
 
 
 def _occurrences(texts: DataFrame, wanted) -> DataFrame:
-    """(src, h): the windows and segments of all texts that the table has a bit for."""
+    """(src, h): the windows and segments of all texts that the table has a bit for; of a window each task gives ALIGNED texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(wanted.value).view(bool)
+        met: dict[int, int] = {}  # texts of this task with a window; ALIGNED of them are enough
         for fresh in _fresh(batches):
             src = np.array([s for s, _ in fresh], np.int64)
             doc, h = hash_words([_DIGITS.sub("0", t) for _, t in fresh]).shingles(3)
             h = h.astype(np.int64)
-            hit = table[_bits(h)]
+            hit = np.flatnonzero(table[_bits(h)])
+            if len(met) > 1 << 20:
+                met.clear()
+            out_src, out = [], []
+            for x, d in zip(h[hit].tolist(), doc[hit].tolist()):
+                n = met.get(x, 0)
+                if n < ALIGNED:
+                    met[x] = n + 1
+                    out.append(x)
+                    out_src.append(d)
             own = [(k, _hash(s)) for k, (_, t) in enumerate(fresh) for s in set(segments(t))]
             line_of, line = (np.array([x[k] for x in own], np.int64) for k in (0, 1))
             there = table[_bits(line)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([src[doc[hit]], src[line_of[there]]])), pa.array(np.concatenate([h[hit], line[there]]))], ["src", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([src[np.array(out_src, np.int64)], src[line_of[there]]])), pa.array(np.concatenate([np.array(out, np.int64), line[there]]))], ["src", "h"])
 
     return texts.mapInArrow(run, "src long, h long")
 
