@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserine.llm.sampling import bounded_sample, tagged
+from tesserine.llm.shingles import unique
 from tesserine.llm.visual import plain_look
 
 #: Sound texts that the emissions are counted on, at most.
@@ -33,6 +35,8 @@ SWITCH = -9.0
 BACKOFF = 2.0
 #: Contexts whose emissions a worker remembers.
 REMEMBERED = 1 << 19
+#: Characters that are labelled side by side; a longer text is labelled alone.
+CHARS = 1 << 17
 
 
 def _read(data: bytes, encoding: str) -> str:
@@ -138,63 +142,114 @@ class EncodingModel:
 
 
 class Labeller:
-    """Viterbi decoding with a model; remembers emissions."""
+    """Viterbi decoding with a model, many texts side by side; remembers emissions."""
 
     def __init__(self, model: EncodingModel):
-        self.states, self.emission, self.gain = model.states, {}, {}
+        self.states = model.states
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.emission, self.gain = np.empty((1 << 10, len(self.states))), np.empty(1 << 10)
 
     def emissions(self, gram: str) -> np.ndarray:
         """Log chances of a character after two others, by state; the clean one first."""
-        e = self.emission.get(gram)
-        if e is None:
-            c, b, two = gram[2], gram[1:], gram[:2]
-            e = np.empty(len(self.states))
-            for k, (one, pairs, triples, before, context, total) in enumerate(self.states):
-                p = (one[c] + 1e-2) / (total + 1e4)
-                p = (pairs[b] + BACKOFF * p) / (before[b[0]] + BACKOFF)
-                e[k] = math.log((triples[gram] + BACKOFF * p) / (context[two] + BACKOFF))
-            if self.states[0][2][gram]:  # what sound texts hold speaks for no damage, however common the state makes it
-                np.minimum(e, e[0], out=e)
-            if len(self.emission) >= REMEMBERED:
-                self.emission.clear()
-                self.gain.clear()
-            self.emission[gram] = e
-            self.gain[gram] = max(0.0, float(e[1:].max() - e[0]))
+        c, b, two = gram[2], gram[1:], gram[:2]
+        e = np.empty(len(self.states))
+        for k, (one, pairs, triples, before, context, total) in enumerate(self.states):
+            p = (one[c] + 1e-2) / (total + 1e4)
+            p = (pairs[b] + BACKOFF * p) / (before[b[0]] + BACKOFF)
+            e[k] = math.log((triples[gram] + BACKOFF * p) / (context[two] + BACKOFF))
+        if self.states[0][2][gram]:  # what sound texts hold speaks for no damage, however common the state makes it
+            np.minimum(e, e[0], out=e)
         return e
 
-    def labels(self, text: str) -> list[int]:
-        """The best path; [] for a text that is clean throughout."""
-        padded = f"\n\n{text}\n"
-        gain, total = self.gain, 0.0
-        for gram in map("".join, zip(padded, padded[1:], padded[2:])):
-            g = gain.get(gram)
-            if g is None:
-                self.emissions(gram)
-                g = self.gain[gram]
-            total += g
-        if total <= -SWITCH:  # no path through a damaged state can win back what entering it costs
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        """Where the emissions of each of these distinct numbered trigrams stand."""
+        if len(self.place) + len(grams) > REMEMBERED:
+            self._forget()
+        while len(self.place) + len(grams) > len(self.gain):
+            self.emission, self.gain = np.concatenate([self.emission, np.empty_like(self.emission)]), np.concatenate([self.gain, np.empty_like(self.gain)])
+        out = []
+        for g in grams.tolist():
+            at = self.place.get(g)
+            if at is None:
+                at = self.place[g] = len(self.place)
+                e = self.emission[at] = self.emissions(chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF))
+                self.gain[at] = max(0.0, float(e[1:].max() - e[0]))
+            out.append(at)
+        return np.array(out, np.int64)
+
+    def paths(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The best path of each text; None for one that is clean throughout."""
+        out: list[np.ndarray | None] = []
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= CHARS:
+                out += self._paths(held)
+                held, size = [], 0
+        return out + self._paths(held)
+
+    def _paths(self, texts: list[str]) -> list[np.ndarray | None]:
+        if not texts:
             return []
-        score = np.full(len(self.states), SWITCH)
-        score[0] = 0.0
-        back = np.empty((len(padded) - 2, len(self.states)), np.int8)
-        for i in range(len(padded) - 2):
-            best = int(score[1:].argmax()) + 1
-            enter = score[0] + SWITCH
-            origin = np.where(score >= enter, np.arange(len(score)), 0)
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        chars = np.frombuffer("".join(f"\n\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        inner = np.ones(len(chars), bool)
+        start = np.cumsum(size + 2) - size - 2
+        inner[start] = inner[start + 1] = False
+        gram = (np.append([0, 0], chars[:-2]) << 42 | np.append([0], chars[:-1]) << 21 | chars)[inner]
+        grams = unique(gram)
+        place = self._places(grams)[np.searchsorted(grams, gram)]
+        first = np.cumsum(size) - size
+        # no path through a damaged state can win back what entering it costs unless the gains add up to that
+        doubtful = np.flatnonzero(np.add.reduceat(self.gain[place], first) > -SWITCH)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        doubtful = doubtful[np.argsort(size[doubtful], kind="stable")]
+        at = 0
+        while at < len(doubtful):
+            stop = at + 1
+            while stop < len(doubtful) and stop - at < 256 and (stop + 1 - at) * size[doubtful[stop]] <= CHARS:
+                stop += 1
+            some = doubtful[at:stop]
+            for i, path in zip(some.tolist(), self._viterbi(place, first[some], size[some])):
+                out[i] = path[:-1] if path[:-1].any() else None
+            at = stop
+        return out
+
+    def _viterbi(self, place: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The best paths of texts side by side, shortest first."""
+        n, steps, states = len(first), int(size.max()), len(self.states)
+        own = np.arange(n)
+        score = np.full((n, states), SWITCH)
+        score[:, 0] = 0.0
+        back = np.empty((steps, n, states), np.int8)
+        numbers = np.arange(states, dtype=np.int8)
+        last = np.zeros(n, np.int64)
+        for t in range(steps):
+            enter = score[:, :1] + SWITCH
+            best = score[:, 1:].argmax(axis=1) + 1
+            leave = score[own, best] + SWITCH
+            origin = np.where(score >= enter, numbers, 0)
             step = np.maximum(score, enter)
-            if score[best] + SWITCH > score[0]:
-                origin[0], step[0] = best, score[best] + SWITCH
-            else:
-                origin[0], step[0] = 0, score[0]
-            back[i] = origin
-            score = step + self.emissions(padded[i : i + 3])
-        state = int(score.argmax())
-        path = []
-        for i in range(len(padded) - 3, -1, -1):
-            path.append(state)
-            state = int(back[i][state])
-        path = path[::-1][: len(text)]
-        return path if any(path) else []
+            left = leave > score[:, 0]
+            origin[:, 0] = np.where(left, best, 0)
+            step[:, 0] = np.where(left, leave, score[:, 0])
+            back[t] = origin
+            score = step + self.emission[place[np.minimum(first + t, len(place) - 1)]]
+            done = size == t + 1
+            if done.any():
+                last[done] = score[done].argmax(axis=1)
+        path = np.zeros((steps, n), np.int8)
+        state = np.zeros(n, np.int64)
+        for t in range(steps - 1, -1, -1):
+            state = np.where(size == t + 1, last, state)
+            path[t] = state
+            state = back[t, own, state].astype(np.int64)
+        return [path[:k, i] for i, k in enumerate(size.tolist())]
 
     def proven(self, span: str, pair: Pair) -> bool:
         """Whether a labelled span shows its damage: lost characters, a run that turns into sound letters, or one with a character that the damage makes, that sound texts never hold and that is no look-alike."""
@@ -211,10 +266,14 @@ class Labeller:
         return False
 
     def restore(self, text: str) -> tuple[bool, bool, str, list[str]]:
-        """(damaged, whole, restored text, names of the pairs): whole if nothing was lost; lost spans stay as they are."""
-        path = self.labels(text)
-        if not path:
-            return False, True, text, []
+        """As ``restore_all`` for one text."""
+        return self.restore_all([text])[0]
+
+    def restore_all(self, texts: list[str]) -> list[tuple[bool, bool, str, list[str]]]:
+        """(damaged, whole, restored text, names of the pairs) of each text: whole if nothing was lost; lost spans stay as they are."""
+        return [(False, True, t, []) if p is None else self._undone(t, p.tolist()) for t, p in zip(texts, self.paths(texts))]
+
+    def _undone(self, text: str, path: list[int]) -> tuple[bool, bool, str, list[str]]:
         out, whole, names, at = [], True, [], 0
         while at < len(text):
             end = at
@@ -236,13 +295,9 @@ class Labeller:
 
 
 def fit(samples: list[DataFrame]) -> EncodingModel:
-    """Fit on at most SAMPLE texts of each frame's only column, the same ones at any time: those of the least hashes."""
-    texts: list[str] = []
-    for df in samples:
-        c = df.columns[0]
-        rows = df.where(F.length(F.trim(F.col(c))) > 0).select(F.substring(F.col(c), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(c)).alias("h"))
-        texts += [r.t for r in rows.orderBy("h", "t").limit(SAMPLE).collect()]
-    return EncodingModel(sorted(set(texts)))
+    """Fit on about SAMPLE texts of each frame's only column, the first SAMPLE_CHARS characters of each; the same ones at any time."""
+    rows = tagged([df.select(F.substring(F.col(df.columns[0]), 1, SAMPLE_CHARS).alias("t")).where("trim(t) <> ''") for df in samples])
+    return EncodingModel(sorted({r.t for kept in bounded_sample(rows, ["t"], SAMPLE, "frame").values() for r in kept}))
 
 
 def restore_texts(spark: SparkSession, df: DataFrame, keep: list[str], text: str, model: EncodingModel) -> DataFrame:
@@ -259,7 +314,8 @@ def restore_texts(spark: SparkSession, df: DataFrame, keep: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            rows = [labeller.restore(t) if t else (False, True, t, []) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            rows = [(*r[:2], r[2] if t else t, r[3]) for t, r in zip(texts, labeller.restore_all([t or "" for t in texts]))]
             damaged, whole, restored, pairs = ([r[k] for r in rows] for k in range(4))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], pa.array(damaged, pa.bool_()), pa.array(whole, pa.bool_()), pa.array(restored, pa.string()), pa.array(pairs, pa.list_(pa.string()))],
