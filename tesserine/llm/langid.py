@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.llm.sampling import bounded_sample
 from tesserine.llm.shingles import mix
 from tesserine.llm.visual import plain_look
 
@@ -28,6 +29,10 @@ TEXTS = 256
 LONGEST = 4
 #: Labelled texts per language that the model is fitted on, at most.
 SAMPLE = 800
+#: Characters of such a text that are used.
+SAMPLE_CHARS = 4_000
+#: Letters of a sentence that the model is fitted on, at most.
+SENTENCE_CHARS = 600
 #: Sentences per language that the model is fitted on, at most.
 SENTENCES = 1_500
 #: Letters below which a sentence goes with its neighbour.
@@ -38,26 +43,40 @@ _END = re.compile(r"(?<=[.!?؟])(?:[\"'»”)\]]*)\s+")
 _ABBREVIATION = re.compile(r"(?:^|[\s(«])(?:[A-Za-zÀ-ÿ]|Dr|Dra|Mr|Mrs|Ms|Mme|M|Sr|Sra|St|Prof|env|ex|etc|approx|ca|bzw|usw|vs|No|Nr|art|fig|p|z\. ?B|p\. ?ex)\.$", re.I)
 
 
+_PAIRED = (("«", "»"), ("“", "”"), ("(", ")"))
+
+
 def sentences(text: str) -> list[str]:
-    """Whole sentences; a break inside quotes or brackets, after an abbreviation or at a bare line end is none."""
-    out, held = [], ""
-    for part in _END.split(" ".join(text.split())):
-        held = f"{held} {part}" if held else part
-        opened = held.count("«") > held.count("»") or held.count("“") > held.count("”") or held.count("(") > held.count(")")
-        if opened and len(held) < 400 or _ABBREVIATION.search(held):
+    """Whole sentences; a break inside quotes or brackets, after an abbreviation or at a bare line end is none.
+
+    A quote or bracket that is never closed holds nothing together.
+    """
+    parts = _END.split(" ".join(text.split()))
+    out: list[str] = []
+    held: list[str] = []
+    depth = [0, 0, 0]
+    closers = [[0] * (len(parts) + 1) for _ in _PAIRED]  # that follow
+    for k, (_, close) in enumerate(_PAIRED):
+        for i in range(len(parts) - 1, -1, -1):
+            closers[k][i] = closers[k][i + 1] + parts[i].count(close)
+    for i, part in enumerate(parts):
+        held.append(part)
+        for k, (open_, close) in enumerate(_PAIRED):
+            depth[k] = max(0, depth[k] + part.count(open_) - part.count(close))
+        if any(d and closers[k][i + 1] for k, d in enumerate(depth)) or _ABBREVIATION.search(part):
             continue
-        out.append(held)
-        held = ""
-    return [*out, held] if held else out
+        out.append(" ".join(held))
+        held, depth = [], [0, 0, 0]
+    return [*out, " ".join(held)] if held else out
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every n-gram occurrence, texts in order; case and digits do not matter."""
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count) of the n-grams of every text, texts in order; case and digits do not matter."""
     plain = [" " + re.sub(r"\d+", "0", plain_look(t).casefold()) + " " for t in texts]
     sizes = np.fromiter(map(len, plain), np.int64, len(plain))
     a = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(plain)), sizes)
-    text, feature = [], []
+    keys = [np.empty(0, np.int64)]
     h = np.zeros(len(a), np.uint64)
     for n in range(1, LONGEST + 1):
         m = len(a) - n + 1
@@ -65,11 +84,11 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         h = mix(h[:m] * np.uint64(0x100000001B3) + a[n - 1 :] + np.uint64(n))
         ok = owner[:m] == owner[n - 1 :]
-        text.append(owner[:m][ok])
-        feature.append((h[ok] % np.uint64(DIMENSIONS)).astype(np.int64))
-    text, feature = np.concatenate(text or [np.empty(0, np.int64)]), np.concatenate(feature or [np.empty(0, np.int64)])
-    order = np.argsort(text, kind="stable")
-    return text[order], feature[order]
+        keys.append(owner[:m][ok] * DIMENSIONS + (h[ok] % np.uint64(DIMENSIONS)).astype(np.int64))
+    key = np.concatenate(keys)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first] // DIMENSIONS, key[first] % DIMENSIONS, np.diff(np.append(first, len(key)))
 
 
 class LanguageModel:
@@ -77,15 +96,21 @@ class LanguageModel:
 
     def __init__(self, idf: np.ndarray, weights: np.ndarray, temperature: float = 1.0):
         self.idf, self.weights, self.temperature = idf.astype(np.float32), weights.astype(np.float32), temperature
+        self.used = self.weights.any(axis=1)
 
     def logits(self, texts: list[str]) -> np.ndarray:
         return np.concatenate([self._logits(texts[i : i + TEXTS]) for i in range(0, len(texts), TEXTS)] or [np.empty((0, len(LANGUAGES)))])
 
     def _logits(self, texts: list[str]) -> np.ndarray:
-        text, feature = features(texts)
-        w = self.idf[feature]
-        norm = np.sqrt(np.bincount(text, w * w, len(texts)))
-        out = np.stack([np.bincount(text, w * self.weights[feature, k], len(texts)) for k in range(len(LANGUAGES))], axis=1)
+        text, feature, count = features(texts)
+        v = count * self.idf[feature]
+        norm = np.sqrt(np.bincount(text, v * v, len(texts)))
+        at = np.flatnonzero(self.used[feature])  # most weights are zero
+        text, rows = text[at], self.weights[feature[at]] * v[at, None]
+        out = np.zeros((len(texts), len(LANGUAGES)))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), text[1:] != text[:-1]]))
+        if len(first):
+            out[text[first]] = np.add.reduceat(rows, first, axis=0)
         return out / np.maximum(norm, 1e-9)[:, None]
 
     def chances(self, texts: list[str]) -> np.ndarray:
@@ -132,19 +157,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: np.ndarray, n_classes: int, epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: np.ndarray, n_classes: int, epochs: int = 3, alpha: float = 1.5, beta: float = 1.0, l1: float = 0.2, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(idf, weights) by per-coordinate FTRL-proximal with elastic-net penalties."""
-    text, feature = features(texts)
-    seen = np.unique(text * DIMENSIONS + feature) % DIMENSIONS
-    idf = np.log((1 + len(texts)) / (1 + np.bincount(seen, minlength=DIMENSIONS))) + 1
+    text, feature, count = features(texts)
+    idf = np.log((1 + len(texts)) / (1 + np.bincount(feature, minlength=DIMENSIONS))) + 1
     starts = np.searchsorted(text, np.arange(len(texts) + 1))
     z, n = np.zeros((DIMENSIONS, n_classes)), np.zeros((DIMENSIONS, n_classes))
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(len(texts)):
-        f, c = np.unique(feature[starts[i] : starts[i + 1]], return_counts=True)
-        v = c * idf[f]
-        rows.append((f, v / max(np.sqrt((c * idf[f] ** 2).sum()), 1e-9)))
+        f, v = feature[starts[i] : starts[i + 1]], count[starts[i] : starts[i + 1]]
+        v = v * idf[f]
+        rows.append((f, v / max(np.sqrt((v * v).sum()), 1e-9)))
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
             f, v = rows[i]
@@ -187,7 +211,7 @@ def fit(texts: dict[str, list[str]]) -> LanguageModel:
     """
     rows, labels = [], []
     for k, lang in enumerate(LANGUAGES):
-        own = sorted({s for t in texts.get(lang, []) for s in sentences(t) if sum(c.isalpha() for c in s) >= 2 * SHORT and len(s) < 600}, key=lambda s: hash_of(s))
+        own = sorted({s for t in texts.get(lang, []) for s in sentences(t) if sum(c.isalpha() for c in s) >= 2 * SHORT and len(s) < SENTENCE_CHARS}, key=lambda s: hash_of(s))
         rows += own[:SENTENCES]
         labels += [k] * len(own[:SENTENCES])
     labels = np.array(labels, np.int64)
@@ -212,13 +236,10 @@ def hash_of(s: str) -> int:
 
 
 def fit_table(df: DataFrame, text: str, label: str) -> LanguageModel:
-    """Fit on at most SAMPLE texts of each label, those of the least hashes."""
+    """Fit on about SAMPLE texts of each label, the first SAMPLE_CHARS characters of each."""
     code = F.lower(F.regexp_extract(F.trim(F.col(label)), r"^([A-Za-z]{2})(?:[-_].*)?$", 1))
-    rows = df.select(F.substring(F.col(text), 1, 4000).alias("t"), code.alias("lang")).where("t IS NOT NULL")
-    texts = {}
-    for lang in LANGUAGES:
-        texts[lang] = [r.t for r in rows.where(F.col("lang") == lang).orderBy(F.xxhash64("t"), "t").select("t").limit(SAMPLE).collect()]
-    return fit(texts)
+    rows = df.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), code.alias("lang")).where(F.col("t").isNotNull() & F.col("lang").isin(*LANGUAGES))
+    return fit({k: [r.t for r in kept] for k, kept in bounded_sample(rows, ["t"], SAMPLE, "lang").items()})
 
 
 def label_segments(spark: SparkSession, df: DataFrame, keep: list[str], text: str, model: LanguageModel) -> DataFrame:
