@@ -20,15 +20,25 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """Every run of white space one space, trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def dedup_key(c: Column, chars: int = 800) -> Column:
-    """Lower case, ASCII letters and digits only, single spaces, without a leading greeting, cut to ``chars``."""
+#: Characters of a key that short questions are compared by; keys are whole unless it is asked for.
+KEY_CHARS = 800
+
+
+def dedup_key(c: Column, chars: int | None = None) -> Column:
+    """Lower case, ASCII letters and digits only, single spaces, without a leading greeting, cut to ``chars`` if given."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    return F.substring(F.regexp_replace(t, GREETING, ""), 1, chars)
+    t = F.regexp_replace(t, GREETING, "")
+    return t if chars is None else F.substring(t, 1, chars)
 
 
 def fingerprint(c: Column) -> Column:
@@ -37,8 +47,8 @@ def fingerprint(c: Column) -> Column:
 
 
 def question_key(c: Column) -> Column:
-    """Case-folded and trimmed; the key questions are matched on."""
-    return F.lower(F.trim(c))
+    """Lower-cased, without white space around; the key questions are matched on."""
+    return F.lower(strip(c))
 
 
 def mostly_ascii(c: Column, share: float = 0.9) -> Column:
@@ -58,6 +68,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def letter_tokens(c: Column) -> Column:
+    """Lower-cased runs of Latin letters, accented ones of Latin-1 and apostrophes included."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-zà-öø-ÿ']+)"), F.lit(1))
+
+
+def holds_acronym(c: Column, acronym: str) -> Column:
+    """Whether the text holds the acronym as a word of its own, in this spelling."""
+    return F.rlike(F.coalesce(c, F.lit("")), F.lit(rf"(?U)(?<!\w)\Q{acronym}\E(?!\w)"))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two token arrays; 0 if both are empty."""
     union = F.size(F.array_union(a, b))
@@ -101,10 +121,45 @@ def digit_runs(c: Column) -> Column:
     return F.array_sort(F.regexp_extract_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\u[0-9a-fA-F]{4}", ""), F.lit(r"(?U)(\d+)"), F.lit(1)))
 
 
+# Fixed value: what a URL is.
+URL = r"(https?://[^\s<>\"']+)"
+
+
 def urls(c: Column) -> Column:
-    """Sorted URLs without trailing punctuation."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(https?://[^\s<>\"']+)"), F.lit(1))
-    return F.array_sort(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+$", "")))
+    """Sorted URLs without final punctuation; brackets that they open stay."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(URL), F.lit(1))
+    return F.array_sort(F.transform(found, trim_url))
+
+
+def trim_url(u: Column) -> Column:
+    """A URL without final sentence marks and without closers that it does not open."""
+    count = lambda x, mark: F.length(x) - F.length(F.translate(x, mark, ""))
+    # the final marks and closers one by one from the left: a closer stays while the part up to it opens as many
+    tail = F.regexp_extract(u, r"([.,;:!?)\]}]*)$", 1)
+    body = F.substring(u, F.lit(1), F.length(u) - F.length(tail))
+
+    def kept(x: Column) -> Column:
+        last = F.right(x, F.lit(1))
+        closes = F.lit(False)
+        for open_, close in (("(", ")"), ("[", "]"), ("{", "}")):
+            closes = closes | ((last == close) & (count(x, open_) >= count(x, close)))
+        return closes
+
+    steps = F.transform(F.sequence(F.lit(0), F.length(tail)), lambda k: F.concat(body, F.substring(tail, F.lit(1), k)))
+    return F.element_at(F.concat(F.array(body), F.filter(steps, kept)), -1)
+
+
+def without_urls(c: Column) -> Column:
+    """The text without its URLs; the marks that end a sentence after one stay."""
+    text = F.coalesce(c, F.lit(""))
+    return F.aggregate(urls(text), text, lambda acc, u: F.replace(acc, u, F.lit("")))
+
+
+def mark_counts(c: Column) -> Column:
+    """Struct of question marks (the Arabic one too) and exclamation marks outside URLs."""
+    t = without_urls(c)
+    n = lambda keep: F.length(F.regexp_replace(t, f"[^{keep}]", ""))
+    return F.struct(n("?؟").alias("questions"), n("!").alias("exclamations"))
 
 
 def line_counts(c: Column) -> Column:
@@ -121,26 +176,30 @@ def truthy(c: Column) -> Column:
 
 # The categories and the substrings that lead to them, in order of precedence.
 CATEGORY_NAMES = ("menstrual", "pcos", "fertility", "other", "none")
-CATEGORY_PARTS = (("pcos", ("pcos", "pcod", "polycystic")), ("fertility", ("fertil", "infertil", "conceiv", "pregnan")), ("menstrual", ("menstrual", "period", "cycle", "bleed")))
+CATEGORY_PARTS = (("pcos", ("pcos", "pcod", "polycystic")), ("fertility", ("fertil", "conceiv", "pregnan")), ("menstrual", ("menstrual", "period", "cycle", "bleed")))
 
 
 def normalize_category(c: Column) -> Column:
     """A category name as written, else the first category with a substring in the value, else the value; empty is ``other``."""
-    t = F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit("_"), F.lit("-"))
+    t = F.replace(F.lower(strip(F.coalesce(c, F.lit("")))), F.lit("_"), F.lit("-"))
     out = F.when(t.isin(*CATEGORY_NAMES), t)
     for name, parts in CATEGORY_PARTS:
         out = out.when(contains_any(t, parts), name)
     return out.when(t == "", "other").otherwise(t)
 
 
+# Spellings of the middle risk level, then substrings of the others, in order of precedence.
+DOCTOR_SPELLINGS = ("see-doctor", "see-a-doctor", "doctor", "medical-care", "consult-doctor")
+RISK_PARTS = (("urgent", ("urgent", "emergency", "immediate")), ("routine", ("routine", "low")))
+
+
 def normalize_risk(c: Column) -> Column:
     """The three risk levels from their spellings; unknown values stay."""
-    t = F.regexp_replace(F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit("_"), F.lit("-")), r"\s+", "-")
-    # fixed values: spellings of the middle level, then substrings of the others
-    return (
-        F.when(t.isin("see-doctor", "see-a-doctor", "doctor", "medical-care", "consult-doctor"), "see-doctor")
-        .when(contains_any(t, ("urgent", "emergency", "immediate")), "urgent").when(contains_any(t, ("routine", "low")), "routine").otherwise(t)
-    )
+    t = F.regexp_replace(F.replace(F.lower(strip(F.coalesce(c, F.lit("")))), F.lit("_"), F.lit("-")), r"(?U)\s+", "-")
+    out = F.when(t.isin(*DOCTOR_SPELLINGS), "see-doctor")
+    for name, parts in RISK_PARTS:
+        out = out.when(contains_any(t, parts), name)
+    return out.otherwise(t)
 
 
 def contains_any(c: Column, parts) -> Column:

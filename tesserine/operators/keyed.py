@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserine.functions import text as X
 from tesserine.operators.quality import require_empty
+from tesserine.operators.sample import numbered_rows
 
 
 def row_id(split: Column, pos: Column, width: int = 4) -> Column:
     """``split-0012``: split and zero-based position."""
-    return F.concat(split, F.lit("-"), F.lpad(pos.cast("string"), width, "0"))
+    return F.concat(split, F.lit("-"), numbered(pos, width))
+
+
+def numbered(n: Column, width: int) -> Column:
+    """A number with leading zeros up to the width; longer ones stay whole."""
+    return F.format_string(f"%0{width}d", n.cast("long"))
 
 
 def item_id(seed: Column, fallback: Column, style: Column, language: Column) -> Column:
@@ -21,21 +28,22 @@ def item_id(seed: Column, fallback: Column, style: Column, language: Column) ->
 
 def first_filled(columns: list[Column]) -> Column:
     """The first value that is neither NULL nor blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+    return F.coalesce(*[F.nullif(X.strip(c), F.lit("")) for c in columns])
+
+
+def required_text(columns: list[Column], what: Column) -> Column:
+    """As ``first_filled``; a row without any such value fails the query and is named by ``what``."""
+    return F.coalesce(first_filled(columns), F.raise_error(F.concat(F.lit("no text in "), what)))
 
 
 def group_ids(df: DataFrame, by: str, prefix: str, width: int = 3) -> DataFrame:
     """``df`` with ``group_id``: prefix and the dense rank of ``by``.
 
-    The distinct values alone are numbered: sorted over the cluster, counted per
-    partition, offset, and joined back, so no task sees all rows.
+    The distinct values alone are numbered, piece by piece, and joined back, so no
+    task sees all rows. NULL has no group.
     """
-    values = df.select(by).where(F.col(by).isNotNull()).distinct().sort(by).withColumn("_p", F.spark_partition_id())
-    sizes = values.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(by))).join(starts, "_p")
-    numbered = ranked.select(F.col(by), F.concat(F.lit(prefix), F.lpad((F.col("_r") + F.col("_s") - 1).cast("string"), width, "0")).alias("group_id"))
-    return df.join(numbered, by, "left")
+    values = numbered_rows(df.select(by).where(F.col(by).isNotNull()).distinct(), None, [by], "_r")
+    return df.join(values.select(by, F.concat(F.lit(prefix), numbered(F.col("_r") - 1, width)).alias("group_id")), by, "left")
 
 
 def key_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -64,9 +72,10 @@ def left_lookup(df: DataFrame, other: DataFrame, keys: list[str], values: dict[s
     return df.join(last, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in values.items()})
 
 
-def recover(df: DataFrame, other: DataFrame, key: str, column: str) -> DataFrame:
-    """``df`` with blank values of ``column`` taken from ``other`` by key."""
-    back = other.select(key, F.col(column).alias("_c")).dropDuplicates([key])
+def recover(df: DataFrame, other: DataFrame, key: str, column: str, order: list[Column | str] = ()) -> DataFrame:
+    """``df`` with blank values of ``column`` taken from the last row of ``other`` with the key, by ``order`` or else by value."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order] or [F.col(column)]
+    back = other.where(X.strip(F.coalesce(column, F.lit(""))) != "").groupBy(key).agg(F.max_by(F.col(column), F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*by, F.col(column)])])).alias("_c"))
     return df.join(back, key, "left").withColumn(column, first_filled([F.col(column), F.col("_c")])).drop("_c")
 
 

@@ -30,15 +30,15 @@ def answer_rules(question: Column, answer: Column, least: int = 20, most: int =
     ]
 
 
-def quality_reasons(df: DataFrame, question: str, answer: str, order: list[str], least: int = 20, most: int = 1500) -> DataFrame:
+def quality_reasons(df: DataFrame, question: str, answer: str, order: list[str], least: int = 20, most: int = 1500, key_chars: int | None = None) -> DataFrame:
     """``df`` with ``reason``: why a pair is dropped, NULL if it is kept.
 
     The rules apply in turn: length, empty phrases, script, and last the exact
     repetition of an earlier kept pair (by ``order``). Only surviving pairs are
-    compared for repetition, by the hash of their keys.
+    compared for repetition, by the hash of their keys, cut to ``key_chars`` if given.
     """
     first = df.withColumn("reason", first_reason(answer_rules(F.col(question), F.col(answer), least, most)))
-    key = F.sha2(F.concat(X.dedup_key(F.col(question), 220), F.lit("|"), X.dedup_key(F.col(answer), 220)), 256)
+    key = F.sha2(F.concat(X.dedup_key(F.col(question), key_chars), F.lit("|"), X.dedup_key(F.col(answer), key_chars)), 256)
     # rows dropped already are spread by their own order instead of meeting under one key
     first = first.withColumn("_key", F.when(F.col("reason").isNull(), key).otherwise(F.sha2(F.concat_ws("|", *[F.col(o).cast("string") for o in order]), 224)))
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
@@ -84,12 +84,13 @@ def translation_checks(df: DataFrame, key: str, source: str, target: str, key_pa
     """(key, severity, check, detail): a row for each violated expectation of a translated cell.
 
     Blank cells fail ``blank`` only. Checked besides: key shape, digit runs, URLs,
-    line breaks, question and exclamation marks, length ratio and unchanged text.
+    line breaks, question and exclamation marks (each kind by itself, where the
+    source has any), length ratio and unchanged text.
     """
     s, t = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(target), F.lit(""))
-    blank = F.trim(t) == ""
-    bare_s, bare_t = (F.regexp_replace(c, r"https?://\S+", "") for c in (s, t))
-    marks = lambda c: F.length(F.regexp_replace(c, r"[^?!؟]", ""))
+    blank = X.strip(t) == ""
+    ms, mt = X.mark_counts(s), X.mark_counts(t)
+    asked, called = ((ms[k] > 0) & (ms[k] != mt[k]) for k in ("questions", "exclamations"))
     ratio = F.length(X.squeeze(t)) / F.length(X.squeeze(s))
     ls, lt = X.line_counts(s), X.line_counts(t)
     checks = [
@@ -97,7 +98,7 @@ def translation_checks(df: DataFrame, key: str, source: str, target: str, key_pa
         ("warning", "digits", ~blank & (X.digit_runs(s) != X.digit_runs(t)), F.concat_ws(" ", X.digit_runs(s))),
         ("error", "urls", ~blank & (X.urls(s) != X.urls(t)), F.concat_ws(" ", X.urls(s))),
         ("error", "lines", ~blank & (ls != lt), F.concat_ws("/", ls["breaks"], lt["breaks"])),
-        ("warning", "marks", ~blank & (marks(bare_s) > 0) & (marks(bare_s) != marks(bare_t)), F.concat_ws("/", marks(bare_s), marks(bare_t))),
+        ("warning", "marks", ~blank & (asked | called), F.concat_ws(" ", *[F.concat_ws("/", ms[k], mt[k]) for k in ("questions", "exclamations")])),
         ("warning", "length_ratio", ~blank & (F.length(X.squeeze(s)) >= 40) & ~ratio.between(0.35, 3.0), F.round(ratio, 2).cast("string")),
         ("error", "unchanged", ~blank & (X.squeeze(F.lower(s)) == X.squeeze(F.lower(t))), F.lit("")),
     ]

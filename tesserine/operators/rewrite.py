@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as X
+
 
 def render(template: str, values: dict[str, Column]) -> Column:
     """The template with each ``{name}`` replaced; NULL values become empty."""
@@ -19,7 +21,7 @@ def render(template: str, values: dict[str, Column]) -> Column:
 def chat_record(question: Column, answer: Column, system: str | None = None) -> Column:
     """JSON text of a user and an assistant message, trimmed, after an optional system message."""
     says = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    turns = [says("user", F.trim(question)), says("assistant", F.trim(answer))]
+    turns = [says("user", X.strip(question)), says("assistant", X.strip(answer))]
     return F.to_json(F.struct(F.array(*([says("system", F.lit(system))] if system else []), *turns).alias("messages")))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserine.runtime import stored
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A reproducible order of rows that looks random: the MD5 of seed and key."""
@@ -20,17 +22,38 @@ def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, rank:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def numbered_rows(df: DataFrame, by: str | None, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place, from 1, of each row in its group (or in all), without one task for a group.
+
+    All rows are sorted over the cluster by group and order, numbered inside each
+    partition and shifted by what earlier partitions hold of the group; a group may
+    hold most of the rows. NULL is a group.
+    """
+    group = F.lit(0) if by is None else F.col(by)
+    rows = df.withColumn("_g", group)
+    rows = stored(rows.sort("_g", *order).withColumn("_p", F.spark_partition_id()), "sorted")
+    sizes = rows.groupBy("_g", "_p").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), before.alias("_s"))  # a row for each group of each partition
+    at = F.row_number().over(Window.partitionBy("_g", "_p").orderBy(*order))
+    joined = rows.withColumn("_at", at).join(starts, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn("_at", F.col("_at") + F.col("_s")).drop("_g", "_h", "_p", "_q", "_s").withColumnRenamed("_at", name)
+
+
+def ranked(df: DataFrame, order: Column, ties: list[str], name: str) -> DataFrame:
+    """``df`` with its place from 1 in an order over all rows."""
+    return numbered_rows(df, None, [order, *ties], name)
+
+
 def stratified_split(df: DataFrame, by: str, key: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``split``: ``val`` for the share of each stratum that comes first in seeded order, rounded half to even, else ``train``.
 
-    Strata are counted in one aggregation and only ranked where they matter, so
-    a stratum may hold most of the rows.
+    Strata are counted in one aggregation and numbered piece by piece, so a stratum
+    may hold most of the rows.
     """
-    order = seeded(F.col(key), seed)
-    w = Window.partitionBy(by).orderBy(order, key)
     n = df.groupBy(F.col(by).alias("_by")).agg(F.bround(F.count("*") * F.lit(share), 0).cast("long").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(w)).join(n, F.col(by).eqNullSafe(F.col("_by")))
-    return ranked.withColumn("split", F.when(F.col("_r") <= F.col("_n"), "val").otherwise("train")).drop("_r", "_n", "_by")
+    rows = numbered_rows(df, by, [seeded(F.col(key), seed), key], "_r").join(n, F.col(by).eqNullSafe(F.col("_by")))
+    return rows.withColumn("split", F.when(F.col("_r") <= F.col("_n"), "val").otherwise("train")).drop("_r", "_n", "_by")
 
 
 def sample_per_group(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
@@ -49,8 +72,9 @@ def oversample(df: DataFrame, condition: Column, times: int) -> DataFrame:
 
 
 def chunks(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    """``df`` with ``chunk``: the number, from 0, of its group's piece of ``size`` rows."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("long"))
+    """``df`` with ``chunk``: the number, from 0, of its group's piece of ``size`` rows; a group may hold most of the rows."""
+    rows = df.withColumn("_by", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
+    return numbered_rows(rows, "_by", order, "_r").withColumn("chunk", F.floor((F.col("_r") - 1) / size).cast("long")).drop("_by", "_r")
 
 
 def row_range(df: DataFrame, pos: str, start: int, end: int) -> DataFrame:

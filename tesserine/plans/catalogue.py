@@ -32,14 +32,17 @@ def query(sql: str | None = None):
     return register
 
 
-_KEY = r"""substr(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '^(hi|hello|dear|hey)\b[\s,]*(doctor|dr)?[\s,]*', ''), 1, {1})"""
+_KEY = r"""regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), '^(hi|hello|dear|hey)\b[\s,]*(doctor|dr)?[\s,]*', '')"""
+_CUT_KEY = f"substr({_KEY}, 1, 800)"
+_STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}\x0B\x85]+|[\s\p{{Z}}\x0B\x85]+$', '', 'g')"
+_SQUEEZE_ALL = r"trim(regexp_replace({0}, '[\s\p{{Z}}\x0B\x85]+', ' ', 'g'))"
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
-@query(rf"SELECT doc_id, length({_KEY.format('text', 800)}) AS key_chars, md5({_KEY.format('text', 800)}) AS key_md5 FROM documents")
+@query(rf"SELECT doc_id, length({_CUT_KEY.format('text')}) AS key_chars, md5({_CUT_KEY.format('text')}) AS key_md5 FROM documents")
 def clean_text_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The deduplication key of every document."""
-    key = X.dedup_key(F.col("text"))
+    """The short deduplication key of every document."""
+    key = X.dedup_key(F.col("text"), X.KEY_CHARS)
     return table(spark, d, "documents").select("doc_id", F.length(key).alias("key_chars"), F.md5(key).alias("key_md5"))
 
 
@@ -51,7 +54,7 @@ def clean_text_lengths(spark: SparkSession, d: str) -> DataFrame:
 _RULES = r"""CASE WHEN NOT length(coalesce(Answer, '')) BETWEEN 20 AND 1500 THEN 'answer_length'
  WHEN regexp_matches(coalesce(Answer, ''), '(?i)^\s*(?:please\s+)?(?:consult|see|visit)\s+(?:a|your)\s+(?:doctor|gynecologist|gp|physician)\.?\s*$') OR regexp_matches(coalesce(Answer, ''), '^\s*https?://\S+\s*$') THEN 'junk_answer'
  WHEN NOT coalesce(length(regexp_replace(Question, '[^\x00-\x7F]', '', 'g')) / nullif(length(Question), 0) > 0.9, false) OR NOT coalesce(length(regexp_replace(Answer, '[^\x00-\x7F]', '', 'g')) / nullif(length(Answer), 0) > 0.9, false) THEN 'non_english_heuristic' END"""
-_QUALITY = rf"""WITH d AS (SELECT DISTINCT row_id, Question, Answer FROM filtered), r AS (SELECT *, {_RULES} AS r1, {_KEY.format('Question', 220)} || '|' || {_KEY.format('Answer', 220)} AS k FROM d),
+_QUALITY = rf"""WITH d AS (SELECT DISTINCT row_id, Question, Answer FROM filtered), r AS (SELECT *, {_RULES} AS r1, {_KEY.format('Question')} || '|' || {_KEY.format('Answer')} AS k FROM d),
 q AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY r1 IS NULL, k ORDER BY row_id) > 1 THEN 'exact_qa_dup' ELSE r1 END AS reason FROM r)"""
 
 
@@ -76,7 +79,7 @@ def stage_yield(spark: SparkSession, d: str) -> DataFrame:
     return quality.stage_yield(table(spark, d, "filtered"), [("answered", F.col("Answer") != ""), ("asked", F.col("Question") != ""), ("with_topic", F.col("Topic").isNotNull())])
 
 
-@query(rf"""WITH k AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY {_KEY.format('text', 800)} ORDER BY doc_id) AS n FROM documents)
+@query(rf"""WITH k AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY {_KEY.format('text')} ORDER BY doc_id) AS n FROM documents)
 SELECT lang, count(*) AS kept, sum(n_chars) AS chars FROM k WHERE n = 1 GROUP BY lang""")
 def exact_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """Documents left by language when the first of each deduplication key stays."""
@@ -92,8 +95,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 _PRINT = r"sha1(regexp_replace(trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g')), '[^a-z0-9_ ]', '', 'g'))"
 
 
-@query("""WITH h AS (SELECT DISTINCT lower(trim(qa_id)) AS k FROM filtered WHERE split <> 'train'), t AS (SELECT DISTINCT lower(trim(Question)) AS k FROM filtered WHERE split <> 'train'),
-r AS (SELECT DISTINCT row_id, lower(trim(qa_id)) AS rk, lower(trim(Question)) AS qk FROM filtered WHERE split = 'train')
+@query(f"""WITH h AS (SELECT DISTINCT lower({_STRIP.format('qa_id')}) AS k FROM filtered WHERE split <> 'train'), t AS (SELECT DISTINCT lower({_STRIP.format('Question')}) AS k FROM filtered WHERE split <> 'train'),
+r AS (SELECT DISTINCT row_id, lower({_STRIP.format('qa_id')}) AS rk, lower({_STRIP.format('Question')}) AS qk FROM filtered WHERE split = 'train')
 SELECT row_id, CASE WHEN rk IN (SELECT k FROM h WHERE k <> '') THEN 'row_key' WHEN qk IN (SELECT k FROM t WHERE k <> '') THEN 'text_hash' END AS exclusion_reason FROM r""")
 def dual_key_exclusion(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filtered").select("row_id", "split", X.question_key(F.col("qa_id")).alias("rk"), X.question_key(F.col("Question")).alias("qk")).distinct()
@@ -101,7 +104,7 @@ def dual_key_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return leakage.dual_key_exclusion(rows.where("split = 'train'"), F.col("rk"), held.select("rk"), F.col("qk"), held.select("qk")).select("row_id", "exclusion_reason")
 
 
-@query("""WITH r AS (SELECT DISTINCT row_id, split, lower(trim(Question)) AS q, length(coalesce(Question, '')) < 60 AS deg FROM translation_handoff), g AS (SELECT DISTINCT lower(trim(style_text)) AS q FROM gold_seeds),
+@query(f"""WITH r AS (SELECT DISTINCT row_id, split, lower({_STRIP.format('Question')}) AS q, length(coalesce(Question, '')) < 60 AS deg FROM translation_handoff), g AS (SELECT DISTINCT lower({_STRIP.format('style_text')}) AS q FROM gold_seeds),
 m AS (SELECT *, CASE WHEN deg THEN 'degenerate' WHEN q IN (SELECT q FROM g) THEN 'held_out' END AS reason FROM r), v AS (SELECT DISTINCT q FROM m WHERE split = 'val' AND reason IS NULL AND q <> '')
 SELECT split, coalesce(CASE WHEN reason IS NULL AND split = 'train' AND q IN (SELECT q FROM v) THEN 'val_duplicate' ELSE reason END, 'kept') AS reason, count(*) AS n FROM m GROUP BY ALL""")
 def split_cleaning(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +145,7 @@ def data_mixture(spark: SparkSession, d: str) -> DataFrame:
     return sample.mixture([("cdc", a, None), ("filtered", b, 20)], "Topic", "k", 3).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT item_key, 'item-' || lpad((dense_rank() OVER (ORDER BY gold_answer) - 1)::VARCHAR, 3, '0') AS group_id FROM gold_seeds""")
+@query("""SELECT item_key, 'item-' || format('{:03d}', dense_rank() OVER (ORDER BY gold_answer) - 1) AS group_id FROM gold_seeds""")
 def group_ids(spark: SparkSession, d: str) -> DataFrame:
     return keyed.group_ids(table(spark, d, "gold_seeds"), "gold_answer", "item-").select("item_key", "group_id")
 
@@ -169,21 +172,41 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_keys(table(spark, d, "filtered"), "qa_id")
 
 
-@query(r"""WITH c AS (SELECT DISTINCT row_id, coalesce(Answer, '') AS s, coalesce(Answer_translated, '') AS t FROM translation_handoff), m AS (SELECT row_id, s, t, trim(t) = '' AS b, trim(regexp_replace(s, '\s+', ' ', 'g')) AS ss, trim(regexp_replace(t, '\s+', ' ', 'g')) AS tt FROM c)
-SELECT "check", count(*) AS n FROM (SELECT row_id, unnest([CASE WHEN b THEN 'blank' END, CASE WHEN NOT b AND list_sort(regexp_extract_all(s, '\d+')) <> list_sort(regexp_extract_all(t, '\d+')) THEN 'digits' END,
-CASE WHEN NOT b AND length(regexp_replace(s, '[^?!؟]', '', 'g')) > 0 AND length(regexp_replace(s, '[^?!؟]', '', 'g')) <> length(regexp_replace(t, '[^?!؟]', '', 'g')) THEN 'marks' END,
-CASE WHEN NOT b AND length(s) - length(replace(s, chr(10), '')) <> length(t) - length(replace(t, chr(10), '')) THEN 'lines' END]) AS "check" FROM m) WHERE "check" IS NOT NULL GROUP BY 1""")
+# URLs without final marks and closers that they do not open, as in ``trim_url``
+_URLS = r"""list_transform(regexp_extract_all({0}, 'https?://[^\s<>"'']+'), lambda u: list_concat([substr(u, 1, length(u) - length(regexp_extract(u, '([.,;:!?)\]}}]*)$', 1)))],
+ list_filter(list_transform(range(0, length(regexp_extract(u, '([.,;:!?)\]}}]*)$', 1)) + 1), lambda k: substr(u, 1, length(u) - length(regexp_extract(u, '([.,;:!?)\]}}]*)$', 1)) + k)),
+ lambda v: (suffix(v, ')') AND length(replace(v, '(', '')) <= length(replace(v, ')', ''))) OR (suffix(v, ']') AND length(replace(v, '[', '')) <= length(replace(v, ']', ''))) OR (suffix(v, '}}') AND length(replace(v, '{{', '')) <= length(replace(v, '}}', '')))))[-1])"""
+_SIDES = (
+    "WITH c AS (SELECT DISTINCT row_id, coalesce(Answer, '') AS s, coalesce(Answer_translated, '') AS t FROM translation_handoff), x AS (SELECT row_id, s, t"
+    + "".join(
+        f", {_STRIP.format(c)} = '' AS b_{c}, list_sort(regexp_extract_all(regexp_replace({c}, '\\\\u[0-9a-fA-F]{{4}}', '', 'g'), '\\p{{Nd}}+')) AS d_{c}, list_sort({_URLS.format(c)}) AS u_{c}, string_split({c}, chr(10)) AS l_{c}, {_SQUEEZE_ALL.format(c)} AS q_{c}, {_SQUEEZE_ALL.format(f'lower({c})')} AS f_{c}"
+        for c in ("s", "t")
+    )
+    + " FROM c), y AS (SELECT *"
+    + "".join(
+        f", len(l_{c}) - 1 AS n_{c}, len(list_filter(list_slice(l_{c}, 2, len(l_{c}) - 1), lambda z: trim(z) = '')) AS e_{c}, list_reduce(list_prepend({c}, u_{c}), lambda acc, u: replace(acc, u, '')) AS w_{c}" for c in ("s", "t")
+    )
+    + " FROM x), m AS (SELECT *"
+    + "".join(f", length(regexp_replace(w_{c}, '[^?؟]', '', 'g')) AS a_{c}, length(regexp_replace(w_{c}, '[^!]', '', 'g')) AS x_{c}" for c in ("s", "t"))
+    + """ FROM y), v AS (SELECT row_id, unnest([CASE WHEN b_t THEN 'error blank' END, CASE WHEN NOT b_t AND d_s <> d_t THEN 'warning digits' END, CASE WHEN NOT b_t AND u_s <> u_t THEN 'error urls' END,
+ CASE WHEN NOT b_t AND (n_s <> n_t OR e_s <> e_t) THEN 'error lines' END, CASE WHEN NOT b_t AND ((a_s > 0 AND a_s <> a_t) OR (x_s > 0 AND x_s <> x_t)) THEN 'warning marks' END,
+ CASE WHEN NOT b_t AND length(q_s) >= 40 AND NOT length(q_t) / length(q_s) BETWEEN 0.35 AND 3.0 THEN 'warning length_ratio' END, CASE WHEN NOT b_t AND f_s = f_t THEN 'error unchanged' END,
+ CASE WHEN NOT regexp_matches(row_id, '^(train|val)-[0-9]{8}$') THEN 'error key_shape' END]) AS v FROM m)
+"""
+)
+
+
+@query(_SIDES + """SELECT split_part(v, ' ', 2) AS "check", count(*) AS n FROM v WHERE v IS NOT NULL AND v <> 'error key_shape' GROUP BY 1""")
 def translation_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "translation_handoff").select("row_id", "Answer", "Answer_translated").distinct()
-    found = quality.translation_checks(rows, "row_id", "Answer", "Answer_translated").where(F.col("check").isin("blank", "digits", "marks", "lines"))
-    return found.groupBy("check").agg(F.count("*").alias("n"))
+    return quality.translation_checks(rows, "row_id", "Answer", "Answer_translated").groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_SIDES + """SELECT split_part(v, ' ', 1) AS severity, split_part(v, ' ', 2) AS "check", count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY 1, 2""")
 def expectations_report(spark: SparkSession, d: str) -> DataFrame:
     """All checks of the translated answers by severity."""
     rows = table(spark, d, "translation_handoff").select("row_id", "Answer", "Answer_translated").distinct()
-    return quality.translation_checks(rows, "row_id", "Answer", "Answer_translated", r"^(train|val)-\d{8}$").groupBy("severity", "check").agg(F.count("*").alias("n"))
+    return quality.translation_checks(rows, "row_id", "Answer", "Answer_translated", r"^(train|val)-[0-9]{8}$").groupBy("severity", "check").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL""")
@@ -348,7 +371,7 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qa_id", rewrite.render("Topic: {topic}\nQ: {question}", {"topic": F.col("Topic"), "question": F.col("Question")}).alias("prompt")).distinct()
 
 
-@query("""SELECT DISTINCT qa_id, length(Question) + length(Answer) AS chars FROM (SELECT qa_id, trim(Question) AS Question, trim(Answer) AS Answer FROM cdc_reproductive_health_qa WHERE Answer IS NOT NULL)""")
+@query(f"""SELECT DISTINCT qa_id, length(Question) + length(Answer) AS chars FROM (SELECT qa_id, {_STRIP.format('Question')} AS Question, {_STRIP.format('Answer')} AS Answer FROM cdc_reproductive_health_qa WHERE Answer IS NOT NULL)""")
 def chat_records(spark: SparkSession, d: str) -> DataFrame:
     """Chat records, read back: the characters of both messages."""
     rows = table(spark, d, "cdc_reproductive_health_qa").where("Answer IS NOT NULL")
@@ -440,13 +463,6 @@ def needs_clarification(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gold_seeds").groupBy(F.when(ask, "ask").otherwise("answer").alias("text_kind")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT DISTINCT pred_id, item_id FROM predictions), s AS (SELECT item_id, count(*) AS tries, min(pred_id) AS first_id, max(pred_id) AS last_id FROM r GROUP BY 1) SELECT item_id, tries, first_id, last_id FROM s""")
-def distinct_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Items as jobs: how often each was run, its first and its last run."""
-    rows = table(spark, d, "predictions").select("pred_id", "item_id").distinct()
-    return rows.groupBy("item_id").agg(F.count("*").alias("tries"), F.min("pred_id").alias("first_id"), F.max("pred_id").alias("last_id"))
-
-
 @query("""SELECT item_id, pred_id FROM (SELECT item_id, pred_id, row_number() OVER (PARTITION BY item_id ORDER BY pred_id DESC) AS n FROM (SELECT DISTINCT item_id, pred_id FROM predictions)) WHERE n = 1""")
 def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per_key(table(spark, d, "predictions").select("item_id", "pred_id").distinct(), ["item_id"], [F.desc("pred_id")])

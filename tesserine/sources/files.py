@@ -71,7 +71,7 @@ def with_positions(df: DataFrame, name: str = "pos") -> DataFrame:
     part = F.shiftright("_at", 33)
     sizes = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
     starts = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_s"))
-    shifted = numbered.withColumn("_p", part).join(F.broadcast(starts) if starts.count() <= 100_000 else starts, "_p")
+    shifted = numbered.withColumn("_p", part).join(F.broadcast(starts), "_p")  # one row a partition: some bytes for each task
     return shifted.withColumn(name, F.col("_s") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_s")
 
 
@@ -84,10 +84,12 @@ def conversations(spark: SparkSession, path: str, field: str = "text") -> DataFr
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256, valid_utf8, damaged): each file's digest and whether it decodes."""
+    """(path, bytes, sha256, valid_utf8, has_nul, damaged): each file's digest, whether it decodes, and whether the text holds NUL or what damaged UTF-8 leaves behind; NULL where it does not decode."""
     content = F.col("content")
-    decoded = F.expr("is_valid_utf8(cast(content as string))")
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2(content, 256).alias("sha256"), decoded.alias("valid_utf8"), F.rlike(F.decode(content, "UTF-8"), F.lit(MOJIBAKE)).alias("damaged"))
+    text = F.expr("try_validate_utf8(cast(content as string))")
+    return spark.read.format("binaryFile").load(path).select(
+        "path", F.col("length").alias("bytes"), F.sha2(content, 256).alias("sha256"), text.isNotNull().alias("valid_utf8"), text.contains("\0").alias("has_nul"), F.rlike(text, F.lit(MOJIBAKE)).alias("damaged")
+    )
 
 
 def require_digest(spark: SparkSession, path: str, sha256: str) -> None:
@@ -128,3 +130,103 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows])
+
+
+def parse_csv(text: str) -> list[list[str]]:
+    """The records of RFC 4180 text; a quote that opens inside a cell, text after a closing one and an unclosed one fail."""
+    out: list[list[str]] = []
+    row: list[str] = []
+    at, n = 0, len(text)
+    while at < n:
+        if text[at] == '"':
+            end, parts = at + 1, []
+            while True:
+                stop = text.find('"', end)
+                if stop < 0:
+                    raise ValueError(f"unclosed quote at {at}")
+                parts.append(text[end:stop])
+                if text[stop + 1 : stop + 2] != '"':
+                    break
+                parts.append('"')
+                end = stop + 2
+            cell, at = "".join(parts), stop + 1
+            if at < n and text[at] not in ",\r\n":
+                raise ValueError(f"text after a quote at {at}")
+        else:
+            stop = min((x for x in (text.find(c, at) for c in ",\r\n") if x >= 0), default=n)
+            cell, at = text[at:stop], stop
+            if '"' in cell:
+                raise ValueError(f"quote inside a cell at {at}")
+        row.append(cell)
+        if at < n and text[at] == ",":
+            at += 1
+            if at == n:
+                row.append("")
+            elif text[at] in "\r\n":
+                row.append("")
+                at += 2 if text[at : at + 2] == "\r\n" else 1
+                out.append(row)
+                row = []
+            continue
+        out.append(row)
+        row = []
+        at += 2 if text[at : at + 2] == "\r\n" else 1
+    return [*out, row] if row else out
+
+
+def format_csv(rows: list[list[str]]) -> str:
+    """RFC 4180 text with CRLF; cells are quoted only where they must be."""
+    cell = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c
+    return "".join(",".join(map(cell, r)) + "\r\n" for r in rows)
+
+
+def read_strict_csv(path: str, columns: list[str]) -> tuple[list[list[str]], list[str]]:
+    """(records, problems) of a small contract file: other encodings, NUL, another or a repeated header and records of another width are named, not read."""
+    try:
+        text = Path(path).read_bytes().decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return [], ["not UTF-8"]
+    if "\0" in text:
+        return [], ["NUL in the text"]
+    try:
+        rows = parse_csv(text)
+    except ValueError as e:
+        return [], [str(e)]
+    if not rows or rows[0] != columns or len(set(columns)) != len(columns):
+        return [], [f"header {rows[0] if rows else []} is not {columns}"]
+    problems = [f"record {k}: {len(r)} cells" for k, r in enumerate(rows[1:], 1) if len(r) != len(columns)]
+    return [r for r in rows[1:] if len(r) == len(columns)], problems
+
+
+def read_locked_csv(spark: SparkSession, path: str, sha256: str, columns: list[str], rows: int) -> DataFrame:
+    """A CSV that must be the one that was locked: digest, header and number of rows."""
+    require_digest(spark, path, sha256)
+    df = read_csv(spark, path, columns)
+    if (n := df.count()) != rows:
+        raise ValueError(f"{path}: {n} rows are not {rows}")
+    return df
+
+
+def read_sets(spark: SparkSession, paths: list[str], column: str, keep: tuple[int, ...]) -> DataFrame:
+    """Rows of several CSV files whose set number is one of ``keep``, with ``source_row_id`` (file and position); what is no number is left out."""
+    parts = []
+    for p in paths:
+        df = with_positions(read_csv(spark, p), "_pos")
+        parts.append(df.withColumn(column, F.expr(f"cast(try_cast(`{column}` as double) as int)")).withColumn("source_row_id", F.concat(F.lit(f"{Path(p).name}:"), F.col("_pos"))).drop("_pos"))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out.where(F.col(column).isin(*keep))
+
+
+def write_provenance(path: str, inputs: list[str], counts: dict) -> None:
+    """What a step was made from: digest and size of each input, and its counts."""
+    import hashlib
+
+    files = [{"path": p, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()} for p in inputs for data in [Path(p).read_bytes()]]
+    write_report({"inputs": files, "counts": counts}, path)
+
+
+def write_chat_jsonl(df: DataFrame, path: str, record: str, mode: str = "overwrite") -> None:
+    """The JSON texts of a column, one a line."""
+    df.select(F.col(record).alias("value")).write.text(path, mode=mode)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tesserine.functions.modeljson import prediction
+from tesserine.operators.dedup import first_per_key
 
 
 def called(df: DataFrame, prompt: str, call: Callable[[str], str], out: str = "raw_response") -> DataFrame:
@@ -40,24 +40,26 @@ def parsed(df: DataFrame, raw: str = "raw_response") -> DataFrame:
 def upsert_sink(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the last row of each key in the table at ``path``.
 
-    Each batch goes to a directory of its own number, so a batch that is run again
-    after a failure replaces itself; ``latest`` reads the last row of each key.
+    Each batch, reduced to the last row of each key, goes to a directory of its own
+    number, so a batch that is run again after a failure replaces itself; ``latest``
+    reads the last row of each key, ``compact`` makes one directory of many.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = first_per_key(batch, [key], [F.desc(order)])
+        last.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark, path: str, key: str, order: str) -> DataFrame:
-    """The last row of each key over all batches."""
-    from pyspark.sql.window import Window
+    """The last row of each key over all batches; the path may be on any file system that Spark reads."""
+    return first_per_key(spark.read.parquet(path), [key], [F.desc("_batch"), F.desc(order)]).drop("_batch", "batch")
 
-    if not os.path.isdir(path):
-        raise FileNotFoundError(path)
-    rows = spark.read.parquet(path)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_batch"), F.desc(order)))).where("_n = 1").drop("_n", "_batch", "batch")
+
+def compact(spark, path: str, key: str, order: str, to: str) -> None:
+    """Write the last row of each key to another place, as batch 0 of a new table; the old one stays until it is deleted."""
+    latest(spark, path, key, order).withColumn("_batch", F.lit(0)).write.parquet(f"{to}/batch=0")
 
 
 def arrival_counts(stream: DataFrame, time: str, by: str, lateness: str = "3 hours", window: str = "1 hour") -> DataFrame:
