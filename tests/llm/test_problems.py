@@ -170,11 +170,49 @@ def test_phrases_equal_brute_force(spark, rows):
 
     want = {(d, k) for d, t in docs for k, a, b in items if runs(t) & (runs(a) | runs(b))}
     assert rows(phrases.find_phrases(df, "doc", "text", tests, "item", ["a", "b"])) == sorted(want, key=repr)
-    near = {(x.doc, x.item) for x in phrases.near_phrases(df, "doc", "text", tests, "item", ["a", "b"]).collect()}
-    assert want <= near
+    near = {(x.doc, x.item): x.phrases for x in phrases.near_phrases(df, "doc", "text", tests, "item", ["a", "b"]).collect()}
+    assert want <= set(near)
+    counts = Counter(w for _, t in docs for w in WORD.findall((t or "").lower()))
+    for slop in (0, 3, 12):
+        near = {(x.doc, x.item): x.phrases for x in phrases.near_phrases(df, "doc", "text", tests, "item", ["a", "b"], slop=slop).collect()}
+        assert near == near_by_hand(docs, items, slop, counts)
     assert phrases.find_phrases(df.limit(0), "doc", "text", tests, "item", ["a", "b"]).count() == 0
     assert phrases.find_phrases(df, "doc", "text", tests.limit(0), "item", ["a", "b"]).count() == 0
-    assert ("x", 1, [0, 2]) in rows(phrases.index_lists(spark.createDataFrame([(1, "x y X")], "d long, t string"), "d", "t"))
+
+
+def near_by_hand(docs, items, slop, counts):
+    """Items and their phrases whose three rarest words, ties by place, stand near their places beside the rarest."""
+    out = Counter()
+    words = {d: WORD.findall((t or "").lower()) for d, t in docs}
+    for item, *texts in items:
+        for p in {tuple(w[i : i + 12]) for t in texts for w in [WORD.findall((t or "").lower())] for i in range(len(w) - 11)}:
+            rare = sorted(range(12), key=lambda k: (counts[p[k]], k))[:3]
+            for d, w in words.items():
+                at = [[i - k for i, x in enumerate(w) if x == p[k]] for k in rare]
+                if any(all(any(abs(s - x) <= slop for x in other) for other in at[1:]) for s in at[0]):
+                    out[d, item] += 1
+    return dict(out)
+
+
+def test_index_of_shards(spark, monkeypatch):
+    made = phrases.Shard.of(["x y X", "", "y z"])
+    assert made.first.tolist() == [0, 3, 3, 5] and len(made.terms) == 3
+    x = phrases.hash_words(["x", "q"]).word
+    assert made.places[made.starts[made.numbers(x)[0]] : made.starts[made.numbers(x)[0] + 1]].tolist() == [0, 2] and made.numbers(x)[1] == -1
+    df = spark.createDataFrame([(i, f"w{i} same w{i}") for i in range(20)] + [(99, None), (98, "")], "d long, t string")
+    monkeypatch.setattr(phrases, "DOCS", 3)
+    index = phrases.build_index(df, "d", "t")
+    assert sorted(d for r in index.select("docs").collect() for d in r.docs) == list(range(20))
+    terms = np.sort(phrases.hash_words(["same w3 none"]).word)
+    assert sorted(phrases.term_counts(index, terms).tolist()) == [0, 2, 20]
+
+
+def test_phrases_do_not_cross_documents(spark, rows):
+    words = [f"k{i}" for i in range(12)]
+    df = spark.createDataFrame([(1, " ".join(words[:6])), (2, " ".join(words[6:])), (3, " ".join(words))], "d long, t string").coalesce(1)
+    tests = spark.createDataFrame([("i", " ".join(words))], "item string, t string")
+    assert rows(phrases.find_phrases(df, "d", "t", tests, "item", ["t"])) == [(3, "i")]
+    assert rows(phrases.near_phrases(df, "d", "t", tests, "item", ["t"], slop=30).select("doc")) == [(3,)]
 
 
 def toy_merges(seed, alphabet="abc", n=25):
