@@ -212,7 +212,7 @@ def test_phrases_do_not_cross_documents(spark, rows):
     df = spark.createDataFrame([(1, " ".join(words[:6])), (2, " ".join(words[6:])), (3, " ".join(words))], "d long, t string").coalesce(1)
     tests = spark.createDataFrame([("i", " ".join(words))], "item string, t string")
     assert rows(phrases.find_phrases(df, "d", "t", tests, "item", ["t"])) == [(3, "i")]
-    assert rows(phrases.near_phrases(df, "d", "t", tests, "item", ["t"], slop=30).select("doc")) == [(3,)]
+    assert rows(phrases.near_phrases(df, "d", "t", tests, "item", ["t"], slop=30).select("doc")) == [(1,), (3,)]  # the rarest, by ties the first three
 
 
 def toy_merges(seed, alphabet="abc", n=25):
