@@ -3,7 +3,7 @@
 The form is the composed compatibility normalisation with full case folding,
 every space mapped to the plain one, default-ignorable characters removed and
 letters of another script that stand for Latin look-alikes replaced. It is
-computed once for each distinct value of an Arrow batch.
+computed once for each distinct value that a worker meets.
 """
 
 from __future__ import annotations
@@ -18,20 +18,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-# Cyrillic and Greek letters and the Latin letters they look like.
+# Cyrillic, Cherokee and Greek letters and the Latin letters they look like.
 LOOK_ALIKES = dict(
     zip(
-        "аеорсухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜ" "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳͿ",
-        "aeopcyxijshdqwlABESIJKMHOPCTYXGQW" "oABEZHIKMNOPTYXjJ",
+        "аеорсухіјѕһԁԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜ" "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ" "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳͿ",
+        "aeopcyxijshdqwlABESIJKMHOPCTYXGQW" "ABCDEHJKLMPRSTVWZ" "oABEZHIKMNOPTYXjJ",
         strict=True,
     )
 )
+# Greek letters that look like Latin ones only among Latin letters; alone they are used as such.
+LOOK_ALIKES_AMONG = dict(zip("νρκιυ", "vpkiu", strict=True))
 #: Letters with a mark that exist composed in both scripts.
 LOOK_ALIKES |= {"ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï", "ϊ": "ï", "ό": "ó"}
 #: Latin letters of other alphabets with the look of plain ones.
 LOOK_ALIKES_LATIN = {"ɡ": "g", "ɑ": "a", "ı": "i"}
 #: Characters that default-ignorable lists hold besides the format characters.
 IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
+#: Characters of the values whose forms a worker remembers.
+REMEMBERED = 1 << 22
 _LIGATURES = re.compile("[ﬀ-ﬗיִ-﷿ﹰ-ﻼĲĳǄ-ǌǱ-ǳ]")
 _LINE_ENDS = "\n\r\x0b\x0c\x85  \t\x1c\x1d\x1e\x1f"
 
@@ -67,7 +71,7 @@ def _tables() -> tuple[dict[int, str | None], frozenset[str], re.Pattern]:
         if b != a + 1:
             ranges.append(f"{chr(start)}-{chr(a)}")
             start = None
-    worth = frozenset(map(chr, single)) | frozenset(LOOK_ALIKES) | composing
+    worth = frozenset(map(chr, single)) | frozenset(LOOK_ALIKES) | frozenset(LOOK_ALIKES_AMONG) | composing
     return single, worth, re.compile(f"[^{''.join(ranges)}][{''.join(ranges)}]+")
 
 
@@ -82,11 +86,15 @@ def _composed(m: re.Match) -> str:
 
 
 def _latin(m: re.Match) -> str:
-    """A word of Latin letters and look-alikes, or of look-alikes alone, in Latin letters."""
+    """The look-alikes of a word in Latin letters if it has a Latin letter besides, or nothing but look-alikes."""
     w = m.group()
-    if not any(c in LOOK_ALIKES for c in w):
+    if not any(c in LOOK_ALIKES or c in LOOK_ALIKES_AMONG for c in w):
         return w
-    if all(c in LOOK_ALIKES or "LATIN" in unicodedata.name(c, "") or unicodedata.combining(c) for c in w):
+    if any("LATIN" in unicodedata.name(c, "") for c in w):
+        # a Greek letter before or after a run of Latin ones may be a symbol; between them it is none
+        inner = "".join(LOOK_ALIKES_AMONG.get(c, c) if 0 < i < len(w) - 1 else c for i, c in enumerate(w))
+        return "".join(LOOK_ALIKES.get(c, c) for c in inner)
+    if all(c in LOOK_ALIKES or unicodedata.combining(c) for c in w):
         return "".join(LOOK_ALIKES.get(c, c) for c in w)
     return w
 
@@ -106,8 +114,14 @@ def plain_look(text: str) -> str:
 
 def consistent_form(text: str) -> str:
     """The form in which texts that look the same are equal: ``plain_look``, compatibility-composed, fully case-folded, spaces squeezed."""
-    out = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", plain_look(text)).casefold())
-    return " ".join(out.split())
+    return _looked_at(text)[0]
+
+
+def _looked_at(text: str) -> tuple[str, bool]:
+    """The consistent form, and whether its first step, which alone keeps the look, changed the text."""
+    plain = plain_look(text)
+    out = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", plain).casefold())
+    return " ".join(out.split()), plain != text
 
 
 def unify(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -119,11 +133,19 @@ def unify(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     source = df.select(*[df[c].alias(n) for c, n in zip(keep, names)], df[text].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, bool]] = {}
+        size = 0
         for batch in batches:
             encoded = pc.dictionary_encode(batch.column("text"))
             values = encoded.dictionary.to_pylist()
-            forms = pa.array([consistent_form(v) for v in values], pa.string())
-            differ = pa.array([plain_look(v) != v for v in values], pa.bool_())
+            for v in values:
+                if v not in known:
+                    known[v] = _looked_at(v)
+                    size += len(v)
+            forms = pa.array([known[v][0] for v in values], pa.string())
+            differ = pa.array([known[v][1] for v in values], pa.bool_())
+            if size > REMEMBERED:
+                known, size = {}, 0
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in names], forms.take(encoded.indices), pc.fill_null(differ.take(encoded.indices), False)],
                 [*names, "form", "differ"],

@@ -292,7 +292,7 @@ def test_look_alikes(text, plain):
     assert visual.plain_look(plain) == plain
 
 
-@pytest.mark.parametrize("text", ["β-hCG x² ½ … a\nb", "تُشخَّص ًّ", "Ça œuvre æ ß", "π r²", "", "L’été — 38,5 °C « oui »", "TNFα"])
+@pytest.mark.parametrize("text", ["β-hCG x² ½ … a\nb", "تُشخَّص ًّ", "Ça œuvre æ ß", "π r²", "", "ρ = 0.5", "κ-opioid", "ν", "μg νm", "мама", "L’été — 38,5 °C « oui »", "TNFα"])
 def test_plain_texts_stay(text):
     assert visual.plain_look(text) == text
 
