@@ -7,7 +7,8 @@ takes the arc v away from the state behind u, gives every state that has the
 path u, v an arc w, and lets w lead to the state v led to at that time. A state
 therefore differs from the one it was copied from only by the arcs taken away
 since, and the table holds those differences; the rest is reached through the
-state's origin. Words are encoded by running over their bytes: for each prefix
+state's origin. Words are encoded by running over their bytes, transition by transition of a
+table that is filled in from these differences as states are met: for each prefix
 exactly one token is both its suffix and a legal arc from the state before it.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Encoded words a worker remembers; when full it starts afresh.
 REMEMBERED = 1 << 18
+#: Entries of the transition table that a worker fills in as it meets them; when full it starts afresh.
+TRANSITIONS = 1 << 20
 #: Longest word that is remembered; longer ones are encoded each time.
 REMEMBERED_CHARS = 64
 
@@ -67,6 +70,8 @@ class TokenAutomaton:
         #: Token lengths by last byte, longest first: the suffixes worth trying.
         self.lengths = [sorted(lengths.get(b, {1}), reverse=True) for b in range(256)]
         self.words: dict[str, list[int]] = {}
+        #: The transitions met so far: state and arc to whether it exists.
+        self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if w in self.born or u not in self.born or v not in self.born or not self.has_arc(u, v, rank):
@@ -95,7 +100,7 @@ class TokenAutomaton:
             return [whole]
         n = len(data)
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        by_label, has_arc, lengths = self.by_label, self.has_arc, self.lengths
+        by_label, arcs, lengths = self.by_label, self.arcs, self.lengths
         for i in range(1, n + 1):
             for k in lengths[data[i - 1]]:
                 if k > i:
@@ -106,7 +111,15 @@ class TokenAutomaton:
                 before = last[i - k]
                 if before < 0 and i != k:
                     continue
-                if before < 0 or has_arc(before, token, 1 << 40):
+                if before < 0:
+                    last[i], start[i] = token, i - k
+                    break
+                arc = arcs.get(before << 32 | token)
+                if arc is None:
+                    if len(arcs) >= TRANSITIONS:
+                        arcs.clear()
+                    arc = arcs[before << 32 | token] = self.has_arc(before, token, 1 << 40)
+                if arc:
                     last[i], start[i] = token, i - k
                     break
         out = []
