@@ -91,20 +91,32 @@ def mixture(parts: list[tuple[str, DataFrame, int | None]], by: str, key: str, s
     return out
 
 
+#: Rows of each group and bucket, as a multiple of the target, that the first round of a greedy choice looks at.
+FIRST_SLICE = 20
+
+
 def diverse_selection(df: DataFrame, by: str, key: str, tokens: str, bucket: str, order: list[str], shares: dict[str, float], target: int, most_similar: float = 0.5) -> DataFrame:
     """(by, key, place): up to ``target`` rows of each group, by bucket quotas, no two as similar as ``most_similar``.
 
-    The greedy choice walks the whole pool: Spark sorts the rows of each group,
-    first those of each bucket with a quota, then once more all for the places
-    left; a task streams through them and holds only the chosen rows.
+    The greedy choice walks the rows of each bucket with a quota in order, then all
+    rows for the places left. Rows of equal tokens stand for one. A round looks at
+    the first rows of each group and bucket only; groups that could need more are
+    done again with ten times as many, until a group is full or used up, so the
+    result is that of the whole pool while no task gets a whole group that fills
+    early. NULL keys and token lists take no part.
     """
     names = list(shares)
     quotas = [round(share * target) for share in shares.values()]
     kinds = {c: df.schema[c].dataType.simpleString() for c in (by, key)}
-    own = [F.when(F.col("b") == b, F.lit(i)) for i, b in enumerate(names)]
-    rows = df.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(tokens).alias("t"), F.col(bucket).alias("b"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).repartition("g")
-    rows = rows.withColumn("phase", F.explode(F.array_compact(F.array(*own, F.lit(len(names))))))
-    rows = rows.sortWithinPartitions("g", "phase", *(F.asc_nulls_last(f"o{i}") for i in range(len(order))), "k").select("g", "k", "t", "phase")
+    rows = df.where(F.col(key).isNotNull() & F.col(tokens).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t"), F.col(bucket).alias("b"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    ranks = [F.asc_nulls_last(f"o{i}") for i in range(len(order))] + [F.col("k")]
+    # equal sets are as similar as can be; empty ones are like nothing
+    same = F.when(F.size("t") > 0, F.sha2(F.to_json("t"), 256)).otherwise(F.sha2(F.concat(F.lit("k"), F.col("k").cast("string")), 256))
+    rows = rows.withColumn("s", same).withColumn("n", F.row_number().over(Window.partitionBy("g", "b", "s").orderBy(*ranks))).where("n = 1").drop("n", "s")
+    rows = stored(rows, "pool")
+    own = F.coalesce(*[F.when(F.col("b") == b, F.lit(i)) for i, b in enumerate(names)], F.lit(None).cast("int"))
+    phased = rows.withColumn("phase", F.explode(F.array_compact(F.array(own, F.lit(len(names))))))
+    sizes = phased.groupBy("g", "phase").agg(F.count("*").alias("all"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = phase = None
@@ -113,22 +125,35 @@ def diverse_selection(df: DataFrame, by: str, key: str, tokens: str, bucket: str
         room = 0
         for batch in batches:
             out = []
-            groups, keys, phases, lists = (batch.column(c) for c in ("g", "k", "phase", "t"))
-            for i, (g, p) in enumerate(zip(groups.to_pylist(), phases.to_pylist())):
+            groups, keys, phases, lists, cut = (batch.column(c) for c in ("g", "k", "phase", "t", "last"))
+            for i, (g, p, last) in enumerate(zip(groups.to_pylist(), phases.to_pylist(), cut.to_pylist())):
                 if phase is None or g != group:
                     group, phase, chosen, sets = g, -1, [], []
                 if p != phase:
                     phase, room = p, quotas[p] if p < len(quotas) else target - len(chosen)
-                if room <= 0:
-                    continue
-                k, s = keys[i].as_py(), set(lists[i].as_py())
-                if k in chosen or any(len(s & o) >= most_similar * max(len(s | o), 1) for o in sets):
-                    continue
-                chosen.append(k)
-                sets.append(s)
-                room -= 1
-                out.append((g, k, len(chosen)))
+                if room > 0:
+                    k, s = keys[i].as_py(), set(lists[i].as_py())
+                    if k not in chosen and not any(len(s & o) >= most_similar * max(len(s | o), 1) for o in sets):
+                        chosen.append(k)
+                        sets.append(s)
+                        room -= 1
+                        out.append((g, k, len(chosen)))
+                if last and room > 0:  # the slice ends here, the rows do not
+                    out.append((g, None, 0))
             columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], groups.type), pa.array(columns[1], keys.type), pa.array(columns[2], pa.int32())], [by, key, "place"])
-
-    return rows.mapInArrow(choose, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, place int")
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], groups.type), pa.array(columns[1], keys.type), pa.array(columns[2], pa.int32())], ["g", "k", "place"])
+
+    done, size, open_groups = None, FIRST_SLICE * target, None
+    while True:
+        pool = phased if open_groups is None else phased.join(open_groups, phased["g"].eqNullSafe(open_groups["og"]), "left_semi")
+        slices = pool.withColumn("r", F.row_number().over(Window.partitionBy("g", "phase").orderBy(*ranks))).where(F.col("r") <= size)
+        ends = sizes.select(F.col("g").alias("sg"), F.col("phase").alias("sp"), "all")
+        marked = slices.join(ends, F.col("g").eqNullSafe(F.col("sg")) & (F.col("phase") == F.col("sp"))).withColumn("last", (F.col("r") == size) & (F.col("all") > size))
+        sorted_rows = marked.repartition("g").sortWithinPartitions("g", "phase", "r").select("g", "k", "t", "phase", "last")
+        made = stored(sorted_rows.mapInArrow(choose, f"g {kinds[by]}, k {kinds[key]}, place int"), "chosen")
+        open_groups = made.where("place = 0").select(F.col("g").alias("og")).distinct()
+        part = made.join(open_groups, made["g"].eqNullSafe(open_groups["og"]), "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if not open_groups.limit(1).count():
+            return done.select(F.col("g").alias(by), F.col("k").alias(key), "place")
+        size *= 10

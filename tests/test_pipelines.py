@@ -301,3 +301,38 @@ def test_recovery_takes_the_last_filled_value(spark, rows):
     df = spark.createDataFrame([("a", " "), ("b", "own"), ("c", None)], "k string, s string")
     other = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, " "), ("b", 1, "z")], "k string, at int, s string")
     assert rows(keyed.recover(df, other, "k", "s", ["at"])) == [("a", "y"), ("b", "own"), ("c", None)]
+
+
+def greedy(data, shares, target, most=0.5):
+    """The greedy choice over whole pools, for (g, k, tokens, bucket, order) rows."""
+    out = []
+    for g in {r[0] for r in data}:
+        pool = sorted((r for r in data if r[0] == g), key=lambda r: (r[4], r[1]))
+        chosen = []
+
+        def walk(rows, room):
+            for r in rows:
+                s = set(r[2])
+                if room > 0 and r[1] not in [c[1] for c in chosen] and not any(len(s & set(c[2])) >= most * max(len(s | set(c[2])), 1) for c in chosen):
+                    chosen.append(r)
+                    room -= 1
+
+        for b, share in shares.items():
+            walk([r for r in pool if r[3] == b], round(share * target))
+        walk(pool, target - len(chosen))
+        out += [(g, r[1], i + 1) for i, r in enumerate(chosen)]
+    return out
+
+
+@pytest.mark.parametrize("first", [1, 20])
+def test_diverse_selection_equals_the_whole_walk(spark, rows, monkeypatch, first):
+    import random
+
+    monkeypatch.setattr(sample, "FIRST_SLICE", first)
+    r = random.Random(3)
+    data = [("copies", i, ["a", "b", "c"], "x", i) for i in range(130)] + [("copies", 200 + i, [f"u{i}", f"v{i}"], "y", 500 + i) for i in range(6)]
+    data += [("mixed", 1000 + i, r.choices("abcdefghijkl", k=r.randint(1, 4)), r.choice("xyz"), r.randint(0, 50)) for i in range(150)] + [("few", 3000, ["q"], "x", 1), ("few", 3001, [], "x", 2), ("few", 3002, [], "x", 3)]
+    df = spark.createDataFrame(data, "g string, k int, t array<string>, b string, o int")
+    for shares, target in (({"x": 0.4, "y": 0.3}, 5), ({"x": 1.0}, 3)):
+        assert rows(sample.diverse_selection(df, "g", "k", "t", "b", ["o"], shares, target)) == sorted(greedy(data, shares, target), key=repr)
+    assert sample.diverse_selection(df.limit(0), "g", "k", "t", "b", ["o"], {"x": 1.0}, 3).count() == 0
