@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         path = getattr(shared_dir, "_own", None)
         if path is None or not os.path.isdir(path):
             path = shared_dir._own = tempfile.mkdtemp(prefix="tesserine-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(path)
     return path
@@ -47,6 +52,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def stored_path(df: DataFrame, name: str) -> str:
     """As ``stored``, but returns where the files lie."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
+
+
+#: Where the intermediate tables of this process lie, oldest first.
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder; ``working_tables`` deletes what is put there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables that were written inside.
+
+    Results are lazy: write or collect them before the end.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _written[before:]

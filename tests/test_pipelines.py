@@ -336,3 +336,14 @@ def test_diverse_selection_equals_the_whole_walk(spark, rows, monkeypatch, first
     for shares, target in (({"x": 0.4, "y": 0.3}, 5), ({"x": 1.0}, 3)):
         assert rows(sample.diverse_selection(df, "g", "k", "t", "b", ["o"], shares, target)) == sorted(greedy(data, shares, target), key=repr)
     assert sample.diverse_selection(df.limit(0), "g", "k", "t", "b", ["o"], {"x": 1.0}, 3).count() == 0
+
+
+def test_working_tables_are_deleted(spark):
+    import os
+
+    from tesserine import runtime
+
+    with runtime.working_tables(spark):
+        kept = runtime.stored_path(spark.range(3), "kept")
+        assert runtime.stored(spark.range(3), "t").count() == 3 and os.path.exists(kept.removeprefix("file://"))
+    assert not os.path.exists(kept.removeprefix("file://"))
