@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.neardup import SEEN, _first, _texts
 from tesserine.llm.shingles import HASH_BITS, Side, common_shingles, hash_words, mix, sketch_width, sketches, sweep, unique
-from tesserine.runtime import shared_dir, stored
+from tesserine.runtime import new_path, stored
 
 #: Evaluation texts in one shard; its automaton and texts take about 1 KB for each.
 BLOCK = 1 << 16
@@ -229,7 +229,7 @@ def _matches(train: DataFrame, evaluation: DataFrame, similarity: float, width:
     blocks = max(1, math.ceil(n / BLOCK))
     sketch_words = sketch_width(words or 1)
 
-    root = _qualified(spark, f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    root = _qualified(spark, new_path(spark, "shards"))
 
     def compile_one(t: pa.Table) -> pa.Table:
         """Compile a shard into a file of its own; that of an attempt which fails is never read."""
