@@ -59,6 +59,44 @@ def drop_by_source(df: DataFrame, source: DataFrame, key: str, bad: Column) -> D
     return df.join(source.where(bad).select(key).distinct(), key, "left_anti")
 
 
+def labelled(df: DataFrame, answer: str, style: str, risk: list[tuple[str, tuple[str, ...]]], default: str = "routine", vague: str = "ambiguous") -> DataFrame:
+    """``df`` with ``gold_risk_level``, by the first tier whose markers the answer holds, and ``requires_clarification``, ``yes`` for the vague style."""
+    asks = F.lower(X.strip(F.coalesce(style, F.lit("")))) == vague
+    return df.withColumns({"gold_risk_level": X.first_tier(F.col(answer), risk, default), "requires_clarification": F.when(asks, "yes").otherwise("no")})
+
+
+def bucket(c: Column, rules: list[tuple[str, Column]], otherwise: str) -> Column:
+    """The name of the first rule that holds; a NULL condition does not."""
+    out = F.lit(otherwise)
+    for name, condition in reversed(rules):
+        out = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def set_number(c: Column) -> Column:
+    """A set's number as text: ``1`` for ``1.0``; empty for NULL, blank and ``nan``; other text as it is."""
+    t = X.strip(F.coalesce(c.cast("string"), F.lit("")))
+    return F.when((t == "") | (F.lower(t) == "nan"), "").otherwise(F.coalesce(t.try_cast("double").cast("long").cast("string"), t))
+
+
+def with_status(df: DataFrame, key: str, promoted: DataFrame, yes: str, no: str, name: str = "status") -> DataFrame:
+    """``df`` with ``name``: whether the key is among the promoted ones."""
+    known = promoted.select(key).distinct().withColumn("_yes", F.lit(True))
+    return df.join(known, key, "left").withColumn(name, F.when(F.col("_yes"), yes).otherwise(no)).drop("_yes")
+
+
+def seed_keys(seeds: DataFrame, key: str, order: list[str], answers: DataFrame, answer_key: str, answer: str) -> tuple[DataFrame, DataFrame]:
+    """((key), (hash)): the row keys of seeds, and the fingerprints of the answers that their rows have; of a seed the last row by ``order`` counts."""
+    last = seeds.groupBy(key).agg(F.max_by(F.col(answer_key), F.struct(*order)).alias(answer_key))
+    prints = last.join(answers.select(answer_key, X.fingerprint(F.col(answer)).alias("hash")), answer_key).where(F.col("hash") != X.fingerprint(F.lit("")))
+    return last.select(answer_key).distinct(), prints.select("hash").distinct()
+
+
+def passages(pages: DataFrame, sources: DataFrame, slug: str) -> DataFrame:
+    """(condition, source_url, heading, text): the sections of pages (slug, sections) with the condition and URL of their source."""
+    return pages.select(slug, F.posexplode("sections").alias("pos", "s")).join(sources.select(slug, "condition", F.col("url").alias("source_url")), slug).select("condition", "source_url", "pos", "s.heading", "s.text")
+
+
 def tiers(df: DataFrame, text: Column, tables: dict[str, list[tuple[str, float]]], clear: float, borderline: float, gates: dict[str, Column] | None = None) -> DataFrame:
     """``df`` with ``category``, ``tier``, ``score`` and ``notes``: a row for each category whose patterns do not reject the text, so none to all of them.
 

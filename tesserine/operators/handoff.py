@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as X
-from tesserine.operators import keyed
+from tesserine.operators import keyed, leakage
 from tesserine.operators.quality import require_empty
 
 # Acronyms of the source language and the one that a translation has in their place.
@@ -25,6 +25,19 @@ def template(df: DataFrame, key: str, keep: list[str], targets: list[str]) -> Da
     return df.select(*keep, *[F.lit("").alias(t) for t in targets])
 
 
+def expected_rows(train: DataFrame, val: DataFrame, benchmark: DataFrame, pos: str, question: str, keep: list[str]) -> DataFrame:
+    """(row_id, split, keep) of the rows that a handoff must have: none whose question the benchmark asks, and no training row that a remaining val row asks too.
+
+    Positions are those of the whole files, from 0, so ids do not shift.
+    """
+    key = X.question_key(F.col(question))
+    held = benchmark.select(X.question_key(F.col(question)))
+    rows = {name: leakage.flag(df, key, held, "_held").where(~F.col("_held")).drop("_held") for name, df in (("train", train), ("val", val))}
+    rows["train"] = leakage.flag(rows["train"], key, rows["val"].select(key.alias("q")), "_val").where(~F.col("_val")).drop("_val")
+    made = [df.select(keyed.row_id(F.lit(name), F.col(pos)).alias("row_id"), F.lit(name).alias("split"), *[F.coalesce(c, F.lit("")).alias(c) for c in keep]) for name, df in rows.items()]
+    return made[0].unionByName(made[1])
+
+
 def require_pristine(df: DataFrame, key: str, targets: list[str]) -> DataFrame:
     """``df`` if no target cell is filled."""
     filled = reduce(lambda a, b: a | b, [~is_blank(F.col(t)) for t in targets])

@@ -115,3 +115,39 @@ def merge_entries(df: DataFrame, name: Column, rank: Column, order: str, payload
     best = F.struct(F.col("_rank"), -F.col(order), *[F.col(p) for p in payload])
     merged = rows.groupBy("_name").agg(F.max(best).alias("b"), F.count("*").alias("evidences"), F.count_distinct("_rank").alias("ranks"))
     return merged.select(F.col("_name").alias("name"), F.col("b._rank").alias("rank"), *[F.col(f"b.{p}").alias(p) for p in payload], "evidences", (F.col("ranks") > 1).alias("conflict"))
+
+
+def evidence_entries(df: DataFrame, name: Column, level: Column, levels: tuple[str, ...], order: str, payload: list[str], action: str, evidence: dict[str, str], prefix: str, width: int = 2) -> DataFrame:
+    """(entry_id, name, level, payload, action, evidence, conflict_note): rows of one normalised name merged.
+
+    The payload is that of the first row by ``order``, the action that of the first
+    row of the highest level; evidence is kept in order. Where rows disagree the
+    note names their levels. Ids number the names in order, from 1.
+    """
+    ranks = F.create_map(*[F.lit(x) for i, v in enumerate(levels) for x in (v, i)])
+    rows = df.withColumn("_name", F.lower(X.squeeze(name))).withColumn("_level", level).where("_name IS NOT NULL AND _level IS NOT NULL")
+    first = F.min_by(F.struct(*payload), F.col(order))
+    best = F.min_by(F.col(action), F.struct((-F.try_element_at(ranks, F.col("_level"))).alias("r"), F.col(order)))
+    told = F.struct(F.col(order).alias("_o"), *[F.col(c).alias(k) for k, c in evidence.items()])
+    merged = rows.groupBy("_name").agg(
+        first.alias("_first"), best.alias("_action"), F.max_by("_level", F.try_element_at(ranks, F.col("_level"))).alias("level"),
+        F.transform(F.array_sort(F.collect_list(told)), lambda x: F.struct(*[x[k].alias(k) for k in evidence])).alias("evidence"), F.array_sort(F.collect_set("_level")).alias("_levels"),
+    )
+    note = F.when(F.size("_levels") > 1, F.concat(F.lit("levels differ ("), F.array_join("_levels", ", "), F.lit("); the higher one applies")))
+    ids = numbered_rows(merged, None, ["_name"], "_n")
+    return ids.select(F.concat(F.lit(prefix), numbered(F.col("_n"), width)).alias("entry_id"), F.col("_name").alias("name"), "level", *[F.col(f"_first.{c}").alias(c) for c in payload], F.col("_action").alias(action), "evidence", note.alias("conflict_note"))
+
+
+def entry_problems(entries: DataFrame, key: str, filled: list[str], level: str, levels: tuple[str, ...], evidence: str) -> DataFrame:
+    """(key, problem): entries with a repeated id, a blank cell, an unknown level or no evidence."""
+    n = entries.groupBy(key).agg(F.count("*").alias("_n"))
+    blank = [(f"blank_{c}", X.strip(F.coalesce(F.col(c), F.lit(""))) == "") for c in filled]
+    found = [("repeated", F.col("_n") > 1), *blank, ("level", ~F.coalesce(F.col(level).isin(*levels), F.lit(False))), ("evidence", F.coalesce(F.size(evidence), F.lit(0)) < 1)]
+    return entries.join(n, key, "left").select(key, F.explode(F.array_compact(F.array(*[F.when(c, p) for p, c in found]))).alias("problem")).distinct()
+
+
+def resume(df: DataFrame, earlier: DataFrame | None, key: str, failed: Column | None = None) -> DataFrame:
+    """Rows still to do: those whose key no earlier record has, or, with ``failed``, only records that failed. Without earlier output all."""
+    if earlier is None:
+        return df
+    return pending(df, earlier if failed is None else earlier.where(~F.coalesce(failed, F.lit(False))), key)

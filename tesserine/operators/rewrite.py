@@ -50,9 +50,56 @@ def redact_first(c: Column, terms: Column, stand_in: str) -> Column:
     return F.when(term.isNull() | (at == 0), c).otherwise(F.concat(F.substring(c, 1, at - 1), F.lit(stand_in), F.substring(c, at + cut, F.length(c))))
 
 
+def redaction_terms(topic: Column, keywords: Column, least: int = 4) -> Column:
+    """The topic and the comma-separated keywords of at least so many characters, longest first, then in order."""
+    words = F.transform(F.concat(F.array(F.coalesce(topic, F.lit(""))), F.split(F.coalesce(keywords, F.lit("")), ",")), X.strip)
+    kept = F.array_distinct(F.filter(words, lambda t: F.length(t) >= least))
+    return F.array_sort(kept, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+
+def blurred(c: Column, topic: Column, keywords: Column, stand_in: str, ending: str, least: int = 20, words: int = 25) -> Column:
+    """A vague form of a question: its longest redaction term replaced, the first sentence of ``least`` characters or else the first ``words`` words, and an ending.
+
+    The sentence gets a question mark if it has no final mark.
+    """
+    q = redact_first(X.strip(F.coalesce(c, F.lit(""))), redaction_terms(topic, keywords), stand_in)
+    parts = F.transform(F.split(q, r"(?<=[.!?])\s+"), X.strip)
+    long = F.get(F.filter(parts, lambda s: F.length(s) >= least), 0)
+    each = F.filter(F.split(q, r"(?U)\s+"), lambda w: w != "")
+    cut = F.concat(F.array_join(F.slice(each, 1, words), " "), F.when(F.size(each) > words, "...").otherwise(""))
+    core = F.coalesce(long, cut)
+    return F.concat(F.when(F.rlike(core, F.lit(r"[?.!]$")), core).otherwise(F.concat(core, F.lit("?"))), F.lit(ending))
+
+
+def claims(c: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The labels of the patterns that the text matches, in their order, each once; those inside another one are left out."""
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(F.rlike(F.coalesce(c, F.lit("")), F.lit(f"(?i){p}")), label) for p, label in patterns])))
+    inside = lambda x: F.exists(found, lambda o: (F.lower(o) != F.lower(x)) & F.lower(o).contains(F.lower(x)))
+    return F.filter(found, lambda x: ~inside(x))
+
+
+def in_words(items: Column, most: int, nothing: str) -> Column:
+    """The first items as ``a``, ``a and b`` or ``a, b, and c``; ``nothing`` for none."""
+    kept = F.slice(items, 1, most)
+    n = F.size(kept)
+    many = F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(", and "), F.element_at(kept, -1))
+    return F.when(n == 0, nothing).when(n == 1, kept[0]).when(n == 2, F.array_join(kept, " and ")).otherwise(many)
+
+
+def route(c: Column, rules: list[tuple[str, str, str | None]], otherwise: str) -> Column:
+    """Struct of the name and the URL of the first rule (pattern, name, URL) that matches, and whether there is no URL to go by."""
+    out = F.struct(F.lit(otherwise).alias("name"), F.lit(None).cast("string").alias("url"), F.lit(True).alias("open"))
+    for pattern, name, url in reversed(rules):
+        out = F.when(F.rlike(F.coalesce(c, F.lit("")), F.lit(f"(?i){pattern}")), F.struct(F.lit(name).alias("name"), F.lit(url).cast("string").alias("url"), F.lit(url is None).alias("open"))).otherwise(out)
+    return out
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A literal replacement in one column, for some keys or all, with the counts it must have."""
+    """A literal replacement in one column, for some keys or all, with the counts it must have.
+
+    With ``shared`` it reaches all rows that share the value of that column with one of its keys.
+    """
 
     rule_id: str
     column: str
@@ -61,6 +108,7 @@ class Rule:
     keys: tuple[str, ...] = ()
     cells: int | None = None
     replacements: int | None = None
+    shared: str | None = None
 
 
 def apply_rules(df: DataFrame, key: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
@@ -68,11 +116,15 @@ def apply_rules(df: DataFrame, key: str, rules: list[Rule]) -> tuple[DataFrame,
     out, counts = df, []
     for r in rules:
         hit = F.col(key).isin(*r.keys) if r.keys else F.lit(True)
+        if r.shared and r.keys:
+            same = df.where(hit & F.col(r.shared).isNotNull()).select(F.col(r.shared).alias(f"_s_{r.rule_id}")).distinct().withColumn(f"_h_{r.rule_id}", F.lit(True))
+            out = out.join(same, F.col(r.shared) == F.col(f"_s_{r.rule_id}"), "left")
+            hit = hit | F.coalesce(F.col(f"_h_{r.rule_id}"), F.lit(False))
         c = F.coalesce(F.col(r.column), F.lit(""))
         n = F.when(hit, (F.length(c) - F.length(F.replace(c, F.lit(r.old), F.lit("")))) / len(r.old)).otherwise(0).cast("long")
         out = out.withColumn(f"_n_{r.rule_id}", n).withColumn(r.column, F.when(hit, F.replace(F.col(r.column), F.lit(r.old), F.lit(r.new))).otherwise(F.col(r.column)))
         counts += [F.count_if(F.col(f"_n_{r.rule_id}") > 0).alias(f"{r.rule_id}_cells"), F.sum(f"_n_{r.rule_id}").alias(f"{r.rule_id}_replacements")]
-    return out.drop(*[f"_n_{r.rule_id}" for r in rules]), out.agg(*counts)
+    return out.drop(*[f"_{x}_{r.rule_id}" for r in rules for x in "nsh"]), out.agg(*counts)
 
 
 def require_counts(counts: DataFrame, rules: list[Rule]) -> None:

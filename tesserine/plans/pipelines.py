@@ -380,3 +380,61 @@ def judge_summary(spark: SparkSession, d: str) -> DataFrame:
     said = F.format_string('{"cultural_sensitivity": %d, "helpfulness": %d, "clarity": %d}', F.col("n") % 5 + 1, F.col("n") % 4 + 1, F.when(F.col("n") % 7 == 0, 9).otherwise(F.col("n") % 3 + 1))
     judged = rows.withColumn("_j", judge_scores(said, _JUDGE)).select("model_label", "_j.*")
     return metrics.judge_means(judged, list(_JUDGE), ["model_label"]).select("model_label", "n", "judge_errors", *[F.round(c, 6).alias(c) for c in _JUDGE])
+
+
+@query("""WITH n AS (SELECT trim(lower(regexp_replace(Topic, '\\s+', ' ', 'g'))) AS name, qa_id, length(coalesce(Answer, '')) AS len, CASE length(coalesce(Answer, '')) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'high' END AS level FROM (SELECT DISTINCT qa_id, Topic, Answer FROM cdc_reproductive_health_qa) WHERE Topic IS NOT NULL),
+g AS (SELECT name, arg_min(qa_id, qa_id) AS first_id, max(list_position(['low', 'moderate', 'high'], level)) AS top, arg_min(len, (1000 - list_position(['low', 'moderate', 'high'], level))::VARCHAR || qa_id) AS action, count(*) AS evidences, array_to_string(list_sort(list(DISTINCT level)), ', ') AS levels, count(DISTINCT level) AS k FROM n GROUP BY 1)
+SELECT 'x-s' || format('{:02d}', row_number() OVER (ORDER BY name)) AS entry_id, name, ['low', 'moderate', 'high'][top] AS level, first_id AS qa_id, action::BIGINT AS action, evidences, CASE WHEN k > 1 THEN 'levels differ (' || levels || '); the higher one applies' END AS conflict_note FROM g""".replace("\\\\", "\\"))
+def evidence_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Topics as entries with their evidence in order and notes of disagreement."""
+    rows = table(spark, d, "cdc_reproductive_health_qa").where("Topic IS NOT NULL").select("qa_id", "Topic", "Answer").distinct()
+    n = F.length(F.coalesce("Answer", F.lit("")))
+    level = F.element_at(F.array(*[F.lit(x) for x in curation.LEVELS]), (n % 3 + 1).cast("int"))
+    out = keyed.evidence_entries(rows.withColumn("action", n.cast("long")), F.col("Topic"), level, curation.LEVELS, "qa_id", ["qa_id"], "action", {"id": "qa_id"}, "x-s")
+    return out.select("entry_id", "name", "level", "qa_id", "action", F.size("evidence").cast("long").alias("evidences"), "conflict_note")
+
+
+_CLAIM_PATTERNS = [(r"cramp|pain", "pain"), (r"period pain", "period pain"), (r"thyroid", "a thyroid check"), (r"progesterone", "progesterone"), (r"ultrasound|scan", "a scan")]
+
+
+@query("""WITH r AS (SELECT DISTINCT row_id, coalesce(Question, '') AS q FROM filtered), c AS (SELECT row_id, list_filter([CASE WHEN regexp_matches(q, '(?i)cramp|pain') THEN 'pain' END, CASE WHEN regexp_matches(q, '(?i)period pain') THEN 'period pain' END, CASE WHEN regexp_matches(q, '(?i)thyroid') THEN 'a thyroid check' END,
+CASE WHEN regexp_matches(q, '(?i)progesterone') THEN 'progesterone' END, CASE WHEN regexp_matches(q, '(?i)ultrasound|scan') THEN 'a scan' END], lambda x: x IS NOT NULL) AS c FROM r), f AS (SELECT row_id, list_slice(list_filter(c, lambda x: NOT (x = 'pain' AND list_contains(c, 'period pain'))), 1, 3) AS c FROM c)
+SELECT CASE len(c) WHEN 0 THEN 'nothing named' WHEN 1 THEN c[1] WHEN 2 THEN c[1] || ' and ' || c[2] ELSE c[1] || ', ' || c[2] || ', and ' || c[3] END AS said, count(*) AS n FROM f GROUP BY 1""")
+def claim_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """What the questions name, in words."""
+    rows = table(spark, d, "filtered").select("row_id", "Question").distinct()
+    return rows.groupBy(rewrite.in_words(rewrite.claims(F.col("Question"), _CLAIM_PATTERNS), 3, "nothing named").alias("said")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT row_id, lower(coalesce(Question, '')) AS q FROM filtered) SELECT name, url, count(*) AS n FROM (SELECT CASE WHEN contains(q, 'thyroid') THEN 'thyroid' WHEN contains(q, 'fibroid') THEN 'fibroid' ELSE 'none' END AS name, CASE WHEN contains(q, 'thyroid') THEN 'https://x/t' END AS url FROM r) GROUP BY ALL""")
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filtered").select("row_id", rewrite.route(F.col("Question"), [("thyroid", "thyroid", "https://x/t"), ("fibroid", "fibroid", None)], "none").alias("r"), "Question").distinct()
+    return rows.groupBy("r.name", "r.url").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT row_id, Answer, coalesce(Style, '') AS s FROM filtered), a AS (SELECT coalesce(Answer, '') AS a, s FROM r) SELECT gold_risk_level, requires_clarification, count(*) AS n FROM (SELECT {_RISK_SQL} AS gold_risk_level, CASE WHEN lower(trim(s)) = 'ambiguous' THEN 'yes' ELSE 'no' END AS requires_clarification FROM a) GROUP BY ALL""")
+def labelled_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filtered").select("row_id", "Answer", "Style").distinct()
+    return curation.labelled(rows, "Answer", "Style", _RISK).groupBy("gold_risk_level", "requires_clarification").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT row_id, split, Question, row_id AS k FROM filtered WHERE split IN ('train', 'val')), p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS pos, lower({_STRIP.format('Question')}) AS q FROM r), b AS (SELECT DISTINCT lower({_STRIP.format('style_text')}) AS q FROM gold_seeds WHERE style_text <> ''),
+v AS (SELECT * FROM p WHERE split = 'val' AND (q IS NULL OR q NOT IN (SELECT q FROM b))) SELECT split || '-' || format('{{:04d}}', pos) AS row_id, split, k FROM v UNION ALL
+SELECT 'train-' || format('{{:04d}}', pos), 'train', k FROM p WHERE split = 'train' AND (q IS NULL OR q NOT IN (SELECT q FROM b)) AND (q IS NULL OR q = '' OR q NOT IN (SELECT q FROM v WHERE q IS NOT NULL))""")
+def expected_handoff(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that a handoff made from filtered must have, with ids by position."""
+    rows = table(spark, d, "filtered").where("split IN ('train', 'val')").select("row_id", "split", "Question").distinct().withColumnRenamed("row_id", "k")
+    numbered = sample.numbered_rows(rows, "split", ["k"], "n").withColumn("pos", F.col("n") - 1)
+    bench = table(spark, d, "gold_seeds").select(F.col("style_text").alias("Question"))
+    return handoff.expected_rows(numbered.where("split = 'train'"), numbered.where("split = 'val'"), bench, "pos", "Question", ["k"])
+
+
+@query("""WITH g AS (SELECT item_key, trim(style_text) AS q, list_sort(list_distinct(list_filter(list_transform(list_prepend(coalesce(topic_raw, ''), string_split(coalesce(keywords, ''), ',')), lambda t: trim(t)), lambda t: length(t) >= 4))) AS t FROM gold_seeds) SELECT item_key, len(t) AS terms FROM g""")
+def redaction_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gold_seeds").select("item_key", F.size(rewrite.redaction_terms(F.col("topic_raw"), F.col("keywords"))).cast("long").alias("terms"))
+
+
+@query("""WITH p AS (SELECT DISTINCT row_id FROM translation_handoff), r AS (SELECT DISTINCT row_id, split FROM filtered) SELECT split, CASE WHEN row_id IN (SELECT row_id FROM p) THEN 'handed_off' ELSE 'open' END AS status, count(*) AS n FROM r GROUP BY ALL""")
+def handoff_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "filtered").select("row_id", "split").distinct()
+    return curation.with_status(rows, "row_id", table(spark, d, "translation_handoff"), "handed_off", "open").groupBy("split", "status").agg(F.count("*").alias("n"))

@@ -125,6 +125,32 @@ def add_bom(path: str) -> bool:
     return True
 
 
+def shown(value: float | None, places: int = 3, signed: bool = False, percent: bool = False, nothing: str = "-") -> str:
+    """A number as reports have it: fixed places, with a sign or as a percentage."""
+    if value is None:
+        return nothing
+    return f"{value * 100:.{places}f}%" if percent else f"{value:{'+' if signed else ''}.{places}f}"
+
+
+def shown_p(p: float | None, places: int = 3) -> str:
+    """A p value; below a thousandth only that."""
+    return "n/a" if p is None else "<0.001" if p < 0.001 else f"{p:.{places}f}"
+
+
+def comparison_report(title: str, sections: dict[str, dict[str, tuple]], base: str, other: str) -> str:
+    """Markdown with a table for each section: measures (base, other), their values and the difference."""
+    out = [f"# {title}\n"]
+    for name, measures in sections.items():
+        rows = [{"metric": m, base: shown(a), other: shown(b), "delta": shown(None if a is None or b is None else b - a, signed=True)} for m, (a, b) in measures.items()]
+        out.append(f"## {name}\n\n{markdown(rows, ['metric', base, other, 'delta'])}\n")
+    return "\n".join(out)
+
+
+def counts_report(title: str, tables: dict[str, list[dict]]) -> str:
+    """Markdown with a table of collected counts for each heading; empty ones say so."""
+    return f"# {title}\n\n" + "\n".join(f"## {name}\n\n" + (markdown(rows, list(rows[0])) if rows else "none") + "\n" for name, rows in tables.items())
+
+
 def markdown(rows: list[dict], columns: list[str]) -> str:
     """A table of a few collected rows; numbers with three places, a dash for nothing."""
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)

@@ -32,6 +32,19 @@ def called(df: DataFrame, prompt: str, call: Callable[[str], str], out: str = "r
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("call_error", T.StringType())]))
 
 
+def called_once(df: DataFrame, prompt: str, kind: str, register, cache: DataFrame, call: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``raw_response`` from the cache, new cache entries): each text that the cache lacks is called once, whatever its rows.
+
+    Add the entries to the cache and call again to fill in the rest.
+    """
+    from tesserine.operators.records import from_cache, job_key
+
+    have = from_cache(df, kind, prompt, register, cache, "raw_response")
+    new = have.where(F.col("raw_response").isNull() & F.col(prompt).isNotNull()).select(job_key(F.lit(kind), F.col(prompt), register).alias("key"), F.sha2(prompt, 256).alias("source_sha256"), F.col(prompt).alias("_prompt")).distinct()
+    made = called(new, "_prompt", call, "value").where("call_error IS NULL").select("key", "source_sha256", "value")
+    return have, made
+
+
 def parsed(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     """``df`` with the parsed prediction's fields; works on streams and tables alike."""
     return df.withColumn("_p", prediction(F.col(raw))).select("*", "_p.*").drop("_p")

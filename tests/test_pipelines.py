@@ -347,3 +347,79 @@ def test_working_tables_are_deleted(spark):
         kept = runtime.stored_path(spark.range(3), "kept")
         assert runtime.stored(spark.range(3), "t").count() == 3 and os.path.exists(kept.removeprefix("file://"))
     assert not os.path.exists(kept.removeprefix("file://"))
+
+
+def test_entries_keep_order_and_note_conflicts(spark):
+    df = spark.createDataFrame([(1, " Heavy  Flow", "low", "rest", "u1"), (2, "heavy flow", "high", "go", "u2"), (3, "HEAVY FLOW", "high", "later", "u3"), (4, "Ache", "low", "wait", "u4"), (5, None, "low", "x", "u5")], "pos int, symptom string, risk string, action string, url string")
+    out = {r.name: r for r in keyed.evidence_entries(df, F.col("symptom"), F.col("risk"), curation.LEVELS, "pos", ["symptom"], "action", {"source_url": "url"}, "c-s").collect()}
+    assert [out[n].entry_id for n in ("ache", "heavy flow")] == ["c-s01", "c-s02"]
+    h = out["heavy flow"]
+    assert (h.level, h.action, h.symptom, [e.source_url for e in h.evidence], h.conflict_note) == ("high", "go", " Heavy  Flow", ["u1", "u2", "u3"], "levels differ (high, low); the higher one applies")
+    assert out["ache"].conflict_note is None
+    entries = spark.createDataFrame([("a", "x", "low", ["e"]), ("a", "x", "low", ["e"]), ("b", " ", "odd", []), ("c", "y", "high", ["e"])], "id string, symptom string, level string, evidence array<string>")
+    assert sorted((r.id, r.problem) for r in keyed.entry_problems(entries, "id", ["symptom"], "level", curation.LEVELS, "evidence").collect()) == [("a", "repeated"), ("b", "blank_symptom"), ("b", "evidence"), ("b", "level")]
+
+
+def test_resuming(spark, rows):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    earlier = spark.createDataFrame([("a", ""), ("b", "malformed")], "k string, error string")
+    assert rows(keyed.resume(df, earlier, "k")) == [("c",)] and rows(keyed.resume(df, earlier, "k", F.col("error") != "")) == [("b",), ("c",)] and keyed.resume(df, None, "k").count() == 3
+
+
+@pytest.mark.parametrize(
+    "text,out",
+    [
+        ("Hello! Does the menstrual cycle hurt after a long run?", "Does something hurt after a long run? End."), ("Short. Tiny.", "Short. Tiny. End."), ("A b. " * 15, "A b. " * 12 + "A... End."), ("word " * 30, " ".join(["word"] * 30) + "? End."), ("Is period pain normal", "Is period pain normal? End."), ("", "? End."), (None, "? End."),
+    ],
+)
+def test_blurred_questions(spark, text, out):
+    from tesserine.operators import rewrite
+
+    assert one(spark, text, lambda c: rewrite.blurred(c, F.lit("menstrual cycle"), F.lit("flow, PMS, hurtful"), "something", " End.")) == out
+
+
+def test_rules_reach_rows_that_share_a_value(spark, rows):
+    from tesserine.operators import rewrite
+
+    df = spark.createDataFrame([("a", "A1", "x y"), ("b", "A1", "x"), ("c", "A2", "x"), ("d", None, "x")], "k string, a string, t string")
+    out, counts = rewrite.apply_rules(df, "k", [rewrite.Rule("r", "t", "x", "z", ("a",), shared="a"), rewrite.Rule("s", "t", "z", "w", ("b",))])
+    assert rows(out.select("k", "t")) == [("a", "z y"), ("b", "w"), ("c", "x"), ("d", "x")] and counts.first().asDict() == {"r_cells": 2, "r_replacements": 2, "s_cells": 1, "s_replacements": 1}
+
+
+def test_claims_in_words(spark):
+    from tesserine.operators import rewrite
+
+    table = [("pain", "pain"), ("period pain", "period pain"), ("scan", "a scan"), ("walk", "a walk"), ("run", "a run")]
+    say = lambda t: one(spark, t, lambda c: rewrite.in_words(rewrite.claims(c, table), 3, "none"))
+    assert [say(t) for t in ("Period PAIN", "pain and scan", "pain scan walk run", "x", None)] == ["period pain", "pain and a scan", "pain, a scan, and a walk", "none", "none"]
+
+
+@pytest.mark.parametrize("value,out", [("1.0", "1"), (" 2 ", "2"), ("nan", ""), (None, ""), ("", ""), ("B", "B")])
+def test_set_numbers(spark, value, out):
+    assert one(spark, value, curation.set_number) == out
+
+
+def test_seed_keys_and_passages(spark, rows):
+    seeds = spark.createDataFrame([("s", 1, "r1"), ("s", 2, "r2"), ("t", 1, "r3")], "id string, at int, row string")
+    answers = spark.createDataFrame([("r2", "An answer."), ("r3", " "), ("r1", "Old")], "row string, a string")
+    keys, hashes = curation.seed_keys(seeds, "id", ["at"], answers, "row", "a")
+    assert rows(keys) == [("r2",), ("r3",)] and hashes.count() == 1
+    pages = spark.createDataFrame([("p", [("H", "T"), ("I", "U")]), ("q", [("J", "V")])], "slug string, sections array<struct<heading string, text string>>")
+    sources = spark.createDataFrame([("p", "Cond", "u")], "slug string, condition string, url string")
+    assert rows(curation.passages(pages, sources, "slug")) == [("Cond", "u", 0, "H", "T"), ("Cond", "u", 1, "I", "U")]
+
+
+def test_each_text_is_called_once(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "k int, p string")
+    empty = spark.createDataFrame([], "key string, source_sha256 string, value string")
+    have, new = inference.called_once(df, "p", "q", F.lit("plain"), empty, str.upper)
+    assert have.where("raw_response IS NOT NULL").count() == 0 and new.count() == 2
+    have, new = inference.called_once(df, "p", "q", F.lit("plain"), new, str.upper)
+    assert rows(have.select("k", "raw_response")) == [(1, "A"), (2, "A"), (3, "B"), (4, None)] and new.count() == 0
+
+
+def test_reports():
+    text = files.comparison_report("New vs old", {"Overall": {"accuracy": (0.5, 0.75), "recall": (None, 0.1)}}, "old", "new")
+    assert "| accuracy | 0.500 | 0.750 | +0.250 |" in text and "| recall | - | 0.100 | - |" in text
+    assert files.shown(0.1234, 1, percent=True) == "12.3%" and files.shown_p(0.0004) == "<0.001" and files.shown_p(0.25) == "0.250" and files.shown_p(None) == "n/a"
+    assert "none" in files.counts_report("Counts", {"a": [], "b": [{"k": "x", "n": 1}]})
