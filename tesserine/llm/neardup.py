@@ -160,7 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     part = F.coalesce(F.col(part_col).cast("string"), F.lit("")) if part_col else F.lit("")
     source = df.select(part.alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # two hashes of a text: a short one that brings candidates together, and a digest that tells texts apart
-    source = source.withColumn("cls", F.xxhash64("part", "text")).withColumn("key", F.unhex(F.md5(F.concat_ws("\0", "part", "text"))))
+    source = source.withColumn("cls", F.xxhash64("part", "text")).withColumn("key", F.unhex(F.md5(F.concat_ws("\x1f", "part", "text"))))
     counts = shingle_counts(source, "text", width)
     total = int(counts.sum())
     tasks = min(1 << PLACE_BITS, max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK)))
