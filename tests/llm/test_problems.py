@@ -488,3 +488,52 @@ def test_stems_are_implied_by_the_patterns(pattern, kind):
         for s in residue.segments(t):
             if getattr(residue, pattern).search(s):
                 assert any(x in s.lower() for x in residue.STEMS[kind]), s
+
+
+def test_wrappers_and_quotes_of_any_length():
+    lead = "Of course, here is what I think you asked me for in the message of this morning: "
+    assert len(lead.split()) > 12 and pairs.unwrap(lead + '{"response_text": "yes it is"}') == ("yes it is", None)
+    assert pairs.unwrap("The set {a; b} and {{1; 2}} stay.") == ("The set {a; b} and {{1; 2}} stay.", None)
+    assert pairs.unwrap("Well then: {") == ("Well then: {", "truncated")
+    for n in (10, 60, 200):
+        assert len(langid.sentences("He said (" + "one. Two. " * n + "end). Next one.")) == 2
+    assert langid.sentences("An open (bracket. Ends here. And here.") == ["An open (bracket.", "Ends here.", "And here."]
+
+
+def test_refusals_of_any_length(languages):
+    model, make = languages
+    data = [(f"Question {i} about {make('en').split('.')[0].lower()}?", make("en") + " " + make("en")) for i in range(300)]
+    fitted = pairs.fit(data, model)
+    long = "Sorry, I can't help with that. I must decline to answer. I am unable to answer this. I would rather not comment. Unfortunately, questions of this kind are off limits. I cannot assist with this request. As an AI, I can't provide medical advice. I am not able to discuss this subject."
+    assert len(pairs.words(long)) > 40 and "refusal" in fitted.defects([("Why does it hurt?", long)])[0]
+    assert "refusal" not in fitted.defects([("Why does it hurt?", "Unfortunately, " + make("en") + " " + make("en"))])[0]
+
+
+def test_leads_before_a_question():
+    assert pairs.lead_in("Is it late?", "You asked: is it LATE") == 2 and pairs.lead_in("Is it late?", "Is it late? Yes.") is None and pairs.lead_in("", "x") is None and pairs.lead_in("Été?", "é t É") == 0
+
+
+def test_bounded_samples(spark):
+    from tesserine.llm.sampling import bounded_sample
+
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS t", "CASE WHEN id < 19000 THEN 'a' WHEN id < 19990 THEN 'b' END AS g")
+    got = bounded_sample(df, ["t"], 200, "g")
+    assert set(got) == {"a", "b"} and all(180 <= len(v) <= 200 for v in got.values()) and all(len({r.t for r in v}) == len(v) for v in got.values())
+    again = bounded_sample(df.repartition(13), ["t"], 200, "g")
+    assert {k: sorted(r.t for r in v) for k, v in got.items()} == {k: sorted(r.t for r in v) for k, v in again.items()}
+    assert bounded_sample(df.limit(0), ["t"], 5, "g") == {} and len(bounded_sample(df.limit(3), ["t"], 50, "g")["a"]) <= 3
+
+
+def test_most_weights_of_seen_features_are_zero(languages):
+    model, make = languages
+    seen = np.unique(langid.features([make(k) for k in langid.LANGUAGES for _ in range(200)])[1])
+    assert (model.weights[seen] == 0).mean() > 0.5
+
+
+def test_labelling_side_by_side_is_labelling_one_by_one(damage_model, monkeypatch):
+    r = random.Random(2)
+    texts = [*CLEAN, "", *[encoding.PAIRS[r.randrange(len(encoding.PAIRS))].damage(t) for t in CLEAN for _ in range(6)], CLEAN[0] * 200]
+    whole = encoding.Labeller(damage_model).restore_all(texts)
+    monkeypatch.setattr(encoding, "CHARS", 400)
+    labeller = encoding.Labeller(damage_model)
+    assert [labeller.restore(t) for t in texts] == whole and labeller.restore_all(texts) == whole
