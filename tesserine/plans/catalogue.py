@@ -428,7 +428,7 @@ def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
     return sample.diverse_selection(rows, "Topic", "row_id", "tokens", "source_dataset", ["n"], {"AskWard-100k": 0.4, "CYCLE_train": 0.3}, 10)
 
 
-@query()
+@query(r"""SELECT trim(coalesce(category, 'none')) AS heading, count(*) AS sections FROM documents WHERE length(trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x0B\x1C-\x1F\x85]+', ' ', 'g'))) >= 40 GROUP BY 1""")
 def html_sections(spark: SparkSession, d: str) -> DataFrame:
     """(category, sections): sections of pages made from the documents."""
     page = F.concat(F.lit("<html><body><nav>menu</nav><main><h2>"), F.coalesce("category", F.lit("none")), F.lit("</h2><p>"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></main></body></html>"))
