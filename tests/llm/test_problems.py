@@ -537,3 +537,36 @@ def test_labelling_side_by_side_is_labelling_one_by_one(damage_model, monkeypatc
     monkeypatch.setattr(encoding, "CHARS", 400)
     labeller = encoding.Labeller(damage_model)
     assert [labeller.restore(t) for t in texts] == whole and labeller.restore_all(texts) == whole
+
+
+def test_segment_borders_of_planted_mixtures(languages):
+    model, make = languages
+    r = random.Random(6)
+    right = 0
+    for _ in range(60):
+        a, b, c = r.sample(langid.LANGUAGES, 3)
+        parts = [(k, make(k)) for k in (a, b, c, a)]
+        found = [(lang, text) for text, lang, _ in model.segments(" ".join(t for _, t in parts))]
+        right += found == parts
+    assert right >= 54, right  # of 60 texts of four parts, every border and language right
+
+
+def test_restoration_of_planted_damage(damage_model):
+    labeller = encoding.Labeller(damage_model)
+    whole = found = total = false = 0
+    for pair in encoding.PAIRS:
+        for text in CLEAN:
+            try:
+                text.encode(pair.true)
+            except UnicodeEncodeError:
+                continue
+            bad = CLEAN[7] + " " + pair.damage(text) + " " + CLEAN[7]
+            if bad == f"{CLEAN[7]} {text} {CLEAN[7]}":
+                continue
+            total += 1
+            damaged, _, back, _ = labeller.restore(bad)
+            found += damaged
+            whole += pair.lossy or back == f"{CLEAN[7]} {text} {CLEAN[7]}"
+    for text in CLEAN:
+        false += labeller.restore(text)[0]
+    assert total > 60 and found >= 0.95 * total and whole >= 0.9 * total and not false, (total, found, whole, false)
