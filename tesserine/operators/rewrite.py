@@ -18,11 +18,11 @@ def render(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
-def chat_record(question: Column, answer: Column, system: str | None = None) -> Column:
+def chat_record(question: Column, answer: Column, system: str | Column | None = None) -> Column:
     """JSON text of a user and an assistant message, trimmed, after an optional system message."""
     says = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     turns = [says("user", X.strip(question)), says("assistant", X.strip(answer))]
-    return F.to_json(F.struct(F.array(*([says("system", F.lit(system))] if system else []), *turns).alias("messages")))
+    return F.to_json(F.struct(F.array(*([says("system", system if isinstance(system, Column) else F.lit(system))] if system is not None else []), *turns).alias("messages")))
 
 
 def json_target(fields: dict[str, Column]) -> Column:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesserine.functions import text as X
 from tesserine.functions.modeljson import judge_scores
 from tesserine.operators import curation, handoff, keyed, leakage, metrics, quality, records, rewrite, sample
 from tesserine.plans.catalogue import _MEASURES, _NORM_C, _NORM_R, _SCORED, _SQUEEZE_ALL, _STRIP, query, scored
-from tesserine.runtime import table
+from tesserine.runtime import new_path, table
+from tesserine.sources import files
 
 # --- run records -------------------------------------------------------------
 
@@ -438,3 +438,42 @@ def redaction_terms(spark: SparkSession, d: str) -> DataFrame:
 def handoff_status(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "filtered").select("row_id", "split").distinct()
     return curation.with_status(rows, "row_id", table(spark, d, "translation_handoff"), "handed_off", "open").groupBy("split", "status").agg(F.count("*").alias("n"))
+
+
+# --- files -------------------------------------------------------------------
+
+
+@query("""SELECT item_key, coalesce(keywords, '') AS keywords, md5(coalesce(style_text, '')) AS text FROM gold_seeds""")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The gold items written as CSV and read again; NULL cells come back empty."""
+    path = new_path(spark, "csv")
+    columns = ["item_key", "keywords", "style_text"]
+    files.write_csv(table(spark, d, "gold_seeds"), path, columns)
+    return files.read_csv(spark, path, columns).select("item_key", "keywords", F.md5("style_text").alias("text"))
+
+
+@query("""SELECT item_key, keywords, md5(style_text) AS text FROM gold_seeds""")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The gold items written as JSON lines, half of them appended, and read strictly."""
+    path = new_path(spark, "jsonl")
+    gold = table(spark, d, "gold_seeds").select("item_key", "keywords", "style_text")
+    early = F.col("item_key") < "m"
+    files.write_jsonl(gold.where(early), path)
+    files.write_jsonl(gold.where(~early), path, "append")
+    return files.read_jsonl(spark, path, gold.schema).select("item_key", "keywords", F.md5("style_text").alias("text"))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT qa_id, Question, Answer FROM cdc_reproductive_health_qa WHERE Question IS NOT NULL AND Answer IS NOT NULL) SELECT qa_id, md5({_STRIP.format('Question')}) AS asked, md5({_STRIP.format('Answer')}) AS answered FROM r""")
+def chat_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Chat records written one a line and read again."""
+    path = new_path(spark, "chat")
+    rows = table(spark, d, "cdc_reproductive_health_qa").where("Question IS NOT NULL AND Answer IS NOT NULL").select("qa_id", "Question", "Answer").distinct()
+    files.write_chat_jsonl(rows.select(rewrite.chat_record(F.col("Question"), F.col("Answer"), F.col("qa_id")).alias("record")), path, "record")
+    m = files.read_jsonl(spark, path, "messages array<struct<role string, content string>>").select("messages.content")
+    return m.select(F.col("content")[0].alias("qa_id"), F.md5(F.col("content")[1]).alias("asked"), F.md5(F.col("content")[2]).alias("answered"))
+
+
+@query(r"""SELECT DISTINCT qa_id, md5(replace(regexp_replace(replace(replace(Answer, ' ', ' '), '\"', '"'), '(\p{L})''(\p{L})', '\1’\2', 'g'), chr(0), '')) AS text FROM cdc_reproductive_health_qa WHERE Answer IS NOT NULL AND NOT regexp_matches(Answer, '\p{L}''\p{L}''\p{L}')""")
+def plain_escapes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "cdc_reproductive_health_qa").where(F.col("Answer").isNotNull() & ~F.rlike("Answer", F.lit(r"\p{L}'\p{L}'\p{L}")))
+    return rows.select("qa_id", F.md5(rewrite.plain_escapes(F.col("Answer"))).alias("text")).distinct()

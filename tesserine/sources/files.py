@@ -255,4 +255,4 @@ def write_provenance(path: str, inputs: list[str], counts: dict) -> None:
 
 def write_chat_jsonl(df: DataFrame, path: str, record: str, mode: str = "overwrite") -> None:
     """The JSON texts of a column, one a line."""
-    df.select(F.col(record).alias("value")).write.text(path, mode=mode)
+    df.select(F.col(record).alias("value")).write.mode(mode).text(path)
