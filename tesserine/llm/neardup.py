@@ -29,8 +29,8 @@ from tesserine.runtime import stored
 COUNTERS = 1 << 18
 #: Prefix shingles that one task of the join is meant to hold.
 ROWS_PER_TASK = 700_000
-#: Text hashes a task remembers in order to emit a text once; beyond it repeats reach the join, which drops them.
-SEEN = 1 << 20
+#: Text digests a task remembers in order to emit a text once; beyond it repeats reach the join, which drops them.
+SEEN = 1 << 19
 #: Texts hashed at a time.
 DOC_BITS = 11
 TEXTS = 1 << DOC_BITS
@@ -172,11 +172,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     buckets = spark.sparkContext.broadcast(np.array(_spread(spark, tasks), np.int32))
 
     def features(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         gathered: list[tuple] = []
-        for parts, hashes, texts in _texts(batches, ("part", "cls", "text")):
+        for parts, hashes, keys, texts in _texts(batches, ("part", "cls", "key", "text")):
             fresh = []
-            for i, g in enumerate(hashes):
+            for i, g in enumerate(keys):
                 if g not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
             for a, b in _join_bucket(_unpacked(held, sketch_words), similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["cls_a", "cls_b"])
 
-    rows = source.select("part", "cls", "text").mapInArrow(features, "bucket int, body binary")
+    rows = source.select("part", "cls", "key", "text").mapInArrow(features, "bucket int, body binary")
     candidates = rows.repartition(tasks, "bucket").mapInArrow(join, "cls_a long, cls_b long")
     candidates = stored(candidates.distinct(), "candidates")
     wanted = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
