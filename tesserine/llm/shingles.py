@@ -156,8 +156,8 @@ def jaccard_pairs(left: list[str], right: list[str], width: int = 3) -> tuple[np
 
 
 def sketch_width(mean_shingles: float) -> int:
-    """64-bit words of a sketch that still separates unrelated sets of twice the mean size."""
-    return int(min(16, max(2, 2 ** np.ceil(np.log2(max(1.0, mean_shingles) * 2.5 / 64)))))
+    """64-bit words of a sketch that still separates unrelated sets of mean size: some two bits for each shingle."""
+    return int(min(16, max(2, np.ceil(mean_shingles * 2.1 / 64))))
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int) -> np.ndarray:
