@@ -72,8 +72,8 @@ def identity_problems(df: DataFrame, expected: DataFrame, key: str, split: str,
         F.count_if(F.col("_known").isNull()).alias("unknown_key"), F.count_if(F.col("_met").isNull()).alias("missing_key"),
         *[F.count_if(both & ~F.coalesce(F.col(c).cast("string"), F.lit("")).eqNullSafe(F.coalesce(F.col(f"_{c}").cast("string"), F.lit("")))).alias(f"changed_{c}") for c in immutable],
     )
-    wide = singles.crossJoin(repeated).crossJoin(compared)  # one row each
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in wide.columns])).alias("p")).select("p.check", "p.n").where("n > 0")
+    listed = [one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in one.columns])).alias("p")).select("p.check", "p.n") for one in (singles, repeated, compared)]
+    return reduce(DataFrame.unionByName, listed).where("n > 0")
 
 
 def acronym_problems(df: DataFrame, key: str, source: str, target: str, rules=ACRONYMS) -> DataFrame:
@@ -96,7 +96,12 @@ def language_signals(df: DataFrame, key: str, cell: str, own: tuple[str, ...], f
 
 def corpus_signal(signals: DataFrame) -> DataFrame:
     """(signal): the share of own words among all recognised ones; 0 without any."""
-    return signals.agg(F.coalesce(F.try_divide(F.sum("own").cast("double"), F.sum(F.col("own") + F.col("foreign"))), F.lit(0.0)).alias("signal"))
+    return signals.agg(signal_share().alias("signal"))
+
+
+def signal_share() -> Column:
+    """The aggregate of ``language_signals`` that ``corpus_signal`` gives."""
+    return F.coalesce(F.try_divide(F.sum("own").cast("double"), F.sum(F.col("own") + F.col("foreign"))), F.lit(0.0))
 
 
 def apply_translation(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

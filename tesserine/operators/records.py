@@ -22,13 +22,15 @@ def record_set_problems(df: DataFrame, key: str, group: list[str], expected: int
     blank = X.strip(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""
     keys = df.where(~blank).groupBy(key).agg(F.count("*").alias("c")).agg(F.count("*").alias("keys"), F.count_if(F.col("c") > 1).alias("repeated"))
     rest = df.agg(F.count_if(blank).alias("blank"), F.count_distinct(F.struct(*[F.coalesce(F.col(g).cast("string"), F.lit("")).alias(g) for g in group])).alias("groups"))
-    found = [F.when(F.col("blank") > 0, F.struct(F.lit("blank_key").alias("problem"), F.col("blank").alias("n"))), F.when(F.col("repeated") > 0, F.struct(F.lit("repeated_key").alias("problem"), F.col("repeated").alias("n")))]
-    if expected is not None:
-        found.append(F.when(F.col("keys") != expected, F.struct(F.lit("wrong_count").alias("problem"), F.col("keys").alias("n"))))
-    if not several_groups:
-        found.append(F.when(F.col("groups") > 1, F.struct(F.lit("mixed_groups").alias("problem"), F.col("groups").alias("n"))))
-    both = keys.crossJoin(rest)  # one row each
-    return both.select(F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.problem", "p.n")
+    found = [("blank_key", F.col("blank") > 0, F.col("blank"))] + ([] if several_groups else [("mixed_groups", F.col("groups") > 1, F.col("groups"))])
+    of_keys = [("repeated_key", F.col("repeated") > 0, F.col("repeated"))] + ([] if expected is None else [("wrong_count", F.col("keys") != expected, F.col("keys"))])
+    return _listed(rest, found).unionByName(_listed(keys, of_keys))
+
+
+def _listed(one: DataFrame, problems: list[tuple[str, Column, Column]]) -> DataFrame:
+    """(problem, n) for each problem that a one-row table has."""
+    each = [F.when(c, F.struct(F.lit(name).alias("problem"), n.alias("n"))) for name, c, n in problems]
+    return one.select(F.explode(F.array_compact(F.array(*each))).alias("p")).select("p.problem", "p.n")
 
 
 def validate_record_set(df: DataFrame, key: str, group: list[str], expected: int | None = None, several_groups: bool = False) -> DataFrame:

@@ -143,7 +143,7 @@ SELECT count(*) AS cells, count_if(alien >= 2 AND alien > own) AS look_foreign,
 def language_signals(spark: SparkSession, d: str) -> DataFrame:
     """Translated answers that look untranslated, and the share of French among recognised words."""
     s = handoff.language_signals(table(spark, d, "translation_handoff").select("row_id", "Answer_translated").distinct(), "row_id", "Answer_translated", _OWN, _FOREIGN)
-    return s.agg(F.count("*").alias("cells"), F.count_if("looks_foreign").alias("look_foreign")).crossJoin(handoff.corpus_signal(s).select(F.round("signal", 6).alias("signal")))
+    return s.agg(F.count("*").alias("cells"), F.count_if("looks_foreign").alias("look_foreign"), F.round(handoff.signal_share(), 6).alias("signal"))
 
 
 @query(f"""SELECT DISTINCT row_id, sha256({_STRIP.format('Question_translated')}) AS question, sha256({_STRIP.format('Answer_translated')}) AS answer FROM translation_handoff WHERE coalesce({_STRIP.format('Question_translated')}, '') <> '' AND coalesce({_STRIP.format('Answer_translated')}, '') <> ''""")
