@@ -71,7 +71,7 @@ class Shard:
     def has(self, numbers: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether the list of each term has a place from ``low`` to ``high``."""
         base = np.maximum(numbers, 0) << 32
-        found = np.searchsorted(self.postings, base | np.maximum(low, 0)) < np.searchsorted(self.postings, base | np.maximum(high, -1) + 0, side="right")
+        found = np.searchsorted(self.postings, base | np.maximum(low, 0)) < np.searchsorted(self.postings, base | np.maximum(high, 0), side="right")
         return found & (numbers >= 0) & (high >= 0)
 
     def documents(self, place: np.ndarray) -> np.ndarray:
