@@ -570,3 +570,23 @@ def test_restoration_of_planted_damage(damage_model):
     for text in CLEAN:
         false += labeller.restore(text)[0]
     assert total > 60 and found >= 0.95 * total and whole >= 0.9 * total and not false, (total, found, whole, false)
+
+
+def test_extra_columns_with_clashing_names(spark, rows):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([("a", text, 1, 2, "k", "s", 3), ("b", text + " fourteen", 1, 2, "k", "s", 3), ("c", None, None, None, None, None, None)], "id string, text string, key int, cls int, src string, kind string, h int")
+    assert rows(neardup.near_duplicates(df, "id", "text").pairs()) == [("", "a", "b")]
+    assert rows(overlap.split_overlaps(df.where("id = 'a'"), df, "id", "text").select("train_id", "eval_id")) == [("a", "a"), ("a", "b")]
+    renamed = df.selectExpr("id AS doc", "text", "key AS docs", "cls AS phrase", "src AS terms", "kind AS item", "h AS first")
+    tests = spark.createDataFrame([("i", text, "x", "y")], "item string, text string, phrase string, words string")
+    assert rows(phrases.find_phrases(renamed, "doc", "text", tests, "item", ["text"])) == [("a", "i"), ("b", "i")]
+    assert residue.find_residue(df, "id", "text").count() == 0
+    assert rows(residue.find_residue(df.withColumn("text", df["src"]), "id", "text")) == []
+
+
+def test_ties_and_very_long_texts(spark, rows):
+    long = " ".join(f"w{i * 7919 % 5000}" for i in range(60_000))
+    df = spark.createDataFrame([("a", long), ("b", long + " tail"), ("c", "same same same same same same"), ("d", "same same same same same same same"), ("e", "")], "id string, text string")
+    assert rows(neardup.near_duplicates(df, "id", "text", width=3, similarity=0.8).pairs()) == [("", "a", "b"), ("", "c", "d")]
+    found = residue.find_residue(spark.createDataFrame([(1, "word " * 200_000 + "{{first_name}}"), (2, "x " * 5)], "id long, text string"), "id", "text")
+    assert {r.kind for r in found.where("doc = 1").collect()} >= {"placeholder"}
