@@ -56,8 +56,8 @@ def _texts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
             yield [piece.column(n).to_pylist() for n in names]
 
 
-def shingle_counts(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """How often shingles occur in all of ``df``, folded into COUNTERS counters.
+def shingle_counts(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, int]:
+    """How often shingles occur in all of ``df``, folded into COUNTERS counters, and the number of its texts.
 
     Tasks count locally and the counters are added up by range, so neither the
     shuffle nor the result grows with the corpus beyond a constant per task.
@@ -66,22 +66,26 @@ def shingle_counts(df: DataFrame, text: str, width: int) -> np.ndarray:
     each = COUNTERS // ranges
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total, n = np.zeros(COUNTERS, np.int64), 0
         for (texts,) in _texts(batches, (text,)):
+            n += len(texts)
             _, h = hash_words(texts).all_shingles(width)
             total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        rows = [total[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(ranges)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(rows, pa.binary())], ["r", "counts"])
+        rows = [total[i * each : (i + 1) * each].astype("<i8").tobytes() for i in range(ranges)] + [np.array([n], "<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges + 1), pa.int32()), pa.array(rows, pa.binary())], ["r", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(b, "<i8") for b in t.column("counts").to_pylist()], axis=0)
         return pa.table({"r": t.column("r").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     parts = df.select(text).mapInArrow(count, "r int, counts binary").groupBy("r").applyInArrow(add, "r int, counts binary")
-    total = np.zeros(COUNTERS, np.int64)
-    for row in parts.toLocalIterator():  # always 16 rows, 2 MB
-        total[row.r * each : (row.r + 1) * each] = np.frombuffer(row.counts, "<i8")
-    return total
+    total, n = np.zeros(COUNTERS, np.int64), 0
+    for row in parts.toLocalIterator():  # always 17 rows, 2 MB
+        if row.r == ranges:
+            n = int(np.frombuffer(row.counts, "<i8")[0])
+        else:
+            total[row.r * each : (row.r + 1) * each] = np.frombuffer(row.counts, "<i8")
+    return total, n
 
 
 def _spread(spark, n: int) -> list[int]:
@@ -122,12 +126,12 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(part, id_a, id_b) of all linked ids, smaller id first, copies included."""
-        ids = self.source.select("part", "id", "key")
+        ids = stored(self.source.select("part", "id", "key").distinct(), "ids")
         ends = self.links.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-        linked = ids.join(ends, "key", "left_semi").distinct()
+        linked = ids.join(ends, "key", "left_semi")
         a, b = (linked.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
         across = self.links.join(a, "key_a").join(b, "key_b").select("part", "id_a", "id_b")
-        repeated = ids.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+        repeated = ids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         m = self.members(self.source.join(repeated, "key", "left_semi"))
         within = m.select("part", "key", F.col("id").alias("id_a")).join(m.select("key", F.col("id").alias("id_b")), "key").where("id_a < id_b")
         return across.unionByName(within.select("part", "id_a", "id_b")).select(
@@ -161,11 +165,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, part_col: str | N
     source = df.select(part.alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # two hashes of a text: a short one that brings candidates together, and a digest that tells texts apart
     source = source.withColumn("cls", F.xxhash64("part", "text")).withColumn("key", F.unhex(F.md5(F.concat_ws("\x1f", "part", "text"))))
-    counts = shingle_counts(source, "text", width)
+    counts, n_texts = shingle_counts(source, "text", width)
     total = int(counts.sum())
     tasks = min(1 << PLACE_BITS, max(spark.sparkContext.defaultParallelism, math.ceil(total * (1 - similarity) / ROWS_PER_TASK)))
-    mean = total / max(1, source.count())
-    sketch_words = sketch_width(mean)
+    sketch_words = sketch_width(total / max(1, n_texts))
     rare = np.minimum(np.log2(counts + 1.0) * 8, 254).astype(np.uint8)
     rare[counts > max(HOT, HOT_TIMES * total / COUNTERS)] = 255
     known = spark.sparkContext.broadcast(rare)
