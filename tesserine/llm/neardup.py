@@ -28,7 +28,7 @@ from tesserine.runtime import stored
 #: Counters of the corpus-wide shingle counts; as rarities, of one byte each, they are broadcast (256 KB).
 COUNTERS = 1 << 18
 #: Prefix shingles that one task of the join is meant to hold.
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 750_000
 #: Text digests a task remembers in order to emit a text once; beyond it repeats reach the join, which drops them.
 SEEN = 1 << 19
 #: Texts hashed at a time.
