@@ -590,3 +590,16 @@ def test_ties_and_very_long_texts(spark, rows):
     assert rows(neardup.near_duplicates(df, "id", "text", width=3, similarity=0.8).pairs()) == [("", "a", "b"), ("", "c", "d")]
     found = residue.find_residue(spark.createDataFrame([(1, "word " * 200_000 + "{{first_name}}"), (2, "x " * 5)], "id long, text string"), "id", "text")
     assert {r.kind for r in found.where("doc = 1").collect()} >= {"placeholder"}
+
+
+def test_ranks_of_prefix_shingles_bound_the_partners():
+    """Holders whose ranks rule the similarity out are not compared."""
+    n = np.full(64, 80)
+    rank = np.arange(64) % 33
+    step = rank * neardup._LAST_RANK // neardup._last_rank(n, 0.6)
+    reach = neardup._reach(n, step, 0.6)
+    assert (reach == np.floor((80 - rank) * (1.6 / 0.6) - 80 + 1e-6)).all()
+    for size, r in ((1, 0), (2, 0), (300, 119), (5000, 1234)):
+        m = np.array([size])
+        low = neardup._reach(m, np.array([r]) * neardup._LAST_RANK // np.maximum(neardup._last_rank(m, 0.6), 1), 0.6)[0]
+        assert low >= np.floor((size - r) * (1.6 / 0.6) - size + 1e-6)  # rounding never loses a partner
