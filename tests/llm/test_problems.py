@@ -592,6 +592,18 @@ def test_ties_and_very_long_texts(spark, rows):
     assert {r.kind for r in found.where("doc = 1").collect()} >= {"placeholder"}
 
 
+def test_many_shards_scan_candidates_only(spark, corpus, rows, monkeypatch):
+    """Beyond DIRECT shards a training text meets those shards alone that hold a candidate; results stay whole."""
+    joined = []
+    monkeypatch.setattr(overlap, "prefix_join", lambda *x: joined.append(neardup.prefix_join(*x)) or joined[-1])
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    train, held = corpus[::2] + [("t", corpus[3][1]), ("s", "one two three")], corpus[1::2] + [("s", "One two; three")]
+    frames = [spark.createDataFrame(x, "id string, text string") for x in (train, held)]
+    got = rows(overlap.split_overlaps(*frames, "id", "text", similarity=0.6, width=3).select("train_id", "eval_id"))
+    assert got == sorted((a, b) for a, x in train for b, y in held if x and y and similarity(x, y) >= 0.6)
+    assert len(joined) == 1 and 0 < joined[0].count() < len({x for _, x in train}) * len({y for _, y in held}) / 8
+
+
 def test_ranks_of_prefix_shingles_bound_the_partners():
     """Holders whose ranks rule the similarity out are not compared."""
     n = np.full(64, 80)
