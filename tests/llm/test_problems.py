@@ -615,3 +615,9 @@ def test_ranks_of_prefix_shingles_bound_the_partners():
         m = np.array([size])
         low = neardup._reach(m, np.array([r]) * neardup._LAST_RANK // np.maximum(neardup._last_rank(m, 0.6), 1), 0.6)[0]
         assert low >= np.floor((size - r) * (1.6 / 0.6) - size + 1e-6)  # rounding never loses a partner
+
+
+def test_endings_of_any_length():
+    assert pairs.ending("Rest a lot at home." + " " * 200) == ["lot", "at", "home"]
+    assert pairs.ending(f"see the page {'x' * 150}") == ["the", "page", "x" * 150] and pairs.ending("one 12") == ["one", "0"] and pairs.ending("") == []
+    assert pairs.ending("a " * 90 + "b c" + "." * 117) == ["a", "b", "c"]
