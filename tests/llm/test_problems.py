@@ -621,3 +621,15 @@ def test_endings_of_any_length():
     assert pairs.ending("Rest a lot at home." + " " * 200) == ["lot", "at", "home"]
     assert pairs.ending(f"see the page {'x' * 150}") == ["the", "page", "x" * 150] and pairs.ending("one 12") == ["one", "0"] and pairs.ending("") == []
     assert pairs.ending("a " * 90 + "b c" + "." * 117) == ["a", "b", "c"]
+
+
+def test_segments_of_damaged_texts(spark, monkeypatch):
+    """Damaged texts come out too, as restored; p1_found alone is defined without them."""
+    from tesserine.llm import entry
+
+    monkeypatch.setattr(entry, "_language_model", lambda *_: None)
+    monkeypatch.setattr(entry.langid, "label_segments", lambda spark, df, *_: df.selectExpr("*", "1D AS confidence"))
+    d = "/root/testdata/sf0.001"
+    damaged = {(r.row_id, r.field): r.restored for r in entry.p2_restored(spark, d).collect()}
+    texts = {(r.row_id, r.field): r.text for r in entry.p1_segments(spark, d).collect()}
+    assert damaged and all(texts[k] == v for k, v in damaged.items()) and len(texts) == entry._translated(spark, d).select("row_id", "field").distinct().count()
