@@ -1,6 +1,7 @@
 """Record operators on small frames."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +271,32 @@ def test_streaming(spark, rows, tmp_path):
         return p + "!"
 
     assert rows(inference.called(df.select("k").distinct(), "k", call)) == [("1", None, "no"), ("2", "2!", None)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz0123", "éàñ中文字\U0001f600abc", "".join(map(chr, range(0x4E00, 0x4F40)))])
+def test_links_connect_what_all_similar_pairs_connect(letters, monkeypatch):
+    monkeypatch.setattr(dedup, "LANES", 16)
+    monkeypatch.setattr(dedup, "CHUNK", 64)
+    r = random.Random(letters)
+    words = ["".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(60)]
+    texts = list(dict.fromkeys(" ".join("".join(c for c in w if r.random() > p) + r.choice(["", "", letters[0]]) for w in words if r.random() > 0.15) for p in (0, 0.03, 0.1, 0.4) for _ in range(14)))
+    similar = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if X.token_set_ratio(texts[i], texts[j]) >= 80]
+    half = len(texts) // 2
+
+    def groups(links):
+        of = list(range(len(texts)))
+        for i, j in links:
+            of = [of[i] if g == of[j] else g for g in of]
+        return [of.index(g) for g in of]
+
+    assert groups(dedup._links(texts, texts, True, 80.0)) == groups(similar) and similar
+    across = [(i, j + half) for i, j in dedup._links(texts[:half], texts[half:], False, 80.0)]
+    assert groups(across) == groups([(i, j) for i, j in similar if i < half <= j])
+    # every comparison, not only those that connect
+    sets = [set(t.split()) for t in texts]
+    spelling = {ord(c): k for k, c in enumerate(sorted({" ", *letters}))}
+    open_ = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] - sets[j] and sets[j] - sets[i]]
+    rests = [(" ".join(sorted(sets[i] & sets[j])), " ".join(sorted(sets[i] - sets[j])), " ".join(sorted(sets[j] - sets[i]))) for i, j in open_]
+    for threshold in (50.0, 80.0, 95.0):
+        want = [200.0 * X.common_subsequence(f"{both} {x}".strip(), f"{both} {y}".strip()) / len(f"{both} {x}".strip() + f"{both} {y}".strip()) >= threshold for both, x, y in rests]
+        assert dedup._rests_alike([(len(b) + 1 if b else 0, x.translate(spelling), y.translate(spelling)) for b, x, y in rests], len(spelling), threshold).tolist() == want
