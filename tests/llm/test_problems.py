@@ -346,6 +346,30 @@ def test_sound_texts_are_left_alone(spark, damage_model, rows):
     assert [r[1] for r in rows(encoding.restore_texts(spark, df, ["k"], "text", damage_model).select("k", "damaged"))] == [False, False, False, True]
 
 
+def test_emissions_are_counted_on_all_sound_texts(spark):
+    texts = [f"{CLEAN[i % len(CLEAN)]} {i}" for i in range(4000)] + ["a " * 2000 + "Łódź", "d" * 700 + " Ã©"]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:500], "", None]], "t string")
+    model = encoding.fit([df])
+    whole = encoding.EncodingModel(texts)
+    scale = encoding.WEIGHT / len(texts)
+    for got, want in zip(model.states, whole.states, strict=True):
+        assert (got.three[0] == want.three[0]).all() and np.allclose(got.three[1], want.three[1] * scale) and got.total == pytest.approx(want.total * scale)
+    assert whole.states[0].total == sum(len(t) + 1 for t in texts if encoding.looks_sound(t)) == sum(len(t) + 1 for t in texts[:-1])
+    assert set("Łódź") <= whole.sound
+    assert encoding.fit([df.limit(0)]).states[0].total == 0
+
+
+def test_damaged_trigrams_equal_those_of_damaged_texts(monkeypatch):
+    texts = [*CLEAN, "日本 é\n\nŒx я", "\x00\x01é \U0001f600", "".join(map(chr, range(64))) + "ß", "".join(map(chr, range(64, 128))) + " É", "é" * 300]
+    monkeypatch.setattr(encoding, "CHARS", 500)
+    texts = [t for t in texts if encoding.looks_sound(t)]
+    model = encoding.EncodingModel(texts)
+    for state, damage in zip(model.states, [str, *(p.damage for p in encoding.PAIRS)], strict=True):
+        bad = [damage(f"\n\n{t}\n") for t in texts]
+        want = Counter(t[i : i + 3] for t in bad for i in range(len(t) - 2))
+        assert {chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF): n for g, n in zip(state.three[0].tolist(), state.three[1].tolist())} == want
+
+
 @pytest.fixture(scope="module")
 def languages():
     words = {
