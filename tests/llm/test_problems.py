@@ -370,6 +370,19 @@ def test_damaged_trigrams_equal_those_of_damaged_texts(monkeypatch):
         assert {chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF): n for g, n in zip(state.three[0].tolist(), state.three[1].tolist())} == want
 
 
+def test_look_alikes_are_sought_in_texts_that_all_sound_texts_speak_for(spark, rows, tmp_path):
+    from tesserine.llm import entry
+
+    docs = [f"Document {i} with plain words." for i in range(3)] + ["word " * 200 + "Łódź, Žižkov, Őrség."]
+    spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows_ = [("r1", "fr", "Depuis mon arrivée à Łódź.", "plаin"), ("r2", "fr", CLEAN[0], None)]
+    spark.createDataFrame(rows_, "row_id string, lang string, Question_translated string, Answer_translated string").write.parquet(str(tmp_path / "translation_handoff.parquet"))
+    model = entry._encoding_model(spark, str(tmp_path))
+    texts = {*docs, *(t for r in rows_ for t in r[2:] if t)}
+    assert model.states[0].total == sum(len(t) + 1 for t in texts if encoding.looks_sound(t)) and set("ŽžŐ") <= model.sound
+    assert rows(entry.p5_found(spark, str(tmp_path))) == [("r1", "Answer_translated")]
+
+
 @pytest.fixture(scope="module")
 def languages():
     words = {
