@@ -383,6 +383,18 @@ def test_look_alikes_are_sought_in_texts_that_all_sound_texts_speak_for(spark, r
     assert rows(entry.p5_found(spark, str(tmp_path))) == [("r1", "Answer_translated")]
 
 
+def test_one_text_among_many_speaks_for_its_letters(spark, rows, tmp_path):
+    from tesserine.llm import entry
+
+    many = [f"{CLEAN[i % len(CLEAN)]} {i}" for i in range(3 * encoding.WEIGHT)]
+    rare = [f"Elle dit {w}, plаin." for w in ("RIÑÓN", "DÉÇU", "CRÉÉE", "BìÇ", "maÙÚk", "çëk", "öƝêÏn")]
+    assert all(r[0] for r in encoding.Labeller(encoding.EncodingModel(many)).restore_all(rare))  # unless they are counted
+    spark.createDataFrame([(0, CLEAN[7])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows_ = [(f"r{i}", "fr", t, None) for i, t in enumerate([*rare, *many])]
+    spark.createDataFrame(rows_, "row_id string, lang string, Question_translated string, Answer_translated string").write.parquet(str(tmp_path / "translation_handoff.parquet"))
+    assert rows(entry.p5_found(spark, str(tmp_path))) == [(f"r{i}", "Question_translated") for i in range(len(rare))]
+
+
 @pytest.fixture(scope="module")
 def languages():
     words = {
